@@ -4,20 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, quality, toxicity
+from . import bpe, fingerprints, mixing, neardup, pii, quality, secrets, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+
+def _line(spans: Column | str) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.judged(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["kind"].isin(*secrets.BASE))
+    counts = [_count(kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.scan(docs, pii.train(docs))
+    base = F.filter("found", lambda x: ~x["added"])
+    counts = [F.size(F.filter(base, lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judged(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -28,8 +73,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op9_quality, op10_near_duplicates)}
+    every = (op1_toxicity, op2_url_filter, op3_secrets, op4_fingerprints, op5_pii, op6_mixing, op7_bpe, op8_top_k, op9_quality, op10_near_duplicates)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_top_k": topk.ORACLE_SQL}
