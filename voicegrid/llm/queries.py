@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _count(kind: str) -> Column:
-    return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+def _count(kind: str, spans: Column | str = "found") -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def _line(spans: Column | str) -> Column:
@@ -35,7 +35,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["kind"].isin(*secrets.BASE))
-    counts = [_count(kind).alias(f"n_{kind}") for kind in secrets.BASE]
+    counts = [_count(kind) for kind in secrets.BASE]
     return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"))
 
 
@@ -47,7 +47,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = pii.scan(docs, pii.train(docs))
     base = F.filter("found", lambda x: ~x["added"])
-    counts = [F.size(F.filter(base, lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [_count(kind, base) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"))
 
 

@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits of the lower-cased text, so marks between
 or behind them don't matter. Features of a document, each present or absent:
-its words, their first four and five bytes, its word pairs and triples, and its
-skip-grams (words with one or two words between them), as 64-bit hashes.
+its words, their stems (first four to seven bytes, of words that are longer), its
+word pairs and triples, and its skip-grams (words with one or two words between
+them), as 64-bit hashes.
 
 A bounded sample of labelled documents is dealt to shards of a bounded number;
 each shard runs the follow-the-regularised-leader update with per-coordinate
@@ -33,16 +34,21 @@ from .text import ALNUM, seeded, slices, words_of
 CUT = 0.7
 #: Documents of the sample in a shard, about.
 SHARD = 2048
-ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 1.0, 0.1, 6
+#: Step size, its smoothing, and L2. L1 is in standard deviations of what chance adds up in a feature of every document.
+ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 0.8, 8
+STEMS = (4, 5, 6, 7)
 _FILTER_BITS = 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """(feature hashes, document rows, documents); a feature occurs as often as in the text."""
     words = words_of(texts, lower=True, keep=ALNUM)
-    whole, four, five = words.hashes(4, 5)
-    found = [(seeded(whole, 11), words.row), (seeded(four, 12), words.row), (seeded(five, 13), words.row)]
-    found += [words.ngram(whole, gaps, seed) for seed, gaps in ((14, (1,)), (15, (1, 2)), (16, (2,)), (17, (3,)))]
+    whole, *stems = words.hashes(*STEMS)
+    found = [(seeded(whole, 11), words.row)]
+    for size, stem in zip(STEMS, stems, strict=True):
+        longer = words.end - words.start > size
+        found.append((seeded(stem[longer], 12 + size), words.row[longer]))
+    found += [words.ngram(whole, gaps, seed) for seed, gaps in ((21, (1,)), (22, (1, 2)), (23, (2,)), (24, (3,)))]
     return np.concatenate([h for h, _ in found]), np.concatenate([r for _, r in found]), words.n_docs
 
 
@@ -70,24 +76,29 @@ class ToxicityModel:
 
 
 def ftrl(documents: list[np.ndarray], labels: np.ndarray, n_coordinates: int) -> tuple[np.ndarray, float]:
-    """Weights after ``EPOCHS`` passes over documents given as arrays of coordinates; the last coordinate is the bias."""
-    z, n = np.zeros(n_coordinates + 1), np.zeros(n_coordinates + 1)
+    """Weights and bias after ``EPOCHS`` passes over documents given as arrays of coordinates.
 
-    def weights(at: np.ndarray | slice) -> np.ndarray:
-        za = z[at]
-        w = -(za - np.sign(za) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where(np.abs(za) <= L1, 0.0, w)
+    The bias starts at the log-odds of the labels, so a feature that tells
+    nothing gathers gradients that cancel out but for chance, which L1 covers.
+    """
+    share = min(max(labels.mean(), 0.5 / len(labels)), 1 - 0.5 / len(labels))
+    l1 = NOISE * np.sqrt(len(labels) * share * (1 - share))
+    z, n, bias, bias_n = np.zeros(n_coordinates), np.zeros(n_coordinates), float(np.log(share / (1 - share))), 1.0
+
+    def weights(za: np.ndarray, na: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(za) <= l1, 0.0, -(za - np.sign(za) * l1) / ((BETA + np.sqrt(na)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
         for at, label in zip(documents, labels, strict=True):
-            at = np.append(at, n_coordinates)
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-            was = np.sqrt(n[at])
-            n[at] += g * g
-            z[at] += g - (np.sqrt(n[at]) - was) / ALPHA * w
-    w = weights(slice(None))
-    return w[:-1], float(w[-1])
+            za, na = z[at], n[at]
+            w = weights(za, na)
+            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - label
+            more = na + g * g
+            z[at] = za + g - (np.sqrt(more) - np.sqrt(na)) / ALPHA * w
+            n[at] = more
+            bias_n += g * g
+            bias -= ALPHA * g / (BETA + np.sqrt(bias_n))
+    return weights(z, n), bias
 
 
 def _train_shard(table: pa.Table) -> pa.Table:
@@ -113,7 +124,7 @@ def _train_shard(table: pa.Table) -> pa.Table:
     documents = np.split(at, np.searchsorted(rows, np.arange(1, len(label))))
     w, bias = ftrl(documents, label, len(known))
     kept = np.flatnonzero(w)
-    return pa.table({"hash": pa.array(np.append(known[kept], 0).view(np.int64)), "weight": pa.array(np.append(w[kept], bias))})
+    return pa.table({"hash": pa.array(np.append(known[kept], np.uint64(0)).view(np.int64)), "weight": pa.array(np.append(w[kept], bias))})
 
 
 def fit(sample: DataFrame) -> ToxicityModel:

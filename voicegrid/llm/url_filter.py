@@ -166,7 +166,7 @@ ruled AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM split),
 worded AS (
-  SELECT *, CASE WHEN rule IS NULL THEN list_filter([{', '.join(f"'{w}'" for w in BLOCKED_WORDS)}], w -> regexp_matches(host, '(^|[.-])' || w || '($|[.-])'))[1] END AS pattern
+  SELECT *, CASE WHEN rule IS NULL THEN list_filter([{', '.join(f"'{w}'" for w in BLOCKED_WORDS)}], lambda w: regexp_matches(host, '(^|[.-])' || w || '($|[.-])'))[1] END AS pattern
   FROM ruled)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
