@@ -26,6 +26,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors share; where it is unset (local runs), a folder of this session."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="voicegrid-")
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured.rstrip("/")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, wherever they run; once for each application."""
     app = spark.sparkContext.applicationId
