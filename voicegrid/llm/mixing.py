@@ -10,12 +10,16 @@ A source's rate is its target by its size. Every document is taken whole
 floor(rate) times. For the fraction left, a source's documents are dealt by a
 seeded hash to groups of about ``GROUP``; a group takes its documents once more
 in the order of their hashes until its share of words is full, so that one
-document of a group at most is taken in part. Sums hence miss a target by half a
-word a group, and a source with most of the rows is as many groups as it needs.
+document of a group is taken in part. Sums hence miss a target by half a word a
+group, and a source with most of the rows is as many groups as it needs. What a
+group takes is told by the hash of that one document and the words taken of it,
+so the texts are never shuffled: they meet a table of one row a group.
 
 Null and empty texts have size 0 and take 0. A null source is a source. A null
-doc_id takes part. Repeated rows are documents of their own. An empty table
-gives an empty result. Other columns of the documents don't matter.
+doc_id takes part. Rows with equal doc_id and text are documents of their own;
+where a group's share ends among such, they share what is left alike. An empty
+table gives an empty result. Other columns don't matter to ``mix``; ``repeated``
+keeps them, and replaces none of their names.
 """
 
 from __future__ import annotations
@@ -64,46 +68,69 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     return sources.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)))
 
 
-def taken(sizes: DataFrame, of: DataFrame, group: int = GROUP) -> DataFrame:
-    """``sizes`` (source, size, key, ...) with source_size, target and taken; key: 32 hexadecimal digits, the seeded order."""
-    joined = sizes.join(of.select(F.col("source").alias("of"), "n", "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = joined.withColumn("whole", F.floor(rate)).withColumn("part", rate - F.col("whole"))
-    joined = joined.withColumn("group", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.ceil(F.col("n") / group))
-    mine = Window.partitionBy("source", "group")
-    before = F.sum("size").over(mine.orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    share = F.floor(F.col("part") * F.sum("size").over(mine) + 0.5)
-    more = F.greatest(F.lit(0), F.least(F.col("size"), share - before))
-    return joined.withColumn("taken", (F.col("whole") * F.col("size") + more).cast("long")).drop("n", "whole", "part", "group", "key")
-
-
 def _key(seed: int) -> Column:
+    """The seeded order of documents."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
 
 
+def _grouped(sizes: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows (source, __size, __key, ...) with what is known of their source, and their group in it."""
+    known = of.select(F.col("source").alias("__of"), F.col("n").alias("__n"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+    group = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") % F.ceil(F.col("__n") / GROUP)
+    joined = sizes.join(known, F.col("source").eqNullSafe(F.col("__of")))
+    return joined.withColumn("__rate", rate).withColumn("__group", group)
+
+
+def cuts(sizes: DataFrame, of: DataFrame) -> DataFrame:
+    """(__in, __at, __cut, __left): for each source and group, the last key that takes words and the words that it takes."""
+    rows = _grouped(sizes, of)
+    mine = Window.partitionBy("source", "__group")
+    alike = F.count("*").over(Window.partitionBy("source", "__group", "__key"))
+    before = F.sum("__size").over(mine.orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size") * F.col("__alike")
+    share = F.floor((F.col("__rate") - F.floor("__rate")) * F.sum("__size").over(mine) + 0.5)
+    left = F.greatest(F.lit(0), F.least(F.col("__size"), F.floor((F.col("__share") - F.col("__before")) / F.col("__alike"))))
+    rows = rows.withColumn("__alike", alike).withColumn("__before", before).withColumn("__share", share).withColumn("__left", left)
+    last = rows.where("__left > 0").groupBy("source", "__group").agg(F.max("__key").alias("__cut"), F.max_by("__left", "__key").alias("__left"))
+    return last.select(F.col("source").alias("__in"), F.col("__group").alias("__at"), "__cut", "__left")
+
+
+def _taken(sizes: DataFrame, of: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows (source, __size, __key, ...) with __taken, __source_size and __target."""
+    rows = _grouped(sizes, of).join(ends, F.col("source").eqNullSafe(F.col("__in")) & (F.col("__group") == F.col("__at")), "left")
+    more = F.when(F.col("__key") < F.col("__cut"), F.col("__size")).when(F.col("__key") == F.col("__cut"), F.col("__left")).otherwise(F.lit(0))
+    return rows.withColumn("__taken", (F.floor("__rate") * F.col("__size") + more).cast("long"))
+
+
+def _planned(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sizes = materialize(docs.select("doc_id", "source", size_of().alias("__size"), _key(seed).alias("__key")), "sizes")
+    of = targets(sizes.select("source", F.col("__size").alias("size")))
+    return sizes, of, materialize(cuts(sizes, of), "cuts")
+
+
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of ``docs`` (doc_id, text, source, ...)."""
-    sizes = materialize(docs.select("doc_id", "source", size_of().alias("size"), _key(seed).alias("key")), "sizes")
-    return taken(sizes, targets(sizes)).select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(*_planned(docs, seed)).select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "taken")))
 
 
 def repeated(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mixed corpus: rows of ``docs`` as often as they are taken, whole, and a last time cut to the words left.
 
-    Columns stay as they are but for a cut text. Rows that take nothing go.
+    Columns stay as they are but for a cut text, whose n_chars, if there is that
+    column, follows. Rows that take nothing go.
     """
-    row, size, taken_, copy = (_free(x, set(docs.columns)) for x in ("__row", "__size", "__taken", "__copy"))
-    # Rows of equal key and source are alike but for other columns: numbered, one of them meets one of the plan's.
-    numbered = docs.withColumn(row, F.struct(_key(seed).alias("key"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("source").isNull().alias("none")))
-    sizes = materialize(docs.select("source", size_of().alias("size"), _key(seed).alias("key")), "sizes")
-    plan = taken(sizes.withColumn("same", F.col("key")), targets(sizes))
-    plan = plan.select(F.struct(F.col("same").alias("key"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("source").isNull().alias("none")).alias(row), F.col("size").alias(size), F.col("taken").alias(taken_))
-    nth = F.row_number().over(Window.partitionBy(row).orderBy(row))
-    joined = numbered.withColumn(copy, nth).join(plan.withColumn(copy, nth).where(F.col(taken_) > 0), [row, copy])
-    joined = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken_) / F.col(size)).cast("int"))))
-    left = F.col(taken_) - (F.col(copy) - 1) * F.col(size)
-    cut = F.when(left < F.col(size), first_words(F.col("text"), left)).otherwise(F.col("text"))
-    return joined.withColumn("text", cut).select(*docs.columns)
+    columns = docs.columns
+    hidden = docs.select(*(F.col(c).alias(f"x{k}") for k, c in enumerate(columns)), "source", size_of().alias("__size"), _key(seed).alias("__key"))
+    _, of, ends = _planned(docs, seed)
+    rows = _taken(hidden, of, ends).where("__taken > 0")
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
+    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
+    text = F.col(f"x{columns.index('text')}")
+    new = {c: F.col(f"x{k}") for k, c in enumerate(columns)}
+    new["text"] = F.when(left < F.col("__size"), first_words(text, left)).otherwise(text)
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(left < F.col("__size"), F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return rows.select(*(value.alias(c) for c, value in new.items()))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -112,12 +139,6 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n.cast("int")), "")
 
 
-def _free(name: str, taken_names: set[str]) -> str:
-    while name in taken_names:
-        name = f"_{name}"
-    return name
-
-
 ORACLE_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -141,10 +162,11 @@ joined AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 dealt AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % ceil(n / 2048.0)::BIGINT AS grp FROM joined),
 filled AS (
-  SELECT *, sum(size) OVER (PARTITION BY source, grp ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS before,
+  SELECT *, count(*) OVER (PARTITION BY source, grp, key) AS alike,
+         sum(size) OVER (PARTITION BY source, grp ORDER BY key RANGE UNBOUNDED PRECEDING) - size * alike AS before,
          floor((rate - floor(rate)) * (sum(size) OVER (PARTITION BY source, grp))::DOUBLE + 0.5) AS share
   FROM dealt)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (floor(rate) * size + greatest(0, least(size, share - before)))::BIGINT AS taken
+       (floor(rate) * size + greatest(0, least(size, floor((share - before) / alike))))::BIGINT AS taken
 FROM filled
 """
