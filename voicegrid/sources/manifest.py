@@ -28,14 +28,29 @@ def speaker_of_basename(path: Column) -> Column:
     return F.split_part(path_part(path, -1), F.lit("-"), F.lit(1))
 
 
-def _local_path() -> Column:
-    return F.url_decode(F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), r"\+", "%2B"))
+def _listing(spark: SparkSession, folder: str, recursive: bool) -> list[str]:
+    """Paths of files in the folder, of any file system that Spark reads; empty files and names with ``_`` too.
+
+    Names only pass through the driver, as they do in every file source.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    if recursive:
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            out.append(files.next().getPath())
+    else:
+        out = [f.getPath() for f in fs.globStatus(path) or [] if f.isFile()]
+    local = fs.getUri().getScheme() == "file"
+    return [p.toUri().getPath() if local else p.toString() for p in out]
 
 
 def from_directory(spark: SparkSession, data_dir: str, suffix: str = ".flac") -> DataFrame:
-    """(spk, utt, pos) of the files ``data_dir/*/*/*<suffix>``; reads names only."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(f"{data_dir}/*/*/*{suffix}").select(_local_path().alias("utt"))
-    return files.select(speaker_of_basename(F.col("utt")).alias("spk"), "utt", F.monotonically_increasing_id().alias("pos"))
+    """(spk, utt, pos) of the files ``data_dir/*/*/*<suffix>``, by names only."""
+    names = [p for p in _listing(spark, f"{data_dir}/*/*/*{suffix}", False) if not any(x.startswith(".") for x in p.split("/")[-3:])]
+    files = spark.createDataFrame([(p, k) for k, p in enumerate(names)], "utt string, pos long")
+    return files.select(speaker_of_basename(F.col("utt")).alias("spk"), "utt", "pos")
 
 
 def from_csv(spark: SparkSession, csv_file: str) -> DataFrame:
@@ -59,8 +74,8 @@ def select(spark: SparkSession, csv_file: str | None, data_dir: str, suffix: str
 
 def listed(spark: SparkSession, path_to_dataset: str, audio_format: str, speaker_label_index: int = -2) -> DataFrame:
     """(spk, utt) of all files below a directory whose names end with ``audio_format``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path_to_dataset).select(_local_path().alias("utt"))
-    files = files.where(F.col("utt").endswith(audio_format))
+    names = [p for p in _listing(spark, path_to_dataset, True) if p.endswith(audio_format)]
+    files = spark.createDataFrame([(p,) for p in names], "utt string")
     return files.select(path_part(F.col("utt"), speaker_label_index).alias("spk"), "utt")
 
 
