@@ -11,10 +11,12 @@ places where both agree with the whole text, are encoded anew, together with
 whole chunks that have no safe place. The ids are hence those of encoding each
 whole text by the library, whatever the cuts.
 
-Missing cores and joins are encoded as pieces between safe places, and pieces
-are kept too. Both stores hold a bounded number of characters and drop the older
-half when full, so a worker's memory doesn't grow with the corpus. Nothing is
-shuffled; a lost executor costs its running tasks.
+Cores and joins that are new are encoded as pieces between safe places, all new
+pieces of a slice of texts in one call of the library, and pieces are kept too.
+Both stores hold a bounded number of characters, in two generations: what is used
+moves to the younger one, and when that is full the older one is dropped. So a
+worker's memory doesn't grow with the corpus. Nothing is shuffled; a lost executor
+costs its running tasks.
 
 Strings of special tokens within a text become those tokens, as in the library.
 Null and empty texts have no ids and decode to the empty text. Rows that repeat
@@ -36,8 +38,8 @@ from .text import _power_tables, mix, slices, text_bytes
 
 #: Bytes that the rolling hash sees, and the bits of it that are zero at a cut.
 WINDOW, CUT_BITS = 48, 10
-#: Characters that each store of a worker holds at most.
-KEPT_CHUNKS, KEPT_PIECES = 24_000_000, 12_000_000
+#: Characters that each generation of a worker's stores holds, about.
+KEPT_CHUNKS, KEPT_PIECES = 8_000_000, 8_000_000
 
 #: From one safe place to the next.
 _PIECE = re.compile(r"(?s).[^ ]*(?:(?:(?<=\s) | (?!\S))[^ ]*)*")
@@ -49,20 +51,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Store(dict):
-    """Values by text; drops the older half when it holds more than ``limit`` characters."""
+class _Store:
+    """Values by text, in a younger and an older generation."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.held = limit, 0
+        self.young, self.old, self.limit, self.held = {}, {}, limit, 0
 
-    def keep(self, text: str, value: object) -> None:
-        self[text] = value
-        self.held += len(text) + 24
+    def turn(self) -> None:
+        """Drop the older generation if the younger one is full."""
         if self.held > self.limit:
-            for old in list(self)[: len(self) // 2]:
-                del self[old]
-            self.held = sum(len(t) + 24 for t in self)
+            self.old, self.young, self.held = self.young, {}, 0
+
+    def put(self, text: str, value: object) -> None:
+        self.young[text] = value
+        self.held += len(text)
+
+    def missing(self, texts: set[str]) -> set[str]:
+        """Those of ``texts`` in neither generation; the others are in the younger one afterwards."""
+        texts = texts - self.young.keys()
+        for text in texts & self.old.keys():
+            self.put(text, self.old[text])
+        return texts - self.old.keys()
 
 
 class Encoder:
@@ -75,71 +84,67 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
+        self.decimal = [str(k) for k in range(self.library.get_vocab_size())]
         self.chunks, self.pieces = _Store(KEPT_CHUNKS), _Store(KEPT_PIECES)
         self.odd: dict[str, str] = {}  # pieces that decode to another text
 
-    def _learn(self, pieces: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.pieces))
-        if not new:
-            return
-        ids = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        for piece, mine, back in zip(new, ids, self.library.decode_batch(ids, skip_special_tokens=False), strict=True):
-            if back != piece:
-                self.odd[piece] = back
-            self.pieces.keep(piece, ",".join(map(str, mine)))
-
-    def _joined(self, pieces: list[str]) -> str:
-        """Ids of pieces that follow one another."""
-        known = self.pieces
-        try:
-            return ",".join([known[p] for p in pieces])
-        except KeyError:
-            out = []
-            for at in range(0, len(pieces), 4096):  # fewer than a store can drop at once
-                part = pieces[at : at + 4096]
-                self._learn(part)
-                out += [known[p] if p in known else ",".join(map(str, self.library.encode(p, add_special_tokens=False).ids)) for p in part]
-            return ",".join(out)
-
-    def _back(self, pieces: list[str]) -> str | None:
-        """Decoded text of pieces, if it isn't their own."""
+    def _learn(self, pieces: set[str]) -> None:
+        new = list(self.pieces.missing(pieces))
+        for at in range(0, len(new), 100_000):
+            part = new[at : at + 100_000]
+            ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            back = self.library.decode_batch(ids, skip_special_tokens=False)
+            number = self.decimal.__getitem__
+            for piece, mine in zip(part, ids, strict=True):
+                self.pieces.put(piece, ",".join(map(number, mine)))
+            if back != part:
+                self.odd.update((p, b) for p, b in zip(part, back, strict=True) if p != b)
+
+    def _read(self, pieces: list[str]) -> tuple[str, str]:
+        """(ids, decoded text) of learnt pieces that follow one another."""
+        known = self.pieces.young
         if self.odd and not self.odd.keys().isdisjoint(pieces):
-            return "".join(self.odd.get(p, p) for p in pieces)
-        return None
-
-    def _chunk(self, chunk: str) -> tuple[str, str, str | None, str, str]:
-        """(head, core, core decoded if another text, ids of the core, tail)."""
-        found = self.chunks.get(chunk)
-        if found is None:
-            pieces = _PIECE.findall(chunk)
-            core = pieces[1:-1]
-            ids = self._joined(core) if core else ""  # before _back, which knows what has been decoded
-            found = (pieces[0], "".join(core), self._back(core), ids, pieces[-1] if len(pieces) > 1 else "")
-            self.chunks.keep(chunk, found)
-        return found
-
-    def document(self, chunks: list[str]) -> tuple[str, str]:
-        """(ids joined by commas, decoded text) of a text given as chunks."""
-        ids, texts, open_ = [], [], ""
-
-        def repair(text: str) -> None:
-            pieces = _PIECE.findall(text)
-            ids.append(self._joined(pieces))
-            back = self._back(pieces)
-            texts.append(text if back is None else back)
-
-        for chunk in chunks:
-            head, core, back, core_ids, tail = self._chunk(chunk)
-            open_ += head
-            if tail:  # the chunk has a safe place
-                repair(open_)
-                if core_ids:
-                    ids.append(core_ids)
-                texts.append(core if back is None else back)
-                open_ = tail
-        if open_:
-            repair(open_)
-        return ",".join(x for x in ids if x), "".join(texts)
+            text = "".join(self.odd.get(p, p) for p in pieces)
+        else:
+            text = "".join(pieces)
+        return ",".join([known[p] for p in pieces]), text
+
+    def documents(self, texts: list[list[str]]) -> list[tuple[str, str]]:
+        """(ids joined by commas, decoded text) of each text, given as its chunks."""
+        self.chunks.turn()
+        self.pieces.turn()
+        new = {c: _PIECE.findall(c) for c in self.chunks.missing({c for chunks in texts for c in chunks})}
+        known = self.chunks.young
+        # Each text as the joins to repair and, between them, the chunks whose cores are as they are.
+        plans, joins = [], {}
+        for chunks in texts:
+            plan, open_ = [], ""
+            for chunk in chunks:
+                pieces = new.get(chunk)
+                head, tail = (pieces[0], pieces[-1] if len(pieces) > 1 else "") if pieces else known[chunk][:2]
+                open_ += head
+                if tail:  # the chunk has a safe place, where the join ends
+                    plan += [(open_, None), (None, chunk)]
+                    open_ = tail
+            if open_:
+                plan.append((open_, None))
+            plans.append(plan)
+            joins.update((text, None) for text, _ in plan if text is not None)
+        for text in joins:
+            joins[text] = _PIECE.findall(text)
+        needed: set[str] = set()
+        for pieces in joins.values():
+            needed.update(pieces)
+        for pieces in new.values():
+            needed.update(pieces[1:-1])
+        self._learn(needed)
+        for chunk, pieces in new.items():
+            self.chunks.put(chunk, (pieces[0], pieces[-1] if len(pieces) > 1 else "", *self._read(pieces[1:-1])))
+        out = []
+        for plan in plans:
+            parts = [self._read(joins[text]) if chunk is None else known[chunk][2:] for text, chunk in plan]
+            out.append((",".join([ids for ids, _ in parts if ids]), "".join([text for _, text in parts])))
+        return out
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -185,10 +190,12 @@ def encode_and_decode(docs: DataFrame, vocabulary: str | None = None, outputs: t
             begins = cuts(data, offsets) if len(data) else np.zeros(0, np.int64)
             raw = data.tobytes()
             bounds = np.searchsorted(begins, offsets)
-            out: dict[str, list] = {name: [] for name in outputs}
+            texts = []
             for k in range(part.num_rows):
                 edges = [*begins[bounds[k] : bounds[k + 1]].tolist(), int(offsets[k + 1])] if offsets[k + 1] > offsets[k] else []
-                ids, decoded = encoder.document([raw[s:e].decode() for s, e in zip(edges, edges[1:])])
+                texts.append([raw[s:e].decode() for s, e in zip(edges, edges[1:])])
+            out: dict[str, list] = {name: [] for name in outputs}
+            for ids, decoded in encoder.documents(texts):
                 for name in outputs:
                     if name == "n_tokens":
                         out[name].append(ids.count(",") + 1 if ids else 0)
