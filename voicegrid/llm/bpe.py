@@ -62,16 +62,16 @@ class _Store:
         if self.held > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
 
-    def put(self, text: str, value: object) -> None:
-        self.young[text] = value
-        self.held += len(text)
+    def put(self, texts: list[str], values: list) -> None:
+        self.young.update(zip(texts, values, strict=True))
+        self.held += sum(map(len, texts))
 
     def missing(self, texts: set[str]) -> set[str]:
         """Those of ``texts`` in neither generation; the others are in the younger one afterwards."""
         texts = texts - self.young.keys()
-        for text in texts & self.old.keys():
-            self.put(text, self.old[text])
-        return texts - self.old.keys()
+        used = list(texts & self.old.keys())
+        self.put(used, [self.old[t] for t in used])
+        return texts.difference(used)
 
 
 class Encoder:
@@ -95,8 +95,7 @@ class Encoder:
             ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
             back = self.library.decode_batch(ids, skip_special_tokens=False)
             number = self.decimal.__getitem__
-            for piece, mine in zip(part, ids, strict=True):
-                self.pieces.put(piece, ",".join(map(number, mine)))
+            self.pieces.put(part, [",".join(map(number, mine)) for mine in ids])
             if back != part:
                 self.odd.update((p, b) for p, b in zip(part, back, strict=True) if p != b)
 
@@ -138,8 +137,7 @@ class Encoder:
         for pieces in new.values():
             needed.update(pieces[1:-1])
         self._learn(needed)
-        for chunk, pieces in new.items():
-            self.chunks.put(chunk, (pieces[0], pieces[-1] if len(pieces) > 1 else "", *self._read(pieces[1:-1])))
+        self.chunks.put(list(new), [(p[0], p[-1] if len(p) > 1 else "", *self._read(p[1:-1])) for p in new.values()])
         out = []
         for plan in plans:
             parts = [self._read(joins[text]) if chunk is None else known[chunk][2:] for text, chunk in plan]
