@@ -34,8 +34,10 @@ from .text import ALNUM, seeded, slices, words_of
 CUT = 0.7
 #: Documents of the sample in a shard, about.
 SHARD = 2048
-#: Step size, its smoothing, and L2. L1 is in standard deviations of what chance adds up in a feature of every document.
-ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 0.8, 8
+#: Features of more documents than so many times the toxic ones are left out, so that L1 needn't cover their chance gradients.
+COMMON = 1.5
+#: Step size, its smoothing, and L2. L1 is in standard deviations of what chance adds up in the most common features.
+ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 1.2, 8
 STEMS = (4, 5, 6, 7)
 _FILTER_BITS = 20
 
@@ -82,7 +84,7 @@ def ftrl(documents: list[np.ndarray], labels: np.ndarray, n_coordinates: int) ->
     nothing gathers gradients that cancel out but for chance, which L1 covers.
     """
     share = min(max(labels.mean(), 0.5 / len(labels)), 1 - 0.5 / len(labels))
-    l1 = NOISE * np.sqrt(len(labels) * share * (1 - share))
+    l1 = NOISE * share * np.sqrt(COMMON * len(labels) * (1 - share))
     z, n, bias, bias_n = np.zeros(n_coordinates), np.zeros(n_coordinates), float(np.log(share / (1 - share))), 1.0
 
     def weights(za: np.ndarray, na: np.ndarray) -> np.ndarray:
@@ -118,6 +120,9 @@ def _train_shard(table: pa.Table) -> pa.Table:
     # A feature of one document alone can't tell classes apart; L1 would drop it.
     ascending = np.sort(hashes)
     known = np.unique(ascending[1:][ascending[1:] == ascending[:-1]])
+    if len(known):
+        seen = np.searchsorted(ascending, known, "right") - np.searchsorted(ascending, known, "left")
+        known = known[seen <= max(2, COMMON * label.sum())]
     at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
     hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
     at, rows = at[hit], rows[hit]
