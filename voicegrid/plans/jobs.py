@@ -31,9 +31,15 @@ def speaker_encoder(spark: SparkSession, cfg: Config, load_from: str = "") -> tu
 
 
 def features(utterances: DataFrame, cfg: Config) -> DataFrame:
-    """(utt, features) of each distinct file of a manifest; the files are read on the executors."""
-    paths = [r["utt"] for r in utterances.select("utt").distinct().collect()]  # the list of files, as the file source needs it
-    files = audio.read(utterances.sparkSession, paths) if paths else utterances.select("utt").withColumn("content", F.lit(b"")).limit(0)
+    """(utt, features) of each distinct file of a manifest; the files are read on the executors.
+
+    Only the folders' names pass through the driver, as the file source needs them.
+    """
+    wanted = utterances.select("utt").distinct()
+    folders = [r["f"] for r in wanted.select(F.regexp_replace("utt", "/[^/]*$", "").alias("f")).distinct().collect()]
+    if not folders:
+        raise ValueError("the manifest is empty")
+    files = audio.read(utterances.sparkSession, folders).join(wanted, "utt", "left_semi")
     return audio.feature_table(files, cfg.model.n_mfcc).persist()
 
 

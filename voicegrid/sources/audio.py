@@ -123,6 +123,7 @@ def feature_table(files: DataFrame, n_mfcc: int = 128) -> DataFrame:
     return files.select("utt", "content").mapInPandas(run, "utt string, features array<array<double>>")
 
 
-def read(spark: SparkSession, pattern: str) -> DataFrame:
-    """(utt, content) of the files that match."""
-    return spark.read.format("binaryFile").load(pattern).select(F.regexp_replace("path", "^file:/*", "/").alias("utt"), "content")
+def read(spark: SparkSession, places: str | list[str]) -> DataFrame:
+    """(utt, content) of the files that match or lie in the folders."""
+    path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    return spark.read.format("binaryFile").load(places).select(path.alias("utt"), "content")
