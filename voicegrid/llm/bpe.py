@@ -39,7 +39,7 @@ from .text import _power_tables, mix, slices, text_bytes
 #: Bytes that the rolling hash sees, and the bits of it that are zero at a cut.
 WINDOW, CUT_BITS = 48, 10
 #: Characters that each generation of a worker's stores holds, about.
-KEPT_CHUNKS, KEPT_PIECES = 8_000_000, 8_000_000
+KEPT_CHUNKS, KEPT_PIECES = 4_000_000, 4_000_000
 
 #: From one safe place to the next.
 _PIECE = re.compile(r"(?s).[^ ]*(?:(?:(?<=\s) | (?!\S))[^ ]*)*")
