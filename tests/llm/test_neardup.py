@@ -101,3 +101,16 @@ def test_keep_one_of_each_class(documents, prose, odd):
 def test_empty_table(documents):
     assert neardup.near_duplicates(documents([])).count() == 0
     assert neardup.keep_one(documents([])).count() == 0
+
+
+def _assert_hot_classes(documents, prose, least, most, few):
+    """Copies of one text, each edited apart, the first ``few`` of them hardly."""
+    (base,), rng = prose(1, 300), random.Random(1)
+    rows = [(k, changed(base, 1 if k < few else rng.randint(least, most), k)) for k in range(160)]
+    expected = plain_classes(rows)
+    assert 1 < len(set(expected.values())) < 160
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(documents(rows)).collect()} == expected
+
+
+def test_no_link_of_a_hot_group_is_lost(documents, prose):
+    _assert_hot_classes(documents, prose, 3, 5, 0)

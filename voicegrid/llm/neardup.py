@@ -21,10 +21,11 @@ copies if the weighted Jaccard similarity of their multisets is 0.8 or more.
   are not, and all between are compared by their whole texts.
 * Classes are the connected components of the links, by label propagation with
   pointer jumping over tables in the shared folder.
-* A text may be near to members of a bucket but not to its centre. So texts that
-  share buckets are dealt by several bands at once, to buckets of close relatives;
-  there, members outside the bucket's largest class meet ``MET`` random members of
-  that class, in ``FURTHER`` rounds of other bands. No pair is compared twice.
+* A text may be near to members of a bucket but not to its centre. So every two
+  texts that share a bucket and are not of one class yet are compared: the texts
+  outside a bucket's largest class with all of its members, in blocks of ``BLOCK``
+  by ``BLOCK``. The pairs that agree most come first (``TURNS``), since the classes
+  they join save others; the last turn leaves none out. No pair is compared twice.
 
 Texts that are equal are one vertex (64-bit text hash), so a group of exact
 copies of any size costs one vertex and one row for each copy.
@@ -52,10 +53,14 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Further bands by each of which members unlike their centre are dealt anew.
 SPREAD = 3
-#: Rounds of looking for links that the stars have missed.
-FURTHER = 2
-#: Bands that close relatives share at once, how many such sets of bands a round takes, and how many members one meets by each.
-TOGETHER, SETS, MET = 3, 32, 4
+#: Members that a block holds of each side, about.
+BLOCK = 1024
+#: Pairs that a text takes from a block, turn by turn; the last turn takes all.
+TURNS = (16, 256, None)
+#: Pairs that are held at once while texts of blocks are compared.
+_PAIRS = 1 << 16
+#: From so many pairs a text on, texts are read once for a cell of pairs, of about so many bytes, instead of once for a pair.
+DENSE, CELL = 16, 1 << 24
 #: Rounds of members meeting centres of the bands' buckets.
 STARS = 3
 #: Random orders that bands take their centres by, in turn.
@@ -169,6 +174,82 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("vid"), part.column("other"), pa.array(common / np.maximum(1, n_a + n_b - common))], ["vid", "other", "similarity"])
 
 
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each count, one after the other."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by ``by`` with the bounds of their groups, no group cut."""
+    rest = None
+    for batch in batches:
+        if batch.num_rows:
+            rest = pa.concat_tables([*([rest] if rest is not None else []), pa.Table.from_batches([batch])])
+            keys = np.stack([rest.column(c).to_numpy() for c in by])
+            bounds = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+            if len(bounds) > 1:
+                yield rest.slice(0, bounds[-1]), bounds
+                rest = rest.slice(bounds[-1])
+    if rest is not None:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], rows: int, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different labels in blocks that may be near, each in its first common band; ``other`` is null where a text has more than ``limit``."""
+    for table, bounds in _whole_groups(batches, ["bucket", "asking", "asked"]):
+        vid, label, band, asks = (table.column(c).to_numpy() for c in ("vid", "label", "band", "asks"))
+        outside = table.column("outside").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(vid), -1)
+        first, size = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(np.diff(bounds), np.diff(bounds))
+        ask = np.flatnonzero(asks)
+        start = 0
+        while start < len(ask):
+            stop = max(start + 1, int(np.searchsorted(np.cumsum(size[ask[start:]]), _PAIRS, "right")) + start)
+            mine, start = ask[start:stop], stop
+            q, o = np.repeat(mine, size[mine]), _ranges(first[mine], size[mine])
+            use = ~asks[o] & (label[q] != label[o]) & (~outside[o] | (vid[q] < vid[o]))
+            q, o = q[use], o[use]
+            same = sig[q] == sig[o]
+            agreement = same.mean(1)
+            near = np.flatnonzero(agreement >= NEVER)
+            near = near[same[near].reshape(len(near), sig.shape[1] // rows, rows).all(2).argmax(1) == band[q[near]]]
+            q, o, agreement = q[near], o[near], agreement[near]
+            order = np.lexsort((-agreement, q))
+            q, o, agreement = q[order], o[order], agreement[order]
+            nth = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = nth < (len(q) if limit is None else limit)
+            more = np.flatnonzero(nth == limit) if limit is not None else np.zeros(0, int)
+            one, two = vid[q[keep]], vid[o[keep]]
+            ends = np.r_[np.minimum(one, two), vid[q[more]]], np.r_[np.maximum(one, two), vid[q[more]]]
+            cut = np.r_[np.zeros(len(one), bool), np.ones(len(more), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1], mask=cut), pa.array(np.r_[agreement[keep], np.zeros(len(more))])], ["vid", "other", "agreement"])
+
+
+def _cell_similarity(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Weighted Jaccard similarity of the pairs of a cell, whose texts are each cut into shingles once."""
+    vids = texts.column("of").to_numpy()
+    words = Words(*text_bytes(texts.column("text").combine_chunks()), NOT_SPACE)
+    element, row = shingles(words)
+    ids = np.unique(element, return_inverse=True)[1]
+    weight = np.bincount(row, minlength=len(vids))
+    first = np.cumsum(weight) - weight
+    ids = ids[np.argsort(row, kind="stable")]
+    by = np.argsort(vids)
+    a, b = (by[np.searchsorted(vids, pairs.column(c).to_numpy(), sorter=by)] for c in ("vid", "other"))
+    common, held = np.zeros(len(a), np.int64), np.zeros(len(ids) + 1, bool)
+    order = np.argsort(a, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
+        mine = ids[first[a[part[0]]] : first[a[part[0]]] + weight[a[part[0]]]]
+        held[mine] = True
+        for at in range(0, len(part), 1024):
+            others = b[part[at : at + 1024]]
+            hit = held[ids[_ranges(first[others], weight[others])]]
+            common[part[at : at + 1024]] = np.bincount(np.repeat(np.arange(len(others)), weight[others]), hit, len(others))
+        held[mine] = False
+    similarity = common / np.maximum(1, weight[a] + weight[b] - common)
+    return pa.table({"vid": pairs.column("vid"), "other": pairs.column("other"), "similarity": pa.array(similarity)})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(vid, label) of all ends of ``links`` (vid, other): one vid of each connected component.
 
@@ -220,9 +301,19 @@ def _agreements(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (vid, other) whose texts are near copies."""
-    joined = pairs.join(texts, "vid").join(texts.select(F.col("vid").alias("other"), F.col("text").alias("other_text")), "other")
-    return joined.mapInArrow(_similarity, "vid long, other long, similarity double").where(F.col("similarity") >= similarity).select("vid", "other")
+    """Those of pairs (vid, other), each given once, whose texts are near copies."""
+    ends = pairs.select("vid").union(pairs.select(F.col("other").alias("vid"))).distinct()
+    n_pairs, (n_texts, n_bytes) = pairs.count(), texts.join(ends, "vid", "left_semi").agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if n_pairs > DENSE * n_texts:
+        side = max(8, -(-(n_bytes or 0) // CELL))
+        cell = [F.pmod(F.xxhash64(c, F.lit("cell")), F.lit(side)) for c in ("vid", "other")]
+        dealt = pairs.withColumn("cell", cell[0] * side + cell[1])
+        held = dealt.select("cell", "vid").union(dealt.select("cell", "other")).distinct().join(texts, "vid").select(F.col("cell").alias("at"), F.col("vid").alias("of"), F.col("text").alias("text"))
+        joined = dealt.groupBy("cell").cogroup(held.groupBy("at")).applyInArrow(_cell_similarity, "vid long, other long, similarity double")
+    else:
+        joined = pairs.join(texts, "vid").join(texts.select(F.col("vid").alias("other"), F.col("text").alias("other_text")), "other")
+        joined = joined.mapInArrow(_similarity, "vid long, other long, similarity double")
+    return joined.where(F.col("similarity") >= similarity).select("vid", "other")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, label: str) -> DataFrame:
@@ -231,19 +322,6 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, label: str) -> Da
     return rows.join(of, column, "left").withColumn(label, F.coalesce(label, column))
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after further links, by which classes take the label of a larger one; no more than a guide to whom to meet next."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    sized = lambda c: (sizes.withColumnRenamed("label", c).withColumnRenamed("n", f"{c}_n"), c)
-    ends = _labelled(_labelled(links, labels, "vid", "a"), labels, "other", "b").where("a != b")
-    ends = ends.join(*sized("a"), "left").join(*sized("b"), "left").select(*(F.struct(F.coalesce(f"{c}_n", F.lit(1)).alias("n"), F.col(c).alias("label")).alias(c) for c in "ab"))
-    moved = ends.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).groupBy(F.col("low.label").alias("label")).agg(F.max("high").alias("to")).select("label", F.col("to.label").alias("to"))
-    every = labels.union(moved.select(F.col("label").alias("vid"), "label").union(moved.select("to", "to"))).groupBy("vid").agg(F.min("label").alias("label"))
-    for _ in range(2):
-        every = every.join(moved, "label", "left").select("vid", F.coalesce("to", "label").alias("label"))
-    return materialize(every, "labels")
-
-
 def _star_pairs(signed: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vid, other, agreement) of texts and centres; (vid, sig, bands) of the texts that share a bucket with another one."""
     active = signed.select("vid", F.posexplode("bands").alias("band", "bucket")).select("vid", "bucket", _salt(F.col("band")).alias("salt"))
@@ -267,13 +345,24 @@ def _star_pairs(signed: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFr
     return scored, sigs
 
 
-def _together(turn: int, j: Column) -> Column:
-    """The bucket of a text by the j-th set of bands of a round."""
-    at = [F.pmod(F.xxhash64(F.lit(turn), j, F.lit(k)), F.size("bands")) for k in range(TOGETHER)]
-    return F.xxhash64(F.lit(turn), j, *(F.element_at("bands", (x + 1).cast("int")) for x in at))
-
-
-def _labels(signed: DataFrame, firsts: DataFrame, documents: DataFrame, similarity: float) -> DataFrame:
+def _blocks(sigs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets of more than one class, in blocks: those outside the largest class ask, all are asked."""
+    members = materialize(_labelled(sigs.select("vid", F.posexplode("bands").alias("band", "bucket")), labels, "vid", "label"), "members")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+    sizes = sizes.agg(F.count("*").alias("n_classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n_classes > 1")
+    sizes = sizes.select("bucket", F.col("most.label").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("n_asking"), F.ceil(F.col("n") / BLOCK).alias("n_asked"))
+    rows = members.join(sizes, "bucket").withColumn("outside", F.col("label") != F.col("largest"))
+    mine = [F.pmod(F.xxhash64("vid", F.lit(c)), F.col(c)) for c in ("n_asking", "n_asked")]
+    cell = lambda asking, asked, asks: F.struct(asking.alias("asking"), asked.alias("asked"), F.lit(asks).alias("asks"))
+    every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    asking = F.when(F.col("outside"), F.transform(every("n_asked"), lambda j: cell(mine[0], j, True))).otherwise(F.array().cast("array<struct<asking:bigint,asked:bigint,asks:boolean>>"))
+    asked = F.transform(every("n_asking"), lambda j: cell(j, mine[1], False))
+    rows = rows.select("vid", "label", "band", "bucket", "outside", F.explode(F.concat(asking, asked)).alias("b")).select("vid", "label", "band", "bucket", "outside", "b.*")
+    key = ["bucket", "asking", "asked"]
+    return rows.join(sigs.select("vid", "sig"), "vid").repartition(*key).sortWithinPartitions(*key)
+
+
+def _labels(signed: DataFrame, firsts: DataFrame, documents: DataFrame, similarity: float, rows: int) -> DataFrame:
     """(vid, label) of texts that have near copies. signed: doc_id, vid, sig, bands; documents: doc_id, vid, text."""
     scored, sigs = _star_pairs(signed, firsts)
     texts = materialize(_of_first(documents, sigs.select("vid"), firsts), "texts")
@@ -284,19 +373,16 @@ def _labels(signed: DataFrame, firsts: DataFrame, documents: DataFrame, similari
     links = scored.where(F.col("agreement") >= SURE).select("vid", "other").union(found)
     labels = components(links)
     compared = scored.select("vid", "other")
-    for turn in range(FURTHER):
-        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-        dealt = sigs.select("vid", F.explode(F.transform(F.sequence(F.lit(1), F.lit(SETS)), lambda j: _together(turn, j))).alias("bucket"))
-        rows = _labelled(dealt, labels, "vid", "label").join(sizes, "label", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-        ranks = [F.max(F.struct("n", "label", F.xxhash64("vid", F.lit(turn), F.lit(k)), "vid")) for k in range(MET)]
-        largest = rows.groupBy("bucket").agg(F.array_distinct(F.array(*ranks)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        largest = largest.select("bucket", F.explode("m").alias("m")).select("bucket", F.col("m.vid").alias("to"), F.col("m.label").alias("to_label"))
-        pairs = rows.join(largest, "bucket").where("label != to_label").select(F.least("vid", "to").alias("vid"), F.greatest("vid", "to").alias("other")).distinct()
-        pairs = materialize(_agreements(pairs.join(compared, ["vid", "other"], "left_anti"), sigs), "further")
-        found = materialize(_near(pairs.where(F.col("agreement") >= NEVER).select("vid", "other"), texts, similarity), "links")
-        compared, links = compared.union(pairs.select("vid", "other")), links.union(found)
-        labels = _joined(labels, found) if turn < FURTHER - 1 else labels
-    return components(links)
+    for limit in TURNS:
+        pairs = _blocks(sigs, labels).mapInArrow(lambda it, limit=limit: _block_pairs(it, rows, limit), "vid long, other long, agreement double")
+        pairs = materialize(pairs.join(compared, ["vid", "other"], "left_anti"), "further")
+        found = materialize(_near(pairs.where((F.col("agreement") >= NEVER) & (F.col("agreement") < SURE)).select("vid", "other"), texts, similarity), "links")
+        found = found.union(pairs.where(F.col("agreement") >= SURE).select("vid", "other"))
+        compared, links = compared.union(pairs.where("other is not null").select("vid", "other")), links.union(found)
+        labels = labels if found.isEmpty() else components(links)
+        if pairs.where("other is null").isEmpty():
+            break
+    return labels
 
 
 def _with_vid(docs: DataFrame) -> DataFrame:
@@ -308,7 +394,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     keyed = _with_vid(docs).select("doc_id", F.col("__vid").alias("vid"), "text")
     signed = materialize(keyed.mapInArrow(lambda it: _signed(it, bands, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, vid long, sig binary, bands array<long>"), "signed")
     firsts = materialize(signed.groupBy("vid").agg(F.min("doc_id").alias("first_id")), "firsts")
-    labels = _labels(signed, firsts, keyed, similarity)
+    labels = _labels(signed, firsts, keyed, similarity, rows)
     labelled = firsts.join(labels, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
     class_ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
     return signed.select("doc_id", "vid"), labelled.join(class_ids, "label").select("vid", "first_id", "label", "class_id")
