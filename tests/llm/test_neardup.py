@@ -114,3 +114,7 @@ def _assert_hot_classes(documents, prose, least, most, few):
 
 def test_no_link_of_a_hot_group_is_lost(documents, prose):
     _assert_hot_classes(documents, prose, 3, 5, 0)
+
+
+def test_members_unlike_their_centre_meet_others(documents, prose):
+    _assert_hot_classes(documents, prose, 4, 6, 3)
