@@ -23,29 +23,36 @@ copies if the weighted Jaccard similarity of their multisets is 0.8 or more.
   pointer jumping over tables in the shared folder.
 * A text may be near to members of a bucket but not to its centre. So every two
   texts that share a bucket and are not of one class yet are compared: the texts
-  outside a bucket's largest class with all of its members, in blocks of ``BLOCK``
-  by ``BLOCK``. The pairs that agree most come first (``TURNS``), since the classes
-  they join save others; the last turn leaves none out. No pair is compared twice.
-
-Texts that are equal are one vertex (64-bit text hash), so a group of exact
+  outside a bucket's largest class with all of its members, in cells of about ``BLOCK``
+  by ``BLOCK`` texts. A first pass compares signatures in each cell and tells which of
+  its texts have a doubtful partner; a second one fetches the texts of just these and
+  compares them whole, pairs that agree most first and none that a link found before
+  has joined. Cells send on the links that join classes, fewer than they have texts:
+  the pairs are never rows. No pair that shares a bucket is left out.
+
+Texts that are equal are one vertex: rows are grouped by a 128-bit hash of the text
+before any band is dealt, and a vertex has a number of its own. So a group of exact
 copies of any size costs one vertex and one row for each copy.
 
 Null and empty texts count as copies of one another. Rows with a null doc_id
 take part; a class has the smallest doc_id of its members, null if all are null.
-Repeated rows stay (``near_duplicates``) or are reduced to one (``keep_one``).
-Columns other than doc_id and text pass through ``keep_one`` untouched.
+Repeated rows stay (``near_duplicates``) or are reduced to one (``keep_one``); of ties
+in doc_id, the text met first in the table of texts is kept. Very long texts are seen
+whole; cells hold fewer of them. Columns other than doc_id and text, whatever their
+names, pass through ``keep_one`` untouched; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, renamed
 from .text import NOT_SPACE, Words, mix, seeded, slices, text_bytes
 
 SHINGLE = 5
@@ -53,12 +60,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 #: Further bands by each of which members unlike their centre are dealt anew.
 SPREAD = 3
-#: Members that a block holds of each side, about.
-BLOCK = 1024
-#: Pairs that a text takes from a block, turn by turn; the last turn takes all.
-TURNS = (16, 256, None)
-#: Pairs that are held at once while texts of blocks are compared.
-_PAIRS = 1 << 16
+#: Texts, and bytes of them, that a cell holds of each side, about.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
+#: Pairs of signatures that are held at once, and pairs of texts compared at once.
+_PAIRS, _STEP = 1 << 16, 64
 #: From so many pairs a text on, texts are read once for a cell of pairs, of about so many bytes, instead of once for a pair.
 DENSE, CELL = 16, 1 << 24
 #: Rounds of members meeting centres of the bands' buckets.
@@ -131,25 +136,25 @@ def dart_signatures(element: np.ndarray, row: np.ndarray, n_docs: int, k: int) -
 
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, vid, text to doc_id, vid, sig, bands."""
+    """doc_id, hash, text to doc_id, hash, size, sig, bands; of equal texts of a slice, one is signed."""
     k = bands * rows
     for part in slices(batches, "text", 1 << 20):
-        words = Words(*text_bytes(part.column("text")), NOT_SPACE)
+        coded = part.column("hash").dictionary_encode()
+        nth = coded.indices.to_numpy()
+        one = np.empty(len(coded.dictionary), np.int64)
+        one[nth[::-1]] = np.arange(part.num_rows)[::-1]
+        data, offsets = text_bytes(part.column("text").take(pa.array(one)))
+        words = Words(data, offsets, NOT_SPACE)
         signature, has = dart_signatures(*shingles(words), words.n_docs, k)
         hashes = np.zeros((words.n_docs, bands), np.uint64)
         for j in range(rows):
             hashes = mix(hashes * np.uint64(31) + signature[:, j::rows])
         hashes = seeded(hashes + np.arange(bands, dtype=np.uint64), 3).view(np.int64)
         counts = np.where(has, bands, 0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column("doc_id"),
-                part.column("vid"),
-                pa.array([s.tobytes() if ok else None for s, ok in zip(signature, has, strict=True)], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes[has].ravel())),
-            ],
-            ["doc_id", "vid", "sig", "bands"],
-        )
+        banded = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes[has].ravel()))
+        signed = pa.array([s.tobytes() if ok else None for s, ok in zip(signature, has, strict=True)], pa.binary())
+        columns = [pa.array(np.diff(offsets)), signed, banded]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("hash"), *(c.take(coded.indices) for c in columns)], ["doc_id", "hash", "size", "sig", "bands"])
 
 
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +168,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted Jaccard similarity of the two texts of each pair."""
-    for part in slices(batches, "text", 1 << 20):
+    for part in slices(batches, ("text", "other_text"), 1 << 21):
         sets = []
         for c in ("text", "other_text"):
             words = Words(*text_bytes(part.column(c)), NOT_SPACE)
@@ -194,59 +199,128 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[
         yield rest, np.array([0, rest.num_rows])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], rows: int, limit: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of different labels in blocks that may be near, each in its first common band; ``other`` is null where a text has more than ``limit``."""
-    for table, bounds in _whole_groups(batches, ["bucket", "asking", "asked"]):
-        vid, label, band, asks = (table.column(c).to_numpy() for c in ("vid", "label", "band", "asks"))
-        outside = table.column("outside").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(vid), -1)
-        first, size = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(np.diff(bounds), np.diff(bounds))
-        ask = np.flatnonzero(asks)
-        start = 0
-        while start < len(ask):
-            stop = max(start + 1, int(np.searchsorted(np.cumsum(size[ask[start:]]), _PAIRS, "right")) + start)
-            mine, start = ask[start:stop], stop
-            q, o = np.repeat(mine, size[mine]), _ranges(first[mine], size[mine])
-            use = ~asks[o] & (label[q] != label[o]) & (~outside[o] | (vid[q] < vid[o]))
-            q, o = q[use], o[use]
-            same = sig[q] == sig[o]
-            agreement = same.mean(1)
-            near = np.flatnonzero(agreement >= NEVER)
-            near = near[same[near].reshape(len(near), sig.shape[1] // rows, rows).all(2).argmax(1) == band[q[near]]]
-            q, o, agreement = q[near], o[near], agreement[near]
-            order = np.lexsort((-agreement, q))
-            q, o, agreement = q[order], o[order], agreement[order]
-            nth = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = nth < (len(q) if limit is None else limit)
-            more = np.flatnonzero(nth == limit) if limit is not None else np.zeros(0, int)
-            one, two = vid[q[keep]], vid[o[keep]]
-            ends = np.r_[np.minimum(one, two), vid[q[more]]], np.r_[np.maximum(one, two), vid[q[more]]]
-            cut = np.r_[np.zeros(len(one), bool), np.ones(len(more), bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1], mask=cut), pa.array(np.r_[agreement[keep], np.zeros(len(more))])], ["vid", "other", "agreement"])
+class _Sets:
+    """Disjoint sets of 0, 1, ..., n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
+def _cell_pairs(table: pa.Table, bounds: np.ndarray, label: np.ndarray, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asking, asked, agreement) of the pairs of different labels in the cells that may be near, each in its first common band."""
+    vid, band, asks, outside = (table.column(c).to_numpy() for c in ("vid", "band", "asks", "outside"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(vid), -1)
+    first, size = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(np.diff(bounds), np.diff(bounds))
+    ask = np.flatnonzero(asks)
+    start = 0
+    while start < len(ask):
+        stop = max(start + 1, int(np.searchsorted(np.cumsum(size[ask[start:]]), _PAIRS, "right")) + start)
+        mine, start = ask[start:stop], stop
+        q, o = np.repeat(mine, size[mine]), _ranges(first[mine], size[mine])
+        use = ~asks[o] & (label[q] != label[o]) & (~outside[o] | (vid[q] < vid[o]))
+        q, o = q[use], o[use]
+        same = sig[q] == sig[o]
+        agreement = same.mean(1)
+        near = np.flatnonzero(agreement >= NEVER)
+        near = near[same[near].reshape(len(near), sig.shape[1] // rows, rows).all(2).argmax(1) == band[q[near]]]
+        yield q[near], o[near], agreement[near]
+
+
+_CELL = ["bucket", "asking", "asked"]
+_OF_CELL = ["bucket", "asking", "asked", "asks", "band", "outside", "vid"]
+
+
+def _sure_and_doubtful(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Of cells with signatures: links (vid, other) that join labels, and the rows with a doubtful partner, whose ``other`` is null."""
+    for table, bounds in _whole_groups(batches, _CELL):
+        code = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        sets, doubtful, ends = _Sets(int(code.max()) + 1), np.zeros(table.num_rows, bool), []
+        for q, o, agreement in _cell_pairs(table, bounds, code, rows):
+            clear = np.flatnonzero(agreement >= SURE)
+            _, one = np.unique(np.stack([code[q[clear]], code[o[clear]]]), axis=1, return_index=True)
+            ends += [(int(q[k]), int(o[k])) for k in clear[one] if sets.join(int(code[q[k]]), int(code[o[k]]))]
+            rest = np.flatnonzero(agreement < SURE)
+            root = np.array([sets.find(k) for k in range(len(sets.up))])
+            rest = rest[root[code[q[rest]]] != root[code[o[rest]]]]
+            doubtful[q[rest]] = doubtful[o[rest]] = True
+        vid = table.column("vid").to_numpy()
+        ends = np.array(ends, np.int64).reshape(-1, 2)
+        linked = table.take(pa.array(ends[:, 0])).select(_OF_CELL).append_column("other", pa.array(vid[ends[:, 1]]))
+        needed = table.filter(pa.array(doubtful)).select(_OF_CELL)
+        yield from pa.concat_tables([linked, needed.append_column("other", pa.nulls(needed.num_rows, pa.int64()))]).combine_chunks().to_batches()
+
+
+def _near_in_cells(batches: Iterator[pa.RecordBatch], rows: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of cells with signatures and texts: links (vid, other) between texts of that similarity that join labels."""
+    for table, bounds in _whole_groups(batches, _CELL):
+        for s, e in zip(bounds, bounds[1:]):
+            cell, vid = table.slice(s, e - s), table.column("vid").to_numpy()[s:e]
+            code = np.unique(cell.column("label").to_numpy(), return_inverse=True)[1]
+            texts = _Shingled(cell.column("text").combine_chunks())
+            sets, ends = _Sets(int(code.max()) + 1), []
+            for q, o, agreement in _cell_pairs(cell, np.array([0, e - s]), code, rows):
+                order = np.lexsort((-agreement, q))
+                q, o = q[order], o[order]
+                for part in np.split(o, np.flatnonzero(np.diff(q)) + 1) if len(q) else []:
+                    mine, q = int(q[0]), q[len(part) :]
+                    with texts.against(mine) as similar:
+                        while len(part):
+                            here = sets.find(int(code[mine]))
+                            part = part[np.array([sets.find(int(k)) != here for k in code[part]])]
+                            found = part[:_STEP][similar(part[:_STEP]) >= similarity]
+                            ends += [(mine, int(k)) for k in found if sets.join(int(code[mine]), int(code[k]))]
+                            part = part[_STEP:]
+            yield pa.RecordBatch.from_arrays([pa.array(vid[x]) for x in np.array(ends, np.int64).reshape(-1, 2).T], ["vid", "other"])
+
+
+class _Shingled:
+    """Texts, each cut into shingles once, to be compared with one of them at a time."""
+
+    def __init__(self, texts: pa.Array):
+        words = Words(*text_bytes(texts), NOT_SPACE)
+        element, row = shingles(words)
+        self.weight = np.bincount(row, minlength=words.n_docs)
+        self.first = np.cumsum(self.weight) - self.weight
+        self.ids = np.unique(element, return_inverse=True)[1][np.argsort(row, kind="stable")]
+        self.held = np.zeros(len(self.ids) + 1, bool)
+
+    @contextmanager
+    def against(self, one: int):
+        """A function that gives the weighted Jaccard similarities of others to ``one``."""
+        mine = self.ids[self.first[one] : self.first[one] + self.weight[one]]
+        self.held[mine] = True
+
+        def similar(others: np.ndarray) -> np.ndarray:
+            hit = self.held[self.ids[_ranges(self.first[others], self.weight[others])]]
+            common = np.bincount(np.repeat(np.arange(len(others)), self.weight[others]), hit, len(others))
+            return common / np.maximum(1, self.weight[one] + self.weight[others] - common)
+
+        yield similar
+        self.held[mine] = False
 
 
 def _cell_similarity(pairs: pa.Table, texts: pa.Table) -> pa.Table:
     """Weighted Jaccard similarity of the pairs of a cell, whose texts are each cut into shingles once."""
     vids = texts.column("of").to_numpy()
-    words = Words(*text_bytes(texts.column("text").combine_chunks()), NOT_SPACE)
-    element, row = shingles(words)
-    ids = np.unique(element, return_inverse=True)[1]
-    weight = np.bincount(row, minlength=len(vids))
-    first = np.cumsum(weight) - weight
-    ids = ids[np.argsort(row, kind="stable")]
+    shingled = _Shingled(texts.column("text").combine_chunks())
     by = np.argsort(vids)
     a, b = (by[np.searchsorted(vids, pairs.column(c).to_numpy(), sorter=by)] for c in ("vid", "other"))
-    common, held = np.zeros(len(a), np.int64), np.zeros(len(ids) + 1, bool)
-    order = np.argsort(a, kind="stable")
+    similarity, order = np.zeros(len(a)), np.argsort(a, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(a[order])) + 1) if len(order) else []:
-        mine = ids[first[a[part[0]]] : first[a[part[0]]] + weight[a[part[0]]]]
-        held[mine] = True
-        for at in range(0, len(part), 1024):
-            others = b[part[at : at + 1024]]
-            hit = held[ids[_ranges(first[others], weight[others])]]
-            common[part[at : at + 1024]] = np.bincount(np.repeat(np.arange(len(others)), weight[others]), hit, len(others))
-        held[mine] = False
-    similarity = common / np.maximum(1, weight[a] + weight[b] - common)
+        with shingled.against(int(a[part[0]])) as similar:
+            for at in range(0, len(part), 1024):
+                similarity[part[at : at + 1024]] = similar(b[part[at : at + 1024]])
     return pa.table({"vid": pairs.column("vid"), "other": pairs.column("other"), "similarity": pa.array(similarity)})
 
 
@@ -287,13 +361,6 @@ def _finer(j: Column) -> Column:
     return F.struct(bucket.alias("bucket"), _salt(j).alias("salt"))
 
 
-def _of_first(rows: DataFrame, vids: DataFrame, firsts: DataFrame) -> DataFrame:
-    """One row of ``rows`` (doc_id, vid, ...) for each text of ``vids``: that of the document which has it first."""
-    one = vids.join(firsts, "vid").select(F.col("vid").alias("of"), "first_id")
-    mine = (F.col("vid") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    return rows.join(one, mine, "left_semi").drop("doc_id").dropDuplicates(["vid"])
-
-
 def _agreements(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """(vid, other, agreement) of pairs (vid, other)."""
     joined = pairs.join(sigs.select("vid", "sig"), "vid").join(sigs.select(F.col("vid").alias("other"), F.col("sig").alias("other_sig")), "other")
@@ -322,9 +389,9 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, label: str) -> Da
     return rows.join(of, column, "left").withColumn(label, F.coalesce(label, column))
 
 
-def _star_pairs(signed: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vid, other, agreement) of texts and centres; (vid, sig, bands) of the texts that share a bucket with another one."""
-    active = signed.select("vid", F.posexplode("bands").alias("band", "bucket")).select("vid", "bucket", _salt(F.col("band")).alias("salt"))
+def _star_pairs(unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vid, other, agreement) of texts and centres; (vid, size, sig, bands) of the texts that share a bucket with another one."""
+    active = unique.select("vid", F.posexplode("bands").alias("band", "bucket")).select("vid", "bucket", _salt(F.col("band")).alias("salt"))
     scored = sigs = None
     for turn in range(STARS):
         key = F.col("vid").bitwiseXOR(F.col("salt"))
@@ -333,7 +400,8 @@ def _star_pairs(signed: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFr
         met = active.join(centres, "bucket").where("vid != centre").select("bucket", "vid", "centre")
         met = materialize(met.distinct().withColumn("one", F.least("vid", "centre")).withColumn("two", F.greatest("vid", "centre")), "met")
         if sigs is None:
-            sigs = materialize(_of_first(signed, met.select("vid").union(met.select("centre")).distinct(), firsts), "sigs")
+            ends = met.select("vid").union(met.select("centre")).distinct()
+            sigs = materialize(unique.select("vid", "hash", "first_id", "size", "sig", "bands").join(ends, "vid", "left_semi"), "sigs")
         fresh = materialize(_agreements(met.select(F.col("one").alias("vid"), F.col("two").alias("other")).distinct(), sigs), "scored")
         scored = fresh if scored is None else scored.union(fresh)
         if turn == STARS - 1:
@@ -345,71 +413,83 @@ def _star_pairs(signed: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFr
     return scored, sigs
 
 
-def _blocks(sigs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets of more than one class, in blocks: those outside the largest class ask, all are asked."""
-    members = materialize(_labelled(sigs.select("vid", F.posexplode("bands").alias("band", "bucket")), labels, "vid", "label"), "members")
-    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
-    sizes = sizes.agg(F.count("*").alias("n_classes"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("n_classes > 1")
-    sizes = sizes.select("bucket", F.col("most.label").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("n_asking"), F.ceil(F.col("n") / BLOCK).alias("n_asked"))
+def _cells(sigs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets of more than one class, in cells: those outside the largest class ask, all are asked."""
+    members = sigs.select("vid", "size", F.posexplode("bands").alias("band", "bucket"))
+    members = materialize(_labelled(members, labels, "vid", "label"), "members")
+    sizes = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("bucket")
+    sizes = sizes.agg(F.count("*").alias("n_classes"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most")).where("n_classes > 1")
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES, F.lit(1.0)))
+    sizes = sizes.select("bucket", F.col("most.label").alias("largest"), parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("n_asking"), parts(F.col("n"), F.col("size")).alias("n_asked"))
     rows = members.join(sizes, "bucket").withColumn("outside", F.col("label") != F.col("largest"))
     mine = [F.pmod(F.xxhash64("vid", F.lit(c)), F.col(c)) for c in ("n_asking", "n_asked")]
     cell = lambda asking, asked, asks: F.struct(asking.alias("asking"), asked.alias("asked"), F.lit(asks).alias("asks"))
     every = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     asking = F.when(F.col("outside"), F.transform(every("n_asked"), lambda j: cell(mine[0], j, True))).otherwise(F.array().cast("array<struct<asking:bigint,asked:bigint,asks:boolean>>"))
     asked = F.transform(every("n_asking"), lambda j: cell(j, mine[1], False))
-    rows = rows.select("vid", "label", "band", "bucket", "outside", F.explode(F.concat(asking, asked)).alias("b")).select("vid", "label", "band", "bucket", "outside", "b.*")
-    key = ["bucket", "asking", "asked"]
-    return rows.join(sigs.select("vid", "sig"), "vid").repartition(*key).sortWithinPartitions(*key)
+    return rows.select("vid", "band", "bucket", "outside", F.explode(F.concat(asking, asked)).alias("b")).select("vid", "band", "bucket", "outside", "b.*")
+
 
+def _in_cells(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL)
 
-def _labels(signed: DataFrame, firsts: DataFrame, documents: DataFrame, similarity: float, rows: int) -> DataFrame:
-    """(vid, label) of texts that have near copies. signed: doc_id, vid, sig, bands; documents: doc_id, vid, text."""
-    scored, sigs = _star_pairs(signed, firsts)
-    texts = materialize(_of_first(documents, sigs.select("vid"), firsts), "texts")
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels with the classes joined that ``links`` (vid, other) join."""
+    if links.isEmpty():
+        return labels
+    between = _labelled(_labelled(links, labels, "vid", "a"), labels, "other", "b").select(F.col("a").alias("vid"), F.col("b").alias("other"))
+    new = components(between)
+    moved = labels.join(new.select(F.col("vid").alias("label"), F.col("label").alias("to")), "label", "left").select("vid", F.coalesce("to", "label").alias("label"))
+    return materialize(moved.union(new.join(labels, "vid", "left_anti").select("vid", "label")), "labels")
+
+
+def _labels(unique: DataFrame, documents: DataFrame, similarity: float, rows: int) -> DataFrame:
+    """(vid, label) of texts that have near copies. unique: vid, hash, first_id, size, sig, bands; documents: doc_id, hash, text."""
+    scored, sigs = _star_pairs(unique)
+    one = sigs.select("vid", F.col("hash").alias("of"), "first_id")
+    mine = (F.col("hash") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = materialize(documents.join(one, mine).select("vid", "text").dropDuplicates(["vid"]), "texts")
     labels = components(scored.where(F.col("agreement") >= SURE).select("vid", "other"))
     doubtful = scored.where((F.col("agreement") < SURE) & (F.col("agreement") >= NEVER)).select("vid", "other").distinct()
     doubtful = materialize(_labelled(_labelled(doubtful, labels, "vid", "a"), labels, "other", "b").where("a != b").select("vid", "other"), "doubtful")
-    found = materialize(_near(doubtful, texts, similarity), "links")
-    links = scored.where(F.col("agreement") >= SURE).select("vid", "other").union(found)
-    labels = components(links)
-    compared = scored.select("vid", "other")
-    for limit in TURNS:
-        pairs = _blocks(sigs, labels).mapInArrow(lambda it, limit=limit: _block_pairs(it, rows, limit), "vid long, other long, agreement double")
-        pairs = materialize(pairs.join(compared, ["vid", "other"], "left_anti"), "further")
-        found = materialize(_near(pairs.where((F.col("agreement") >= NEVER) & (F.col("agreement") < SURE)).select("vid", "other"), texts, similarity), "links")
-        found = found.union(pairs.where(F.col("agreement") >= SURE).select("vid", "other"))
-        compared, links = compared.union(pairs.where("other is not null").select("vid", "other")), links.union(found)
-        labels = labels if found.isEmpty() else components(links)
-        if pairs.where("other is null").isEmpty():
-            break
-    return labels
+    labels = _relabelled(labels, materialize(_near(doubtful, texts, similarity), "links"))
+    cells = _labelled(_cells(sigs, labels), labels, "vid", "label").join(sigs.select("vid", "sig"), "vid")
+    schema = "bucket long, asking long, asked long, asks boolean, band int, outside boolean, vid long, other long"
+    found = materialize(_in_cells(cells).mapInArrow(lambda it: _sure_and_doubtful(it, rows), schema), "cells")
+    labels = _relabelled(labels, found.where("other is not null").select("vid", "other"))
+    asked = _labelled(found.where("other is null").drop("other"), labels, "vid", "label").join(sigs.select("vid", "sig"), "vid").join(texts, "vid")
+    links = _in_cells(asked).mapInArrow(lambda it: _near_in_cells(it, rows, similarity), "vid long, other long")
+    return _relabelled(labels, materialize(links, "links"))
 
 
-def _with_vid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__vid", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("hash", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, vid) of every row of ``docs``, and (vid, first_id, class_id) of every text."""
-    keyed = _with_vid(docs).select("doc_id", F.col("__vid").alias("vid"), "text")
-    signed = materialize(keyed.mapInArrow(lambda it: _signed(it, bands, rows), f"doc_id {dict(docs.dtypes)['doc_id']}, vid long, sig binary, bands array<long>"), "signed")
-    firsts = materialize(signed.groupBy("vid").agg(F.min("doc_id").alias("first_id")), "firsts")
-    labels = _labels(signed, firsts, keyed, similarity, rows)
-    labelled = firsts.join(labels, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
+    """(doc_id, hash) of every row of ``docs``, and (hash, vid, first_id, label, class_id) of every text."""
+    keyed = _keyed(docs.select("doc_id", "text"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, hash binary, size long, sig binary, bands array<long>"
+    signed = materialize(keyed.select("doc_id", "hash", "text").mapInArrow(lambda it: _signed(it, bands, rows), schema), "signed")
+    unique = signed.groupBy("hash").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "sig", "bands")))
+    unique = materialize(unique.withColumn("vid", F.monotonically_increasing_id()), "unique")
+    labels = _labels(unique, keyed, similarity, rows)
+    labelled = unique.select("hash", "vid", "first_id").join(labels, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
     class_ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    return signed.select("doc_id", "vid"), labelled.join(class_ids, "label").select("vid", "first_id", "label", "class_id")
+    return signed.select("doc_id", "hash"), labelled.join(class_ids, "label").select("hash", "vid", "first_id", "label", "class_id")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of every row of ``docs`` (doc_id, text, ...)."""
     rows, of = classes(docs, similarity)
-    return rows.join(of.select("vid", "class_id"), "vid").select("doc_id", "class_id")
+    return rows.join(of.select("hash", "class_id"), "hash").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each class, one row each, with all their columns."""
-    _, of = classes(docs, similarity)
-    kept = of.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("vid").alias("kept_vid"), F.first("class_id").alias("kept_id"))
-    keyed = _with_vid(docs)
-    mine = (keyed["__vid"] == kept["kept_vid"]) & keyed["doc_id"].eqNullSafe(kept["kept_id"])
-    return keyed.join(kept, mine, "left_semi").dropDuplicates(["__vid", "doc_id"]).drop("__vid")
+    plain = renamed(docs, "doc_id", "text")
+    _, of = classes(plain, similarity)
+    kept = of.where(F.col("first_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min_by("hash", "vid").alias("kept_hash"), F.first("class_id").alias("kept_id"))
+    mine = (F.col("hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return _keyed(plain).join(kept, mine, "left_semi").dropDuplicates(["hash", "doc_id"]).drop("hash").toDF(*docs.columns)

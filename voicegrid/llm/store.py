@@ -20,5 +20,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(docs: DataFrame, *known: str) -> DataFrame:
+    """``docs`` with plain names (x0, x1, ...) for all columns but ``known``; ``toDF(*docs.columns)`` gives the names back.
+
+    No name that an operator adds clashes then, and names with dots or backticks need no quoting.
+    """
+    return docs.toDF(*(c if c in known else f"x{k}" for k, c in enumerate(docs.columns)))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -45,12 +45,13 @@ def seeded(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x + np.uint64((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) % (1 << 64)))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``limit`` bytes, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], columns: str | tuple[str, ...], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the columns hold about ``limit`` bytes, one row at least."""
+    columns = (columns,) if isinstance(columns, str) else columns
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
