@@ -36,7 +36,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["kind"].isin(*secrets.BASE))
     counts = [_count(kind) for kind in secrets.BASE]
-    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"), (F.size("found") - F.size(base)).alias("n_linked"), "held_back")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(docs, pii.train(docs))
     base = F.filter("found", lambda x: ~x["added"])
     counts = [_count(kind, base) for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line("found").alias("spans"), (F.size("found") - F.size(base)).alias("n_added"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
