@@ -3,8 +3,8 @@
 A document's size is its number of words. The sources, in code-point order with
 null last, weigh 3, 1, 2, 3, 1, 2, ... and share ``BUDGET`` times all words.
 A target stops at ``EPOCHS`` times its source's size; the excess is shared anew
-by weight until no target is above. Each round is one aggregate over the table
-of sources, which gives the water level: the words for one unit of weight.
+by weight until no target is above. Running sums over the sources in the order of
+cap by weight give the water level, the words for one unit of weight, in one pass.
 
 A source's rate is its target by its size. Every document is taken whole
 floor(rate) times. For the fraction left, a source's documents are dealt by a
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import materialize
+from .store import materialize, renamed
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -42,30 +42,37 @@ def size_of(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
-    """``sources`` with ``rank`` from 0 by code points, null last; ranges are ranked apart and shifted by the counts before."""
-    dealt = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
-    dealt = materialize(dealt, "sources")
-    before = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    return dealt.withColumn("within", within).join(before.select("part", F.coalesce("before", F.lit(0)).alias("before")), "part").withColumn("rank", F.col("within") + F.col("before")).drop("part", "within", "before")
+def _running(rows: DataFrame, order: list[Column], name: str, **summed: Column) -> DataFrame:
+    """``rows`` with the sums of ``summed`` over all rows before; ranges are summed apart and shifted by the sums of those before."""
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = dealt.groupBy("part").agg(*(F.sum(c).alias(k) for k, c in summed.items()))
+    ranges = ranges.select("part", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in summed))
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *(F.coalesce(F.sum(c).over(within), F.lit(0)).alias(k) for k, c in summed.items())).join(ranges, "part")
+    for k in summed:
+        out = out.withColumn(k, F.col(k) + F.col(f"{k}_before")).drop(f"{k}_before")
+    return out.drop("part")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
-    """source, n, source_size, target of (source, size) rows."""
-    sources = _ranked(sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")))
+    """source, n, source_size, target of (source, n, size) rows, each of which stands for n documents.
+
+    Sources reach their caps in the order of cap by weight. If all before one of them
+    are full, the others share what is left by weight, which is a level; the first
+    source that its level doesn't fill gives the final level.
+    """
+    sources = sizes.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    ranked = _running(sources, [F.col("source").asc_nulls_last()], "sources", rank=F.lit(1))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = materialize(sources.select("source", "n", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).alias("cap")), "weights")
-    total = sources.agg(F.sum("source_size")).first()[0]
-    level = 0.0
-    while True:
-        full = F.col("cap") < F.col("weight") * F.lit(level)
-        capped, free = sources.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
-        higher = (budget * total - capped) / free if free else level
-        if higher <= level:
-            break
-        level = higher
-    return sources.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level)))
+    weighed = ranked.select("source", "n", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).alias("cap"))
+    order = [F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()]
+    filled = materialize(_running(weighed, order, "weights", nth=F.lit(1), capped=F.col("cap"), gone=F.col("weight")), "filled")
+    words, every = filled.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(budget * (words or 0)) - F.col("capped")) / (F.lit(every or 0) - F.col("gone"))
+    last = filled.select("nth", "cap", "weight", level.alias("level")).where("cap >= weight * level").agg(F.min_by("level", "nth")).first()[0]
+    target = F.col("cap").cast("double") if last is None else F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(last))
+    return filled.select("source", "n", "source_size", target.alias("target"))
 
 
 def _key(seed: int) -> Column:
@@ -83,14 +90,17 @@ def _grouped(sizes: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def cuts(sizes: DataFrame, of: DataFrame) -> DataFrame:
-    """(__in, __at, __cut, __left): for each source and group, the last key that takes words and the words that it takes."""
+    """(__in, __at, __cut, __left): for each source and group, the last key that takes words and the words that it takes.
+
+    sizes: source, __key, __size, __alike, one row for all documents of a key.
+    """
     rows = _grouped(sizes, of)
     mine = Window.partitionBy("source", "__group")
-    alike = F.count("*").over(Window.partitionBy("source", "__group", "__key"))
-    before = F.sum("__size").over(mine.orderBy("__key").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__size") * F.col("__alike")
-    share = F.floor((F.col("__rate") - F.floor("__rate")) * F.sum("__size").over(mine) + 0.5)
+    words = F.col("__size") * F.col("__alike")
+    before = F.coalesce(F.sum(words).over(mine.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.floor((F.col("__rate") - F.floor("__rate")) * F.sum(words).over(mine) + 0.5)
     left = F.greatest(F.lit(0), F.least(F.col("__size"), F.floor((F.col("__share") - F.col("__before")) / F.col("__alike"))))
-    rows = rows.withColumn("__alike", alike).withColumn("__before", before).withColumn("__share", share).withColumn("__left", left)
+    rows = rows.withColumn("__before", before).withColumn("__share", share).withColumn("__left", left)
     last = rows.where("__left > 0").groupBy("source", "__group").agg(F.max("__key").alias("__cut"), F.max_by("__left", "__key").alias("__left"))
     return last.select(F.col("source").alias("__in"), F.col("__group").alias("__at"), "__cut", "__left")
 
@@ -103,9 +113,14 @@ def _taken(sizes: DataFrame, of: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _planned(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes and keys of all documents, what is known of their sources, and where groups end.
+
+    Rows alike are counted before anything is dealt by key, so a million of them are one.
+    """
     sizes = materialize(docs.select("doc_id", "source", size_of().alias("__size"), _key(seed).alias("__key")), "sizes")
-    of = targets(sizes.select("source", F.col("__size").alias("size")))
-    return sizes, of, materialize(cuts(sizes, of), "cuts")
+    counted = materialize(sizes.groupBy("source", "__key").agg(F.max("__size").alias("__size"), F.count("*").alias("__alike")), "counted")
+    of = targets(counted.select("source", F.col("__alike").alias("n"), F.col("__size").alias("size")))
+    return sizes, of, materialize(cuts(counted, of), "cuts")
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -119,18 +134,16 @@ def repeated(docs: DataFrame, seed: int = 0) -> DataFrame:
     Columns stay as they are but for a cut text, whose n_chars, if there is that
     column, follows. Rows that take nothing go.
     """
-    columns = docs.columns
-    hidden = docs.select(*(F.col(c).alias(f"x{k}") for k, c in enumerate(columns)), "source", size_of().alias("__size"), _key(seed).alias("__key"))
-    _, of, ends = _planned(docs, seed)
-    rows = _taken(hidden, of, ends).where("__taken > 0")
+    plain = renamed(docs, "doc_id", "text", "source", "n_chars")
+    _, of, ends = _planned(plain, seed)
+    rows = _taken(plain.withColumn("__size", size_of()).withColumn("__key", _key(seed)), of, ends).where("__taken > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
     left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    text = F.col(f"x{columns.index('text')}")
-    new = {c: F.col(f"x{k}") for k, c in enumerate(columns)}
-    new["text"] = F.when(left < F.col("__size"), first_words(text, left)).otherwise(text)
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(left < F.col("__size"), F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
-    return rows.select(*(value.alias(c) for c, value in new.items()))
+    new = {c: F.col(c) for c in plain.columns}
+    new["text"] = F.when(left < F.col("__size"), first_words(F.col("text"), left)).otherwise(F.col("text"))
+    if "n_chars" in new:
+        new["n_chars"] = F.when(left < F.col("__size"), F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*(value.alias(c) for c, value in new.items())).toDF(*docs.columns)
 
 
 def first_words(text: Column, n: Column) -> Column:
