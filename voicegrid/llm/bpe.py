@@ -1,31 +1,41 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last bytes cuts each text into chunks of about a
-kilobyte, so copies of a passage are cut alike wherever they stand. Within a
-chunk, the safe places are single spaces between two characters that aren't
-white space: no token reaches over one, and what stands before one never changes
-the tokens behind it. What lies between a chunk's first and last safe place, its
-core, is encoded and decoded once for all documents a worker sees. Joins of chunks
-are then repaired: the tail of one and the head of the next, up to the safe
-places where both agree with the whole text, are encoded anew, together with
-whole chunks that have no safe place. The ids are hence those of encoding each
-whole text by the library, whatever the cuts.
+kilobyte, so copies of a passage are cut alike wherever they stand. What a chunk
+encodes to is kept and reused for all documents that a worker sees. Joins of chunks
+are then repaired by re-encoding until both sides agree exactly.
+
+Any vocabulary of the library: a join is a window over the end of what is encoded
+and the beginning of the next chunk. The window is encoded anew, and widened, until
+on either side a pre-token with the same place and ids stands in both: pre-tokens are
+found from left to right, so from there on both go on alike. A window's last pre-token
+and what might begin a special token at its end are not trusted. Without such a pre-token
+the window grows to the whole text, so the ids are those of encoding it whole.
+
+Byte-level vocabularies with the usual pre-tokenizer, told by the file, have places
+where agreement needs no search: single spaces between two characters that aren't white
+space. No token reaches over one, and what stands before one never changes the
+tokens behind it. A chunk's core, between its first and last safe place, is as it is;
+the tail of one chunk and the head of the next are re-encoded. Chunks without a safe
+place (scripts without spaces, base64) are joined by windows as above.
 
 Cores and joins that are new are encoded as pieces between safe places, all new
 pieces of a slice of texts in one call of the library, and pieces are kept too.
-Both stores hold a bounded number of characters, in two generations: what is used
+All stores hold a bounded number of characters, in two generations: what is used
 moves to the younger one, and when that is full the older one is dropped. So a
 worker's memory doesn't grow with the corpus. Nothing is shuffled; a lost executor
 costs its running tasks.
 
 Strings of special tokens within a text become those tokens, as in the library.
-Null and empty texts have no ids and decode to the empty text. Rows that repeat
-and null ids give a row each; further columns of the documents don't matter.
+Null and empty texts have no ids and decode to the empty text; very long texts are
+encoded whole. Rows that repeat, ties and null ids give a row each, an empty table
+none; further columns of the documents, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -40,6 +50,10 @@ from .text import _power_tables, mix, slices, text_bytes
 WINDOW, CUT_BITS = 48, 10
 #: Characters that each generation of a worker's stores holds, about.
 KEPT_CHUNKS, KEPT_PIECES = 4_000_000, 4_000_000
+#: The same for chunks that are kept by pre-token, whose values are larger.
+KEPT_SPLIT = 400_000
+#: Characters of a new chunk that a window sees at first, and by how much more each time.
+FIRST, WIDER = 64, 4
 
 #: From one safe place to the next.
 _PIECE = re.compile(r"(?s).[^ ]*(?:(?:(?<=\s) | (?!\S))[^ ]*)*")
@@ -57,10 +71,12 @@ class _Store:
     def __init__(self, limit: int):
         self.young, self.old, self.limit, self.held = {}, {}, limit, 0
 
-    def turn(self) -> None:
+    def turn(self) -> bool:
         """Drop the older generation if the younger one is full."""
-        if self.held > self.limit:
+        full = self.held > self.limit
+        if full:
             self.old, self.young, self.held = self.young, {}, 0
+        return full
 
     def put(self, texts: list[str], values: list) -> None:
         self.young.update(zip(texts, values, strict=True))
@@ -74,6 +90,27 @@ class _Store:
         return texts.difference(used)
 
 
+#: Place, end and ids of a pre-token.
+Split = tuple[int, int, tuple[int, ...]]
+
+
+def _splits(encoding, base: int) -> list[Split]:
+    """The pre-tokens of an encoding, ``base`` characters further on."""
+    ids, words = encoding.ids, encoding.word_ids
+    cuts = [k for k, word in enumerate(words) if not k or word is None or word != words[k - 1]]
+    offsets = encoding.offsets
+    return [(offsets[s][0] + base, offsets[e - 1][1] + base, tuple(ids[s:e])) for s, e in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+
+
+def _has_safe_places(library) -> bool:
+    """Whether single spaces between others are where tokens end, whatever stands around."""
+    spec = json.loads(library.to_str())
+    pre, model, decoder = (spec[k] or {} for k in ("pre_tokenizer", "model", "decoder"))
+    plain = spec["normalizer"] is None and spec["post_processor"] is None and model.get("type") == "BPE" and not model.get("dropout")
+    levels = pre.get("type") == decoder.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return plain and levels and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+
+
 class Encoder:
     """Encodes and decodes texts with one vocabulary; lives as long as its worker."""
 
@@ -84,9 +121,59 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
+        self.safe = _has_safe_places(self.library)
+        self.margin = max([8, *(len(t.content) for t in self.library.get_added_tokens_decoder().values())])
         self.decimal = [str(k) for k in range(self.library.get_vocab_size())]
-        self.chunks, self.pieces = _Store(KEPT_CHUNKS), _Store(KEPT_PIECES)
-        self.odd: dict[str, str] = {}  # pieces that decode to another text
+        self.chunks, self.pieces, self.split = _Store(KEPT_CHUNKS), _Store(KEPT_PIECES), _Store(KEPT_SPLIT)
+        self.odd: dict[str, str] = {}  # kept pieces that decode to another text
+
+    def _encoded(self, text: str, base: int = 0) -> list[Split]:
+        return _splits(self.library.encode(text, add_special_tokens=False), base)
+
+    def repaired(self, chunks: list[str]) -> list[int]:
+        """Ids of the text that ``chunks`` make up."""
+        self.split.turn()
+        new = list(self.split.missing(set(chunks)))
+        self.split.put(new, [_splits(e, 0) for e in self.library.encode_batch(new, add_special_tokens=False)])
+        known, text = self.split.young, "".join(chunks)
+        begins = np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).tolist()
+        done: list[Split] = []
+        mine, at = known[chunks[0]] if chunks else [], 0
+        while at < len(chunks) - 1:
+            # What the chunk alone and the whole text have in common for sure.
+            done += [x for x in mine[:-1] if x[1] <= begins[at + 1] - self.margin]
+            mine, at = self._window(text, begins, chunks, known, done, at + 1)
+        return [id_ for x in [*done, *mine] for id_ in x[2]]
+
+    def _window(self, text: str, begins: list[int], chunks: list[str], known: dict, done: list[Split], at: int) -> tuple[list[Split], int]:
+        """Puts in ``done`` what is up to an agreement in chunk ``at`` or one behind it; the pre-tokens of that chunk from there, and its number."""
+        back, stop, theirs = min(len(done), 4), min(len(text), begins[at] + FIRST), None
+        while True:
+            first = done[-back][0] if back else 0
+            seen = self._encoded(text[first:stop], first)
+            if back:
+                tail = {x: len(done) - back + k for k, x in enumerate(done[len(done) - back :])}
+                agreed = next((k for k, x in enumerate(seen) if x in tail), None)
+                if agreed is None:
+                    back = min(len(done), back * WIDER) if back < len(done) else 0
+                    continue
+                kept, seen = tail[seen[agreed]] + 1, seen[agreed + 1 :]
+            else:
+                kept = 0
+            if stop == len(text):
+                done[kept:] = seen
+                return [], len(chunks)
+            sure = [x for x in seen[:-1] if x[1] <= stop - self.margin]
+            if theirs is None:
+                theirs = {(s + begins[at], e + begins[at], ids): k for k, (s, e, ids) in enumerate(known[chunks[at]])}
+            agreed = next((k for k, x in enumerate(sure) if x in theirs), None)
+            if agreed is not None:
+                base = begins[at]
+                done[kept:] = sure[: agreed + 1]
+                return [(s + base, e + base, ids) for s, e, ids in known[chunks[at]][theirs[sure[agreed]] + 1 :]], at
+            stop = min(len(text), first + WIDER * (stop - first))
+            while at + 1 < len(chunks) and begins[at + 1] + FIRST <= stop:
+                at, theirs = at + 1, None
 
     def _learn(self, pieces: set[str]) -> None:
         new = list(self.pieces.missing(pieces))
@@ -108,40 +195,49 @@ class Encoder:
             text = "".join(pieces)
         return ",".join([known[p] for p in pieces]), text
 
+    def _joined(self, chunks: list[str]) -> tuple[str, str]:
+        ids = self.repaired(chunks)
+        return ",".join([self.decimal[k] for k in ids]), self.library.decode(ids, skip_special_tokens=False)
+
     def documents(self, texts: list[list[str]]) -> list[tuple[str, str]]:
         """(ids joined by commas, decoded text) of each text, given as its chunks."""
+        if not self.safe:
+            return [self._joined(chunks) for chunks in texts]
         self.chunks.turn()
-        self.pieces.turn()
+        if self.pieces.turn():
+            self.odd = {p: b for p, b in self.odd.items() if p in self.pieces.old}
         new = {c: _PIECE.findall(c) for c in self.chunks.missing({c for chunks in texts for c in chunks})}
         known = self.chunks.young
         # Each text as the joins to repair and, between them, the chunks whose cores are as they are.
         plans, joins = [], {}
         for chunks in texts:
-            plan, open_ = [], ""
+            plan, open_ = [], []
             for chunk in chunks:
                 pieces = new.get(chunk)
                 head, tail = (pieces[0], pieces[-1] if len(pieces) > 1 else "") if pieces else known[chunk][:2]
-                open_ += head
+                open_.append(head)
                 if tail:  # the chunk has a safe place, where the join ends
-                    plan += [(open_, None), (None, chunk)]
-                    open_ = tail
+                    plan += [(tuple(open_), None), (None, chunk)]
+                    open_ = [tail]
             if open_:
-                plan.append((open_, None))
+                plan.append((tuple(open_), None))
             plans.append(plan)
-            joins.update((text, None) for text, _ in plan if text is not None)
-        for text in joins:
-            joins[text] = _PIECE.findall(text)
+            joins.update((parts, None) for parts, _ in plan if parts is not None)
         needed: set[str] = set()
-        for pieces in joins.values():
-            needed.update(pieces)
+        for parts in joins:
+            if len(parts) > 2:  # there are whole chunks within
+                joins[parts] = self._joined(list(parts))
+            else:
+                joins[parts] = _PIECE.findall("".join(parts))
+                needed.update(joins[parts])
         for pieces in new.values():
             needed.update(pieces[1:-1])
         self._learn(needed)
         self.chunks.put(list(new), [(p[0], p[-1] if len(p) > 1 else "", *self._read(p[1:-1])) for p in new.values()])
         out = []
         for plan in plans:
-            parts = [self._read(joins[text]) if chunk is None else known[chunk][2:] for text, chunk in plan]
-            out.append((",".join([ids for ids, _ in parts if ids]), "".join([text for _, text in parts])))
+            read = [known[chunk][2:] if chunk is not None else joins[parts] if len(parts) > 2 else self._read(joins[parts]) for parts, chunk in plan]
+            out.append((",".join([ids for ids, _ in read if ids]), "".join([text for _, text in read])))
         return out
 
 
