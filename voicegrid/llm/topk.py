@@ -1,10 +1,14 @@
 """Exact top-k search by inner product: dual-tree search over cover trees.
 
 Components are turned into integers, floor(``SCALE`` * x); the score of two
-vectors is their inner product. Queries and candidates are indexed alike: a node
-of a cover tree has a centre and the radius that covers its points, and its
-children's centres are picked farthest first until their balls are half as wide
-or there are ``FAN`` of them. No pair of points from two nodes scores more than
+vectors is their inner product. Queries and candidates are indexed alike, by a cover
+tree: a node has a centre, a covering radius and the points within it; its children's
+centres are a net of its points, picked farthest first beginning with its own centre,
+so they are apart by at least the distance that still covers all, and each point goes
+to the nearest one. A net has as many centres as halve the radius, one level of a
+cover tree with base two, or ``FAN`` where space has so many directions that this would
+take more; radii are then what they measure, and fall by less. No pair of points
+from two nodes scores more than
 
     <c, d> + r |d| + s |c| + r s        (centres c, d; radii r, s)
 
@@ -14,23 +18,29 @@ scores found in one block of candidates prune in the blocks after it. Bounds hav
 a margin for rounding, and only pairs strictly below are left out, so ties are
 decided by the smaller id as in a full comparison.
 
-Queries go in chunks of ``CHUNK``, whose tree is broadcast; the candidates of each
-task are indexed in blocks of ``BLOCK`` rows where they lie, and a task sends on k
-rows for each query at most. The best k of these are ranked by query.
+Queries are dealt to groups of about ``QUERIES`` and candidates to groups of about
+``TASK_ROWS``; each pair of groups is one task of one shuffle, which indexes its queries
+once and its candidates in blocks of ``BLOCK``, and sends on k rows for each query at
+most. The best k of these are ranked by query. So the number of jobs doesn't depend on
+that of queries, nothing passes through the driver or is broadcast, and the table is
+shuffled once for every ``QUERIES`` queries. Candidates are dealt by row, so rows that
+repeat an id, however many, are spread.
 
 Vectors that are null or hold a null, NaN or infinite component take no part, nor
-do rows with a null id. Vectors of unlike lengths are compared as if filled up with
-zeros. Of an id that is repeated, the smallest vector is the query; all its rows
-are candidates of others, and none is its own. Scores are exact below 2**53.
+do rows with a null id; an empty table gives none. Vectors of unlike lengths are
+compared as if filled up with zeros. Of an id that is repeated, the smallest vector is
+the query; all its rows are candidates of others, and none is its own. Scores are exact
+below 2**53; beyond that they are rounded, and cut to the range of a long. Other columns
+don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,9 +48,11 @@ from .store import materialize
 
 SCALE = 64
 FAN, LEAF = 32, 256
-BLOCK, CHUNK = 8192, 4096
-#: Candidates of a task at least, where there are enough for all cores.
-TASK_ROWS = 65_536
+BLOCK = 8192
+#: Queries and candidates of a task, about; fewer candidates where there are too few for all cores.
+QUERIES, TASK_ROWS = 131_072, 65_536
+#: What scores beyond the range of a double count as.
+_MOST = 1.7e308
 
 
 class CoverTree:
@@ -49,44 +61,47 @@ class CoverTree:
     def __init__(self, points: np.ndarray):
         self.points = points
         self.order = np.arange(len(points))
-        self.centre: list[np.ndarray] = []
+        self.centre: list[int] = []
         self.radius: list[float] = []
-        self.norm: list[float] = []
         self.range: list[tuple[int, int]] = []
+        self.parent: list[int] = []
         self.children: list[list[int]] = []
         if len(points):
-            self._node(0, len(points))
+            self._grow()
+        self.centres = points[self.centre].reshape(len(self.centre), points.shape[1])
         self.points = points[self.order]
-        self.centres = np.array(self.centre).reshape(len(self.centre), points.shape[1])
-        self.radii, self.norms = np.array(self.radius), np.array(self.norm)
-        del self.centre
-
-    def _node(self, start: int, end: int) -> int:
-        mine = self.order[start:end]
-        points = self.points[mine]
-        mean = points.mean(0)
-        centre = points[int(((points - mean) ** 2).sum(1).argmin())]
-        apart = np.sqrt(((points - centre) ** 2).sum(1))
-        node = len(self.radius)
-        self.centre.append(centre)
-        self.radius.append(float(apart.max()))
-        self.norm.append(float(np.sqrt((centre**2).sum())))
-        self.range.append((start, end))
-        self.children.append([])
-        if end - start > LEAF and self.radius[node] > 0:
-            owner, k = np.zeros(len(mine), np.int64), 1
-            while k < FAN and apart.max() > self.radius[node] / 2:
-                far = points[int(apart.argmax())]
-                new = np.sqrt(((points - far) ** 2).sum(1))
+        self.radii, self.norms = np.array(self.radius), np.sqrt((self.centres**2).sum(1))
+
+    def _grow(self) -> None:
+        middle = int(((self.points - self.points.mean(0)) ** 2).sum(1).argmin())
+        waiting = [(0, len(self.points), middle, -1)]
+        while waiting:
+            start, end, centre, parent = waiting.pop()
+            mine = self.order[start:end].copy()
+            points = self.points[mine]
+            apart = np.sqrt(((points - self.points[centre]) ** 2).sum(1))
+            node, radius = len(self.radius), float(apart.max())
+            self.centre.append(centre)
+            self.radius.append(radius)
+            self.range.append((start, end))
+            self.parent.append(parent)
+            self.children.append([])
+            if parent >= 0:
+                self.children[parent].append(node)
+            if end - start <= LEAF or radius == 0:
+                continue
+            net, owner = [centre], np.zeros(len(mine), np.int64)
+            while len(net) < FAN and apart.max() > radius / 2:
+                far = int(apart.argmax())
+                new = np.sqrt(((points - points[far]) ** 2).sum(1))
                 nearer = new < apart
-                owner[nearer], k = k, k + 1
+                owner[nearer] = len(net)
+                net.append(int(mine[far]))
                 apart = np.minimum(apart, new)
             by = np.argsort(owner, kind="stable")
             self.order[start:end] = mine[by]
-            bounds = start + np.searchsorted(owner[by], np.arange(k + 1))
-            if bounds[1] < end:  # else no child would be smaller
-                self.children[node] = [self._node(int(s), int(e)) for s, e in zip(bounds, bounds[1:]) if e > s]
-        return node
+            bounds = start + np.searchsorted(owner[by], np.arange(len(net) + 1))
+            waiting += [(int(s), int(e), c, node) for s, e, c in zip(bounds, bounds[1:], net) if e > s]
 
 
 class Best:
@@ -96,7 +111,7 @@ class Best:
         self.tree, self.ids, self.k = tree, ids[tree.order], k
         self.score = np.full((len(ids), k), -np.inf)
         self.vec = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.worst = np.full(len(tree.radius), -np.inf)
+        self.worst = np.full(len(tree.radius), -np.inf)  # of all queries of a node
 
     def search(self, data: CoverTree, ids: np.ndarray) -> None:
         if not len(self.ids) or not len(ids):
@@ -131,7 +146,7 @@ class Best:
 
     def _compare(self, q: int, data: CoverTree, d: int, ids: np.ndarray) -> None:
         (s, e), (t, u) = self.tree.range[q], data.range[d]
-        score = self.tree.points[s:e] @ data.points[t:u].T
+        score = np.nan_to_num(self.tree.points[s:e] @ data.points[t:u].T, nan=0.0, posinf=_MOST, neginf=-_MOST)
         hit = (score >= self.score[s:e, -1:]) & (ids[None, t:u] != self.ids[s:e, None])
         rows, columns = np.nonzero(hit)
         if not len(rows):
@@ -145,17 +160,12 @@ class Best:
         first = np.searchsorted(row, changed)[:, None] + np.arange(self.k)
         self.score[s + changed], self.vec[s + changed] = values[first], vec[first]
         # The group's bound, and those of the groups it is part of.
-        kth = self.score[:, -1]
-        for node in self._above(q):
-            a, b = self.tree.range[node]
-            self.worst[node] = kth[a:b].min()
-
-    def _above(self, q: int) -> list[int]:
-        s, e = self.tree.range[q]
-        return [node for node, (a, b) in enumerate(self.tree.range) if a <= s and e <= b]
+        self.worst[q] = self.score[s:e, -1].min()
+        while (q := self.tree.parent[q]) >= 0:
+            self.worst[q] = self.worst[self.tree.children[q]].min()
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, rank = np.nonzero(np.isfinite(self.score))
+        query, rank = np.nonzero(self.vec != np.iinfo(np.int64).max)
         return self.ids[query], self.vec[query, rank], np.clip(self.score[query, rank], -(2.0**63), 2.0**63 - 1024).astype(np.int64)
 
 
@@ -168,28 +178,6 @@ def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
-def _wider(points: np.ndarray, width: int) -> np.ndarray:
-    return np.pad(points, ((0, 0), (0, width - points.shape[1])))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append((batch.column("vec_id").to_numpy(), _matrix(batch.column("vector"))))
-            n += batch.num_rows
-        if n >= BLOCK:
-            yield _stacked(held)
-            held, n = [], 0
-    if n:
-        yield _stacked(held)
-
-
-def _stacked(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    width = max(p.shape[1] for _, p in held)
-    return np.concatenate([i for i, _ in held]), np.concatenate([_wider(p, width) for _, p in held])
-
-
 def integers(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, vector (array of whole doubles) of the rows that take part."""
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -200,34 +188,33 @@ def integers(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
 
 def top_k(embeddings: DataFrame, k: int = 20, modulus: int = 20, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of the rows whose vec_id is divisible by ``modulus``."""
-    spark = embeddings.sparkSession
     vectors = materialize(integers(embeddings, scale), "vectors")
-    queries = materialize(vectors.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    n = vectors.count()
-    tasks = max(-(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // 1024)), 1)
-    dealt = vectors.repartition(tasks)
-    chunks = max(1, -(-queries.count() // CHUNK))
-    found = None
-    for chunk in range(chunks):
-        table = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk).orderBy("vec_id").toArrow().combine_chunks()
-        ids = table.column("vec_id").to_numpy()
-        points = _stacked([(ids[:0], np.zeros((0, 1))), *((b.column("vec_id").to_numpy(), _matrix(b.column("vector"))) for b in table.to_batches())])[1]
-        shared = spark.sparkContext.broadcast((ids, points, CoverTree(points)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, points, tree = shared.value
-            best = Best(tree, ids, k)
-            for vec, data in _blocks(batches):
-                width = max(tree.points.shape[1], data.shape[1])
-                if width > tree.points.shape[1]:
-                    tree.points, tree.centres = _wider(tree.points, width), _wider(tree.centres, width)
-                best.search(CoverTree(_wider(data, width)), vec)
-            query, vec, score = best.rows()
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
-
-        part = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-        part = part if chunks == 1 else materialize(part, "found")
-        found = part if found is None else found.union(part)
+    is_query = F.col("vec_id") % modulus == 0
+    n, n_queries, width = vectors.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("vector"))).first()
+    asking = max(1, -(-n_queries // QUERIES))
+    asked = max(-(-n // TASK_ROWS), min(embeddings.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+
+    def dealt(rows: DataFrame, mine: Column, others: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
+        """Rows once for each group of the other side."""
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return rows.select(cell(F.col("mine"), F.col("other")).alias("cell"), "vec_id", "vector").repartition(2 * asking * asked, "cell").groupBy("cell")
+
+    candidates = dealt(vectors, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(asked)), asking, lambda d, q: d * asking + q)
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = dealt(queries, F.pmod(F.xxhash64("vec_id"), F.lit(asking)), asked, lambda q, d: d * asking + q)
+
+    def search(theirs: pa.Table, mine: pa.Table) -> pa.Table:
+        theirs, mine = theirs.combine_chunks(), mine.combine_chunks()
+        best = None
+        if mine.num_rows and theirs.num_rows:
+            best = Best(CoverTree(_matrix(mine.column("vector").chunk(0), width or 0)), mine.column("vec_id").to_numpy(), k)
+            for at in range(0, theirs.num_rows, BLOCK):
+                block = theirs.slice(at, BLOCK)
+                best.search(CoverTree(_matrix(block.column("vector").chunk(0), width or 0)), block.column("vec_id").to_numpy())
+        rows = best.rows() if best else [np.zeros(0, np.int64)] * 3
+        return pa.table({c: pa.array(x) for c, x in zip(("query_id", "vec_id", "score"), rows, strict=True)})
+
+    found = candidates.cogroup(queries).applyInArrow(search, "query_id long, vec_id long, score long")
     turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(turn)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
