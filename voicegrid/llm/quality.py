@@ -15,8 +15,10 @@ sample's scores, the one that splits the sample's labels best; scores are
 shifted and squashed so that the threshold is ``CUT``.
 
 Null and empty texts have all measures zero and get the score which that gives.
-Without labels of both kinds all documents score 1. Repeated rows score alike;
-further columns of the documents don't matter and pass through ``keep_good``.
+Without labels of both kinds all documents score 1. Repeated rows score alike,
+ties at the threshold are kept, very long texts are measured whole. Further columns of
+the documents, whatever their names, don't matter and pass through ``keep_good``; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .labelled import SAMPLE, held_out, labelled_sample
-from .store import materialize
+from .store import materialize, renamed
 from .text import NOT_SPACE, Words, slices, text_bytes
 
 CUT = 0.3
@@ -86,7 +89,7 @@ def measures(texts: pa.Array) -> np.ndarray:
         np.sqrt(repeats / some),
         repeats / some,
         np.where(count > 0, 1 - distinct / some, 0),
-        np.where(count >= 100, 1 - distinct / some, 0),
+        np.where(count > 0, 1 - distinct / some, 0) * count / (count + 100),  # short texts repeat few words by chance
         np.sqrt(ended / some),
         ended / some,
         np.sqrt(lone / some),
@@ -177,30 +180,24 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, value: int = 0,
     return fit(labelled_sample(docs, labels, "quality", modulus, value, sample), cut)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: QualityModel) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(model.scores(measures(part.column("text"))))], [*part.schema.names, "score"])
-
-
 def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
-    """``docs`` with a double ``column``; a column of that name is replaced."""
-    docs = docs.drop(column)
-    name = "score"
-    while name in docs.columns:
-        name = f"_{name}"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` double"])
+    """``docs`` with a double ``column`` behind its own; a column of that name is replaced."""
+    rows = renamed(docs, "text")
+    kept = [k for k, c in enumerate(docs.columns) if c != column]
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _scored(batches, model):
-            yield batch.rename_columns([*batch.schema.names[:-1], name])
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(measures(part.column("text"))))], [*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema).withColumnRenamed(name, column)
+    out = rows.mapInArrow(run, schema)
+    return out.select(*(rows.columns[k] for k in kept), "score").toDF(*(docs.columns[k] for k in kept), column)
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The rows of ``docs`` that score the threshold or more, with the columns they had."""
-    scored = score(docs, model, "__quality")
-    return scored.where(F.col("__quality") >= model.cut).drop("__quality")
+    scored = score(renamed(docs, "text"), model)
+    return scored.where(F.col("score") >= model.cut).drop("score").toDF(*docs.columns)
 
 
 def judged(docs: DataFrame, model: QualityModel, modulus: int = 5, value: int = 0) -> DataFrame:
