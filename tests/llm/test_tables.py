@@ -154,7 +154,8 @@ def plain_top_k(vectors, k=20, modulus=20):
 @pytest.mark.parametrize("kind", ["clusters", "alike", "odd"])
 def test_top_k_equals_brute_force(spark, kind, monkeypatch):
     rng = np.random.default_rng(2)
-    monkeypatch.setattr(topk, "CHUNK", 40)
+    monkeypatch.setattr(topk, "QUERIES", 30)  # several groups of either side
+    monkeypatch.setattr(topk, "TASK_ROWS", 300)
     if kind == "clusters":
         vectors = [(k, (rng.standard_normal(8) * 0.05 + np.eye(8)[k % 4]).tolist()) for k in range(1500)]
     elif kind == "alike":
@@ -166,6 +167,38 @@ def test_top_k_equals_brute_force(spark, kind, monkeypatch):
     assert got == plain_top_k(vectors)
 
 
+def test_jobs_do_not_grow_with_groups_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(k, rng.standard_normal(4).tolist()) for k in range(800)], "vec_id long, embedding array<float>")
+    jobs = []
+    for size in (10**6, 5):
+        monkeypatch.setattr(topk, "QUERIES", size)
+        spark.sparkContext.setJobGroup(f"top-{size}", "")
+        got = sorted(tuple(r) for r in topk.top_k(table).collect())
+        jobs.append((len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"top-{size}")), got))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_huge_scores_keep_their_candidates(spark):
+    table = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [-1e300, 0.0]), (3, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"]) for r in topk.top_k(table).collect()]
+    assert got == [(1, 3), (2, 1), (3, 2)]
+
+
+def test_trees_cover_and_separate():
+    points = np.random.default_rng(1).standard_normal((3000, 3)).round(1)
+    tree = topk.CoverTree(points)
+    assert sorted(tree.order) == list(range(3000))
+    for node, children in enumerate(tree.children):
+        s, e = tree.range[node]
+        assert np.sqrt(((tree.points[s:e] - tree.centres[node]) ** 2).sum(1)).max() <= tree.radii[node] + 1e-12
+        if children:
+            assert [tree.range[c] for c in children] and sum(tree.range[c][1] - tree.range[c][0] for c in children) == e - s
+            apart = np.sqrt(((tree.centres[children][:, None] - tree.centres[children][None]) ** 2).sum(2))[np.triu_indices(len(children), 1)]
+            assert apart.min() >= max(tree.radii[c] for c in children) - 1e-12 and any((tree.centres[c] == tree.centres[node]).all() for c in children)
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -265,6 +298,31 @@ def test_copies_share_chunks_and_stores_stay_small(prose, monkeypatch):
         assert encoder.pieces.held <= 2000 + len(t) and encoder.chunks.held <= 3000 + len(t)
 
 
+def test_joins_are_repaired_for_any_vocabulary(documents, prose):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    letters = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(9000))
+    marked = "".join(rng.choice(["日本", "語の", "テキスト", "。", "、", "x1", "'s ", "\u0301"]) for _ in range(4000))
+    coded = "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(9000))
+    texts = [letters, letters[3000:] + "x", marked, "y" + marked, coded, "Hello  World it's " * 900, "<|endoftext|>" * 300, coded[:4000] + "<|endoftext|>" + letters, "é" * 5000, "", None]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        vocabulary = public_tokenizers.path(name)
+        plain = Tokenizer.from_file(vocabulary)
+        for r in bpe.encode_and_decode(documents(list(enumerate(texts))), vocabulary).collect():
+            ids = plain.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+            assert r["ids"] == ",".join(map(str, ids)) and r["decoded"] == plain.decode(ids, skip_special_tokens=False)
+    encoder, calls = bpe.Encoder(vocabulary), []
+    encoder._encoded, real = (lambda text, base=0: (calls.append(len(text)), real(text, base))[1]), encoder._encoded
+    chunks = [marked[k : k + 500] for k in range(0, len(marked), 500)]
+    assert encoder.repaired(chunks) == plain.encode(marked, add_special_tokens=False).ids
+    assert sum(calls) < len(marked) / 2  # joins only; the chunks were encoded once, and not again for another text
+    before = encoder.split.held
+    encoder.repaired(chunks[::-1])
+    assert encoder.split.held == before
+
+
 # Pipeline
 
 
@@ -280,6 +338,7 @@ def test_pipeline_stages(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES][1] == "MinHash near-dedup"
     before = rows
+    before_texts = {}
     for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf)
         if number < 4:
@@ -313,7 +372,51 @@ def test_pipeline_stages(spark):
         else:
             plain = library()
             for r in docs.collect():
-                assert r["n_tokens"] == (r["ids"].count(",") + 1 if r["ids"] else 0)
-            one = docs.first()
-            assert hashlib.sha256(plain.decode(list(map(int, one["ids"].split(",")))).encode()).hexdigest() == one["decoded_sha256"]
+                ids = plain.encode(before_texts[r["doc_id"]].pop(), add_special_tokens=False).ids if len(before_texts[r["doc_id"]]) == 1 else list(map(int, r["ids"].split(","))) if r["ids"] else []
+                assert r["n_tokens"] == len(ids) and r["ids"] == ",".join(map(str, ids))
+                assert hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest() == r["decoded_sha256"]
+        before_texts = {}
+        for d, t in after:
+            before_texts.setdefault(d, []).append(t)
         before = dict(after)
+
+
+STRANGE = ("__quality", "__vid", "a.b", "a`b", "x0", "Score", "hash")
+
+
+def test_pipeline_with_strange_rows_and_columns(spark, prose, odd, tmp_path):
+    import corpus_pipeline
+
+    good = prose(40, 120)
+    texts = good + odd + [good[0], good[0], "x0 mail me@x.yz " + good[1]]
+    rows = [(k if k != 45 else None, t, "en", "ab"[k % 2] if k % 7 else None, len(t) if t is not None else None, *(f"{c}-{k}" for c in STRANGE)) for k, t in enumerate(texts)] + [(0, good[0], "en", "b", 1, *(f"{c}-0" for c in STRANGE))] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__quality` string, `__vid` string, `a.b` string, `a``b` string, x0 string, Score string, hash string"
+    for name, table in (("full", rows), ("empty", [])):
+        folder = tmp_path / name
+        spark.createDataFrame(table, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(k, int(k % 9 > 0), 0) for k in range(40 if table else 0)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        columns, marks = docs.columns, {r["doc_id"]: tuple(r)[5:] for r in docs.collect()}
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            docs = stage(spark, docs, str(folder))
+            assert docs.columns == columns
+            out = docs.collect()
+            docs = spark.createDataFrame(out, docs.schema)
+            assert all(tuple(r)[5:] == marks[r["doc_id"]] for r in out if r["doc_id"] not in (None, 0))
+            if number == 1:
+                assert len({r["doc_id"] for r in out}) == len(out)
+            if number == 2:
+                assert not any("me@x.yz" in (r["text"] or "") for r in out)
+        got = corpus_pipeline.STAGES[-1][1](spark, docs, str(folder)).collect()
+        assert len(got) == len(out) and (not table or len(got) > 20)
+
+
+def test_a_table_of_equal_rows(documents):
+    """Rows that repeat are counted before anything is dealt by their key."""
+    docs = documents([(None, "one and the same text", "a")] * 20_000 + [(1, "another text altogether", "b")])
+    from voicegrid.llm import neardup
+
+    taken = mixing.mix(docs).collect()
+    assert len(taken) == 20_001 and len({r["taken"] for r in taken if r["doc_id"] is None}) == 1
+    assert neardup.near_duplicates(docs).groupBy("class_id").count().collect()[0]["count"] in (1, 20_000)
+    assert neardup.keep_one(docs).count() == 2
