@@ -18,6 +18,18 @@ def test_csv_keeps_two_fields_stripped(spark, tmp_path):
     assert manifest.from_csv(spark, str(path)).count() == 8
 
 
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "d" / "id\n1").mkdir(parents=True)
+    for name in ("id\n1/a.flac", "id\n1/b\"c,.flac"):
+        (tmp_path / "d" / name).write_bytes(b"")
+    out = tmp_path / "m.csv"
+    assert manifest.generate_csv(spark, str(tmp_path / "d"), ".flac", str(out)) == 2
+    assert _rows(manifest.from_csv(spark, str(out))) == [("id\n1", f"{tmp_path}/d/id\n1/a.flac"), ("id\n1", f'{tmp_path}/d/id\n1/b"c,.flac')]
+    out.write_text('"a\nb",c\r\nx,"y\n\nz",w\nd,e\n')
+    found = manifest.csv_rows(spark, str(out)).orderBy("pos").collect()
+    assert [(r["n_fields"], r["spk"], r["utt"]) for r in found][:3] == [(2, "a\nb", "c"), (3, None, None), (2, "d", "e")]
+
+
 def test_directory_takes_depth_three_only(spark, tmp_path):
     for name in ("61/70968/61-70968-0000.flac", "61/70968/61-70968-0001.flac", "121/1/121-1-0.flac", "121/1/x/deep-1.flac", "shallow/y-1.flac", "61/70968/notes.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

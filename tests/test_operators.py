@@ -7,6 +7,8 @@ from voicegrid.operators import augment, eer, framing, scoring, train
 from voicegrid.operators.encoders import Attention, Lstm, cosine_triplet_loss
 from voicegrid.sources import audio, models
 
+from conftest import synthetic_tones
+
 ZERO = [0.0, 0.0, 0.0]
 
 
@@ -172,7 +174,7 @@ def test_training_two_steps(spark, tmp_path):
 
 
 def test_mfcc_of_tones(spark):
-    rows = train.synthetic_tones(spark, 2, 0.5)
+    rows = synthetic_tones(spark, 2, 0.5)
     found = audio.feature_table(rows, 20).collect()
     assert all(np.array(r["features"]).shape == (1 + 8000 // 512, 20) for r in found)
     assert audio.mfcc(np.zeros(78_680)).shape == (154, 128)
@@ -183,8 +185,6 @@ def test_mfcc_of_tones(spark):
     low = audio.resample(np.sin(2 * np.pi * 440 * np.arange(8000) / 8000), 8000)
     assert len(low) == 16_000 and np.abs(low[2000:-2000] - np.sin(2 * np.pi * 440 * np.arange(16_000) / 16_000)[2000:-2000]).max() < 0.01
     assert np.allclose(audio.dct_matrix(16, 16) @ audio.dct_matrix(16, 16).T, np.eye(16))
-    with pytest.raises(ValueError):
-        audio.decode(b"fLaC....")
 
 
 def test_config_and_command_line(tmp_path):
@@ -207,7 +207,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     from voicegrid import config
     from voicegrid.plans import jobs
 
-    for r in train.synthetic_tones(spark, 6, 0.6).collect():
+    for r in synthetic_tones(spark, 6, 0.6).collect():
         k = int(r["utt"][4:])
         (tmp_path / f"s{k % 2}").mkdir(exist_ok=True)
         (tmp_path / f"s{k % 2}" / f"{k}.wav").write_bytes(bytes(r["content"]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 COSINE_EPSILON = 1e-6
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often ``use`` mentions it, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -40,8 +47,8 @@ def sigmoid(x: Column) -> Column:
 
 def softmax(v: Column) -> Column:
     """Over the elements of one array (the features of a frame)."""
-    shifted = F.transform(doubles(v), lambda x: F.exp(x - F.array_max(doubles(v))))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    powers = once(doubles(v), lambda d: once(F.array_max(d), lambda most: F.transform(d, lambda x: F.exp(x - most))))
+    return once(powers, lambda p: once(total(p), lambda whole: F.transform(p, lambda x: x / whole)))
 
 
 def matrix_mean(m: Column) -> Column:

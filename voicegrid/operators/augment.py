@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import bernoulli, integer
-from ..functions.vectors import matrix_mean
+from ..functions.vectors import matrix_mean, once
 
 
 @dataclass(frozen=True)
@@ -23,6 +23,7 @@ def masked(df: DataFrame, matrix: str, key: str, masks: Masks, seed: str = "m")
     """``df`` with ``matrix`` masked. Both bands take the mean from before either mask.
 
     Widths are from 1 to their maximum, starts from 0 to what leaves the band inside.
+    Draws and mean are computed once a row, not for each cell.
     """
     n_rows, n_columns = F.size(matrix), F.size(F.element_at(matrix, 1))
 
@@ -30,12 +31,12 @@ def masked(df: DataFrame, matrix: str, key: str, masks: Masks, seed: str = "m")
         width = F.least(integer(1, most, f"{seed}{name}w", key), size)
         start = integer(F.lit(0), size - width, f"{seed}{name}s", key)
         here = bernoulli(prob, f"{seed}{name}p", key)
-        return [F.when(here, start).otherwise(F.lit(-1)).alias(f"__{name}s"), F.when(here, start + width).otherwise(F.lit(-1)).alias(f"__{name}e")]
+        return [F.when(here, start).otherwise(F.lit(-1)).alias(f"{name}s"), F.when(here, start + width).otherwise(F.lit(-1)).alias(f"{name}e")]
 
-    with_bands = df.select("*", matrix_mean(F.col(matrix)).alias("__mean"), *band("f", masks.freq_prob, masks.freq_max, n_columns), *band("t", masks.time_prob, masks.time_max, n_rows))
+    drawn = F.struct(matrix_mean(F.col(matrix)).alias("mean"), *band("f", masks.freq_prob, masks.freq_max, n_columns), *band("t", masks.time_prob, masks.time_max, n_rows))
 
-    def cell(t: Column):
-        return lambda x, m: F.when(((m >= F.col("__fs")) & (m < F.col("__fe"))) | ((t >= F.col("__ts")) & (t < F.col("__te"))), F.col("__mean")).otherwise(x.cast("double"))
+    def rows(b: Column) -> Column:
+        inside = lambda m, t: ((m >= b["fs"]) & (m < b["fe"])) | ((t >= b["ts"]) & (t < b["te"]))
+        return F.transform(matrix, lambda row, t: F.transform(row, lambda x, m: F.when(inside(m, t), b["mean"]).otherwise(x.cast("double"))))
 
-    out = F.transform(matrix, lambda row, t: F.transform(row, cell(t)))
-    return with_bands.withColumn(matrix, out).drop("__mean", "__fs", "__fe", "__ts", "__te")
+    return df.withColumn(matrix, once(drawn, rows))

@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.draws import integer
+from ..functions.numbers import numbered
 
 
-def frames(events: DataFrame, key: str, order: tuple[str, ...], value: str) -> DataFrame:
-    """(key, frame, value): rows of each key numbered from 0."""
-    at = Window.partitionBy(key).orderBy(*order)
-    return events.select(key, (F.row_number().over(at) - 1).cast("long").alias("frame"), value)
+def frames(events: DataFrame, key: str, order: tuple[str, ...], value: str, part: Column | None = None) -> DataFrame:
+    """(key, frame, value): rows of each key numbered from 0. ``part``, which never falls along the order, deals a key to several tasks."""
+    return numbered(events, key, order, F.lit(0) if part is None else part, "frame").select(key, "frame", value)
+
+
+def pool_mean(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, pooled): the mean over a key's frames."""
+    return rows.groupBy(key).agg(F.avg(value).alias("pooled"))
+
+
+def pool_last(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, pooled): the value of a key's last frame."""
+    return rows.groupBy(key).agg(F.max_by(value, "frame").alias("pooled"))
+
+
+def window_rows(rows: DataFrame, key: str, value: str, length: int, step: int) -> DataFrame:
+    """(utt, window, features): each window of a key's frames, of one value each, as a row of bounded size."""
+    inside = framed(rows, key, length, step).groupBy(F.col(key).cast("string").alias("utt"), "window")
+    return inside.agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", value))), lambda x: F.array(x[value])).alias("features"))
 
 
 def window_starts(n: Column, length: int, step: int) -> Column:
@@ -27,11 +42,11 @@ def sliding_windows(matrix: Column, length: int, step: int) -> Column:
 
 def framed(rows: DataFrame, key: str, length: int, step: int) -> DataFrame:
     """Rows (key, frame, ...) once for each window they lie in, with ``window``; a range join by arithmetic."""
-    n = F.count("*").over(Window.partitionBy(key))
+    n = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") >= length)
     first = F.greatest(F.lit(0), F.floor((F.col("frame") - length) / step) + 1)
     last = F.least(F.floor(F.col("frame") / step), F.floor((F.col("n") - length) / step))
-    inside = rows.withColumn("n", n).where(F.col("n") >= length).withColumn("lo", first.cast("long")).withColumn("hi", last.cast("long")).where("lo <= hi")
-    return inside.withColumn("window", F.explode(F.sequence("lo", "hi"))).drop("n", "lo", "hi")
+    inside = rows.join(n, F.col(key).eqNullSafe(F.col("__key"))).withColumn("lo", first.cast("long")).withColumn("hi", last.cast("long")).where("lo <= hi")
+    return inside.withColumn("window", F.explode(F.sequence("lo", "hi"))).drop("n", "lo", "hi", "__key")
 
 
 def crop_start(n: Column, length: int, tag: str, *parts: Column | str) -> Column:

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions import numbers
 from ..functions.draws import uniform32
+from ..session import stored
 
 #: Rows of one key that are numbered together.
 PART = 1 << 16
@@ -25,25 +26,26 @@ def slots(spark: SparkSession, n: int) -> DataFrame:
 
 
 def numbered(manifest: DataFrame, part: Column | None = None) -> DataFrame:
-    """``manifest`` (spk, utt, pos) with ``at``, 0, 1, ... within each speaker in the order of pos.
-
-    A speaker's rows are numbered in parts and shifted by the counts of the parts
-    before, so a speaker with most of the rows is as many tasks as parts.
-    """
-    parted = manifest.withColumn("__part", F.floor(F.col("pos") / PART) if part is None else part)
-    counts = parted.groupBy(F.col("spk").alias("__spk"), F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__spk").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__spk", "__of", before.alias("__before"))
-    within = parted.withColumn("__within", F.row_number().over(Window.partitionBy("spk", "__part").orderBy("pos", "utt")) - 1)
-    joined = within.join(counts, F.col("spk").eqNullSafe(F.col("__spk")) & (F.col("__part") == F.col("__of")))
-    return joined.withColumn("at", F.col("__within") + F.col("__before")).drop("__part", "__spk", "__of", "__within", "__before")
+    """``manifest`` (spk, utt, pos) with ``at``, 0, 1, ... within each speaker in the order of pos."""
+    return numbers.numbered(manifest, "spk", ("pos", "utt"), F.floor(F.col("pos") / PART) if part is None else part, "at")
 
 
 def speakers(manifest: DataFrame) -> DataFrame:
     """(spk, n, k, e): one row a speaker, numbered among all (k) and among the eligible (e, else null)."""
     counts = manifest.groupBy("spk").agg(F.count("*").alias("n"))
-    eligible = F.when(F.col("n") >= 2, F.sum(F.when(F.col("n") >= 2, 1).otherwise(0)).over(Window.orderBy("spk")) - 1)
-    return counts.select("spk", "n", (F.row_number().over(Window.orderBy("spk")) - 1).alias("k"), eligible.alias("e"))
+    ranked = numbers.running(counts, ("spk",), k=F.lit(1), e=F.when(F.col("n") >= 2, 1).otherwise(0))
+    return ranked.select("spk", "n", "k", F.when(F.col("n") >= 2, F.col("e")).alias("e"))
+
+
+def eligible(manifest: DataFrame) -> DataFrame:
+    """(spk, n) of the speakers with two utterances at least."""
+    return manifest.groupBy("spk").agg(F.count("*").alias("n")).where("n >= 2")
+
+
+def renumbered(drawn: DataFrame) -> DataFrame:
+    """Triplets with i 0, 1, ... in the order it had."""
+    moved = numbers.numbered(drawn.withColumn("__all", F.lit(0)), "__all", ("i",), F.floor(F.col("i") / PART), "__i")
+    return moved.select(F.col("__i").alias("i"), *(c for c in drawn.columns if c != "i"))
 
 
 def triplets(manifest: DataFrame, wanted: DataFrame, seed: str = "s") -> DataFrame:
@@ -79,7 +81,7 @@ def accepted_triplets(manifest: DataFrame, lengths: DataFrame, least: int, wante
     """The first ``wanted`` slots whose triplets are accepted; draws twice as many slots at each of ``rounds`` tries, then fails."""
     n = wanted * oversample
     for _ in range(rounds):
-        found = accepted(triplets(manifest, slots(manifest.sparkSession, n), seed), lengths, least).orderBy("i").limit(wanted)
+        found = stored(accepted(triplets(manifest, slots(manifest.sparkSession, n), seed), lengths, least).orderBy("i").limit(wanted), "triplets")
         if found.count() == wanted:
             return found
         n *= 2

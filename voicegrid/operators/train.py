@@ -9,11 +9,14 @@ by default, run on the driver over crops that Spark has prepared.
 
 from __future__ import annotations
 
+import itertools
+import logging
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import models
@@ -22,6 +25,8 @@ from .encoders import Encoder, Params, cosine_triplet_loss
 from .framing import crop
 from .scoring import ROLES
 
+log = logging.getLogger("voicegrid")
+LOG_EVERY = 100
 BETA1, BETA2, EPSILON = 0.9, 0.999, 1e-8
 
 
@@ -45,24 +50,56 @@ def windows_of(x: np.ndarray, length: int, step: int) -> np.ndarray:
     return np.array([x[s : s + length] for s in range(0, len(x) - length + 1, step)])
 
 
+#: Windows that go through an encoder at once.
+FORWARD = 256
+
+
+def _embedded(encoder: Encoder, params: Params, stacks: list[np.ndarray]) -> list[list[float] | None]:
+    """Mean embedding of each stack of windows; windows of like length go through the encoder together."""
+    out: list[list[float] | None] = [None] * len(stacks)
+    by_length: dict[int, list[int]] = {}
+    for k, x in enumerate(stacks):
+        if len(x):
+            by_length.setdefault(x.shape[1], []).append(k)
+    for members in by_length.values():
+        every = np.concatenate([stacks[k] for k in members])
+        found = np.concatenate([encoder.forward(params, every[at : at + FORWARD])[0] for at in range(0, len(every), FORWARD)])
+        ends = np.cumsum([len(stacks[k]) for k in members])
+        for k, part in zip(members, np.split(found, ends[:-1]), strict=True):
+            out[k] = part.mean(0).tolist()
+    return out
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.array([np.asarray(r, float) for r in rows])
+
+
 def infer(features: DataFrame, encoder: Encoder, params: Params, length: int = 100, step: int = 50, full_sequence: bool = False) -> DataFrame:
     """(utt, embedding) of (utt, features): the mean over sliding windows, null without a whole one; or of the full sequence, however short."""
     shared = features.sparkSession.sparkContext.broadcast(params)
 
-    def one(rows) -> list[float] | None:
-        x = np.array([np.asarray(r, float) for r in rows])
-        if not len(x):
-            return None
-        batch = x[None] if full_sequence else windows_of(x, length, step)
-        return encoder.forward(shared.value, batch)[0].mean(0).tolist() if len(batch) else None
-
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"utt": part["utt"], "embedding": [one(f) for f in part["features"]]})
+            matrices = [_matrix(f) for f in part["features"]]
+            stacks = [x[None] if full_sequence and len(x) else windows_of(x, length, step) for x in matrices]
+            yield pd.DataFrame({"utt": part["utt"], "embedding": _embedded(encoder, shared.value, stacks)})
 
     return features.select("utt", "features").mapInPandas(run, "utt string, embedding array<float>")
 
 
+def infer_windows(windows: DataFrame, encoder: Encoder, params: Params) -> DataFrame:
+    """(utt, embedding) of (utt, window, features): windows that are rows of their own, so that no sequence need fit a row."""
+    shared = windows.sparkSession.sparkContext.broadcast(params)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"utt": part["utt"], "embedding": _embedded(encoder, shared.value, [_matrix(f)[None] for f in part["features"]])})
+
+    found = windows.select("utt", "features").mapInPandas(run, "utt string, embedding array<double>")
+    means = found.select("utt", F.posexplode("embedding").alias("k", "x")).groupBy("utt", "k").agg(F.avg("x").alias("x"))
+    return means.groupBy("utt").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda c: c["x"].cast("float")).alias("embedding"))
+
+
 def crops(triplets: DataFrame, features: DataFrame, length: int, masks: Masks | None = None, seed: str = "c") -> DataFrame:
     """(i, role, features): each role of each triplet cropped, and masked if asked, on its own. Features are computed once an utterance."""
     roles = triplets.select("i", F.posexplode(F.array(*ROLES)).alias("role", "utt"))
@@ -108,29 +145,40 @@ def train(
     """Parameters and losses (step, loss) after ``steps`` batches of ``prepared`` (i, role, features), taken in turn by i."""
     spark = prepared.sparkSession
     whole = prepared.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("role", "features"))), lambda x: x["features"]).alias("features")).where(F.size("features") == 3)
-    whole = whole.withColumn("step", F.floor(F.col("i") / batch_size)).persist()
-    losses, adam = [], None
-    try:
-        for step in range(steps):
-            batch = whole.where(F.col("step") == step)
-            if params is None:
-                params = encoder.init(len(whole.first()["features"][0][0]))
+    whole = whole.withColumn("step", F.floor(F.col("i") / batch_size)).where(F.col("step") < steps)
+    losses, adam, began = [], None, time.perf_counter()
+
+    def moved(params: Params, step: int, loss: float, grads: Params) -> Params:
+        params = adam.update(params, grads)
+        losses.append((step, float(loss)))
+        if (step + 1) % LOG_EVERY == 0 or step + 1 == steps:
+            log.info("step %d of %d: loss %.6f, %.1f s", step + 1, steps, loss, time.perf_counter() - began)
+        if save_to and (step + 1) % save_every == 0:
+            models.save(spark, models.checkpoint_path(save_to, step + 1), params)
+        return params
+
+    if distributed:
+        # Ranges of i are cached in order, so a step's job reads the few cached batches that hold its triplets.
+        whole = whole.repartitionByRange("i").sortWithinPartitions("i").persist()
+        try:
+            params = params or encoder.init(len(whole.first()["features"][0][0]))
+            adam = Adam(params, rate)
+            for step in range(steps):
+                params = moved(params, step, *gradients(whole.where(F.col("step") == step), encoder, params, alpha))
+        finally:
+            whole.unpersist()
+    else:  # a batch is a few triplets; all batches come in order from one pass, a partition at a time
+        for step, rows in itertools.groupby(whole.orderBy("i").toLocalIterator(prefetchPartitions=True), key=lambda r: r["step"]):
+            if step != len(losses):
+                break
+            x = np.array([r["features"] for r in rows], float)
+            params = params or encoder.init(x.shape[-1])
             adam = adam or Adam(params, rate)
-            if distributed:
-                loss, grads = gradients(batch, encoder, params, alpha)
-            else:  # a batch is a few triplets
-                x = np.array([r["features"] for r in batch.orderBy("i").collect()], float)
-                if not len(x):
-                    raise ValueError(f"no triplets for step {step}")
-                e, saved = encoder.forward(params, x.reshape(-1, *x.shape[2:]))
-                loss, de = cosine_triplet_loss(e, alpha)
-                grads = encoder.backward(params, saved, de)
-            params = adam.update(params, grads)
-            losses.append((step, float(loss)))
-            if save_to and (step + 1) % save_every == 0:
-                models.save(spark, models.checkpoint_path(save_to, step + 1), params)
-    finally:
-        whole.unpersist()
+            e, saved = encoder.forward(params, x.reshape(-1, *x.shape[2:]))
+            loss, de = cosine_triplet_loss(e, alpha)
+            params = moved(params, step, loss, encoder.backward(params, saved, de))
+        if len(losses) < steps:
+            raise ValueError(f"no triplets for step {len(losses)}")
     if save_to:
         models.save(spark, save_to, params)
     return params, spark.createDataFrame(losses, "step long, loss double")
@@ -143,23 +191,3 @@ def adam_table(params: DataFrame, rate: float, step: int) -> DataFrame:
     moved = params.withColumn("m", m).withColumn("v", v)
     hat_m, hat_v = F.col("m") / F.lit(1 - BETA1**step), F.col("v") / F.lit(1 - BETA2**step)
     return moved.withColumn("theta", F.col("theta") - F.lit(rate) * hat_m / (F.sqrt(hat_v) + F.lit(EPSILON))).drop("g")
-
-
-def synthetic_tones(spark: SparkSession, n: int, seconds: float = 1.0) -> DataFrame:
-    """(utt, content): WAV files of tones, for trying things out."""
-    import io
-    import wave
-
-    rows = []
-    for k in range(n):
-        t = np.arange(int(16_000 * seconds)) / 16_000
-        x = (8000 * np.sin(2 * np.pi * (200 + 50 * k) * t)).astype("<i2")
-        out = io.BytesIO()
-        with wave.open(out, "wb") as w:
-            w.setnchannels(1)
-            w.setsampwidth(2)
-            w.setframerate(16_000)
-            w.writeframes(x.tobytes())
-        rows.append((f"tone{k}", bytearray(out.getvalue())))
-    return spark.createDataFrame(rows, "utt string, content binary")
-

@@ -20,7 +20,7 @@ from ..operators import augment, framing, sampling, scoring, train
 from ..operators.eer import equal_error_rate, far_frr
 from ..operators.encoders import Attention, Lstm
 from ..session import shared_dir
-from ..sources import manifest
+from ..sources import manifest, models
 from ..sources.audio import mfcc
 
 LENGTH, STEP = 20, 10
@@ -48,7 +48,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.frames(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), "value")
+    return framing.frames(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), "value", F.to_date("ts"))
 
 
 def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(df: DataFrame, digits: int) -> DataFrame:
-    rows = df.select("vec_id", F.posexplode("m").alias("r", "row"))
+    # The outer form has no filter of its own, which would compute the matrix once more.
+    rows = df.select("vec_id", F.posexplode_outer("m").alias("r", "row")).where("r is not null")
     return rows.select("vec_id", "r", F.posexplode("row").alias("c", "x")).withColumn("x", F.round("x", digits))
 
 
@@ -82,14 +83,15 @@ def q_path_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_csv_arity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws(",", F.concat(F.lit(" "), F.col("source")), F.concat("lang", F.lit(" ")), F.when(F.col("n_chars") % 3 == 0, "x"))
-    fields = F.split("line", ",")
-    kept = table(spark, sf_dir, "documents").select("doc_id", line.alias("line")).where(F.size(fields) == 2)
-    return kept.select("doc_id", manifest.strip(fields[0]).alias("spk"), manifest.strip(fields[1]).alias("utt"))
+    """Documents as CSV lines, some with a third field, read back: every record with its number of fields."""
+    line = F.concat_ws(",", F.concat(F.lit(" "), F.col("source")), F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit(', ""x"" "')), F.when(F.col("n_chars") % 3 == 0, "x"))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    return manifest.csv_rows(spark, path).groupBy("n_fields", "spk", "utt").agg(F.count("*").alias("n"))
 
 
 def q_eligible_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return speakers(spark, sf_dir).groupBy("spk").agg(F.count("*").alias("n")).where("n >= 2")
+    return sampling.eligible(speakers(spark, sf_dir))
 
 
 def q_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +161,11 @@ def q_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pool_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("pooled"))
+    return framing.pool_mean(sequences(spark, sf_dir), "user_id", "value").withColumn("pooled", F.round("pooled", 6))
 
 
 def q_pool_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark, sf_dir).groupBy("user_id").agg(F.max_by("value", "frame").alias("pooled"))
+    return framing.pool_last(sequences(spark, sf_dir), "user_id", "value")
 
 
 def hash_weights(spark: SparkSession, rows: int, columns: int, tag: str) -> DataFrame:
@@ -194,14 +196,13 @@ def q_adam_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
-    path = f"{shared_dir(spark)}/params-{uuid.uuid4().hex}.parquet"
-    rows.write.parquet(path)
-    back = spark.read.parquet(path)
+    back = models.load_table(spark, models.save_table(rows, f"{shared_dir(spark)}/params-{uuid.uuid4().hex}"))
     return back.select("name", F.element_at("shape", 1).alias("size"), F.round(F.aggregate("data", F.lit(0.0), lambda acc, x: acc + x), 6).alias("total"))
 
 
 def _embedded(spark: SparkSession, sf_dir: str, encoder: Lstm | Attention) -> DataFrame:
-    found = train.infer(feature_rows(spark, sf_dir), encoder, encoder.init(1), LENGTH, STEP)
+    windows = framing.window_rows(sequences(spark, sf_dir), "user_id", "value", LENGTH, STEP)
+    found = train.infer_windows(windows, encoder, encoder.init(1))
     return found.select("utt", F.posexplode("embedding").alias("k", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
@@ -289,7 +290,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "q_manifest_group": "SELECT source, doc_id // 1024 AS part, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS utts, count(*) AS n FROM documents GROUP BY ALL",
         "q_path_speaker": "SELECT page_id, string_split(url, '/')[-2] AS spk, split_part(string_split(url, '/')[-1], '-', 1) AS name_spk, ends_with(url, '.html') AS is_format FROM pages",
-        "q_csv_arity": "SELECT doc_id, trim(source) AS spk, trim(lang) AS utt FROM documents WHERE n_chars % 3 <> 0",
+        "q_csv_arity": """WITH lines AS (SELECT CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN source IS NULL THEN 1 ELSE 2 END AS n_fields, source, doc_id FROM documents)
+SELECT n_fields::INT AS n_fields, CASE WHEN n_fields = 2 THEN trim(source) END AS spk, CASE WHEN n_fields = 2 THEN doc_id::VARCHAR || ', "x"' END AS utt, count(*) AS n FROM lines GROUP BY ALL""",
         "q_eligible_speakers": "SELECT label::VARCHAR AS spk, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) >= 2",
         "q_triplets": f"WITH {_DRAWN} SELECT * FROM triplets",
         "q_triplets_rejected": f"""WITH users AS (SELECT user_id, count(*) AS frames FROM events GROUP BY user_id),

@@ -12,6 +12,7 @@ from ..operators import sampling, scoring, train
 from ..operators.augment import Masks
 from ..operators.eer import equal_error_rate
 from ..operators.encoders import Attention, Encoder, Lstm, Params
+from ..session import stored
 from ..sources import audio, manifest, models
 
 log = logging.getLogger("voicegrid")
@@ -33,13 +34,20 @@ def speaker_encoder(spark: SparkSession, cfg: Config, load_from: str = "") -> tu
 def features(utterances: DataFrame, cfg: Config) -> DataFrame:
     """(utt, features) of each distinct file of a manifest; the files are read on the executors.
 
-    Only the folders' names pass through the driver, as the file source needs them.
+    Names are joined first; files that the manifest doesn't have are never read. Only
+    names pass through the driver, as the file source needs them.
     """
+    spark = utterances.sparkSession
     wanted = utterances.select("utt").distinct()
     folders = [r["f"] for r in wanted.select(F.regexp_replace("utt", "/[^/]*$", "").alias("f")).distinct().collect()]
     if not folders:
         raise ValueError("the manifest is empty")
-    files = audio.read(utterances.sparkSession, folders).join(wanted, "utt", "left_semi")
+    there = audio.names(spark, folders)
+    known = stored(there.join(wanted, "utt", "left_semi"), "files")
+    if known.count() < there.count():
+        files = audio.read(spark, [r["utt"] for r in known.collect()])
+    else:
+        files = audio.read(spark, folders)
     return audio.feature_table(files, cfg.model.n_mfcc).persist()
 
 
@@ -48,21 +56,40 @@ def lengths(table: DataFrame) -> DataFrame:
 
 
 def run_training(spark: SparkSession, cfg: Config, distributed: bool = False) -> tuple[Params, DataFrame]:
+    log.info("train.num_processes (%s) has no effect: Spark's partitions do that work", cfg.train.num_processes)
     utterances = manifest.select(spark, cfg.data.train_csv, cfg.data.train_librispeech_dir)
     table = features(utterances, cfg)
     aug = cfg.train.specaug
     masks = Masks(aug.freq_mask_prob, aug.time_mask_prob, aug.freq_mask_max_width, aug.time_mask_max_width) if aug.use_specaug else None
     drawn = sampling.accepted_triplets(utterances, lengths(table), cfg.model.seq_len, cfg.train.num_steps * cfg.train.batch_size, "train")
     # Slots are numbered anew, so that each step has a full batch.
-    kept = drawn.orderBy("i").rdd.zipWithIndex().map(lambda x: (x[1], x[0]["anchor"], x[0]["pos"], x[0]["neg"]))
-    kept = spark.createDataFrame(kept, "i long, anchor string, pos string, neg string")
+    kept = sampling.renumbered(drawn).select("i", "anchor", "pos", "neg")
     prepared = train.crops(kept, table, cfg.model.seq_len, masks)
     t = cfg.train
     params, losses = train.train(prepared, encoder_of(cfg), t.num_steps, t.batch_size, t.triplet_alpha, t.learning_rate, cfg.model.saved_model_path or None, t.save_model_frequency, encoder_of(cfg).init(cfg.model.n_mfcc, 0), distributed)
     table.unpersist()
+    if cfg.model.saved_model_path:
+        plot = f"{cfg.model.saved_model_path.removesuffix(models.SUFFIX)}.losses.svg"
+        log.info("loss curve in %s", save_loss_curve(losses, plot))
     return params, losses
 
 
+def save_loss_curve(losses: DataFrame, path: str, width: int = 800, height: int = 400) -> str:
+    """A line of losses by step as an SVG file, below the model; steps are thinned to the picture's width."""
+    last = losses.agg(F.max("step")).first()[0]
+    if last is None:
+        points, most = [], 1.0
+    else:
+        column = F.floor(F.col("step") * (width - 1) / F.greatest(F.lit(last), F.lit(1)))
+        rows = losses.groupBy(column.alias("x")).agg(F.avg("loss").alias("y")).orderBy("x").collect()  # one a picture column at most
+        points, most = [(r["x"], r["y"]) for r in rows], max(r["y"] for r in rows) or 1.0
+    line = " ".join(f"{x},{height - 1 - y / most * (height - 1):.1f}" for x, y in points)
+    labels = f'<text x="4" y="14">{most:.4f}</text><text x="{width - 60}" y="{height - 4}">step {last if last is not None else "-"}</text>'
+    svg = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><polyline fill="none" stroke="black" points="{line}"/>{labels}</svg>\n'
+    losses.sparkSession.createDataFrame([(svg,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
 def run_eval(spark: SparkSession, cfg: Config) -> tuple[float | None, float | None]:
     utterances = manifest.select(spark, cfg.data.test_csv, cfg.data.test_librispeech_dir)
     if not cfg.model.saved_model_path:
@@ -70,7 +97,8 @@ def run_eval(spark: SparkSession, cfg: Config) -> tuple[float | None, float | No
     encoder, params = speaker_encoder(spark, cfg, cfg.model.saved_model_path)
     table = features(utterances, cfg)
     full = cfg.eval.full_sequence_inference
-    embeddings = train.infer(table, encoder, params, cfg.model.seq_len, cfg.model.sliding_window_step, full)
+    embeddings = stored(train.infer(table, encoder, params, cfg.model.seq_len, cfg.model.sliding_window_step, full), "embeddings")
+    log.info("%d utterances have embeddings", embeddings.where("embedding is not null").count())
     drawn = sampling.accepted_triplets(utterances, lengths(table), 1 if full else cfg.model.seq_len, cfg.eval.num_triplets, "eval")
     found = equal_error_rate(scoring.trials(drawn, embeddings), cfg.eval.threshold_step).first()
     table.unpersist()

@@ -1,4 +1,4 @@
-"""Audio files to MFCC frame matrices: WAV decoding, mono mix, resampling, mel cepstra.
+"""Audio files to MFCC frame matrices: WAV and FLAC decoding, mono mix, resampling, mel cepstra.
 
 Definition: frames of 2048 samples, hop 512, Hann window, centred with zero padding
 (or ``reflect``), power spectrum, 128 Slaney-scaled and area-normalised mel bands from
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .flac import decode_flac
+
 RATE, FFT, HOP, MELS, TOP_DB = 16_000, 2048, 512, 128, 80.0
 
 
@@ -39,11 +41,9 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
 def decode(content: bytes) -> tuple[np.ndarray, int]:
     if content[:4] == b"RIFF":
         return decode_wav(content)
-    try:
-        import soundfile
-    except ImportError as e:
-        raise ValueError("only WAV can be decoded without the soundfile package") from e
-    return soundfile.read(io.BytesIO(content))
+    if content[:4] == b"fLaC":
+        return decode_flac(content)
+    raise ValueError("neither a WAV nor a FLAC file")
 
 
 def mono(x: np.ndarray) -> np.ndarray:
@@ -123,7 +123,15 @@ def feature_table(files: DataFrame, n_mfcc: int = 128) -> DataFrame:
     return files.select("utt", "content").mapInPandas(run, "utt string, features array<array<double>>")
 
 
+def _name():
+    return F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("utt")
+
+
+def names(spark: SparkSession, places: str | list[str]) -> DataFrame:
+    """(utt) of the files that match or lie in the folders; what they hold isn't read."""
+    return spark.read.format("binaryFile").load(places).select(_name())
+
+
 def read(spark: SparkSession, places: str | list[str]) -> DataFrame:
     """(utt, content) of the files that match or lie in the folders."""
-    path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
-    return spark.read.format("binaryFile").load(places).select(path.alias("utt"), "content")
+    return spark.read.format("binaryFile").load(places).select(_name(), "content")

@@ -53,18 +53,33 @@ def from_directory(spark: SparkSession, data_dir: str, suffix: str = ".flac") ->
     return files.select(speaker_of_basename(F.col("utt")).alias("spk"), "utt", "pos")
 
 
-def from_csv(spark: SparkSession, csv_file: str) -> DataFrame:
-    """(spk, utt, pos) of the lines of exactly two fields, stripped, in the order of the file; repeats stay.
+def csv_rows(spark: SparkSession, csv_file: str) -> DataFrame:
+    """(pos, n_fields, spk, utt) of all records of CSV files, spk and utt stripped, null unless there are exactly two fields.
 
-    Without header; quoted fields may hold commas and doubled quotes. Empty fields
-    count, lines of blanks don't.
+    Without header; quoted fields may hold commas, doubled quotes and line breaks.
+    Empty fields count; records of blanks only have one field. Files without a quoted
+    line break are read line by line, in as many tasks as they have splits; only
+    such a break makes a file one task, as its records can't be told apart otherwise.
     """
+    lines = spark.read.text(csv_file)
+    broken = not lines.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+    if broken:
+        # A quote opens where the quotes before are even; line feeds within become a mark, so that a record is one line.
+        whole = spark.read.text(csv_file, wholetext=True)
+        parts = F.split("value", '"')
+        outside = F.transform(parts, lambda x, k: F.when(k % 2 == 1, F.replace(x, F.lit("\n"), F.lit("\u0001"))).otherwise(x))
+        lines = whole.select(F.explode(F.split(F.array_join(outside, '"'), "\r?\n")).alias("value"))
     # A third field, be it empty, shows in the raw line only, so fields are counted there.
-    lines = spark.read.text(csv_file).withColumn("pos", F.monotonically_increasing_id())
     parsed = F.from_csv("value", "c0 string, c1 string, c2 string", {"escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000"})
-    fields = 1 + F.length(F.regexp_replace(F.regexp_replace("value", r'"(?:[^"]|"")*"', ""), "[^,]", ""))
-    kept = lines.where(fields == 2).withColumn("f", parsed)
-    return kept.select(strip(F.col("f.c0")).alias("spk"), strip(F.col("f.c1")).alias("utt"), "pos")
+    fields = (1 + F.length(F.regexp_replace(F.regexp_replace("value", r'"(?:[^"]|"")*"', ""), "[^,]", ""))).cast("int")
+    rows = lines.withColumn("pos", F.monotonically_increasing_id()).withColumn("n_fields", fields).withColumn("f", parsed)
+    field = lambda c: F.when(F.col("n_fields") == 2, strip(F.replace(F.col(c), F.lit("\u0001"), F.lit("\n"))))
+    return rows.select("pos", "n_fields", field("f.c0").alias("spk"), field("f.c1").alias("utt"))
+
+
+def from_csv(spark: SparkSession, csv_file: str) -> DataFrame:
+    """(spk, utt, pos) of the records of exactly two fields, in the order of the file; repeats stay."""
+    return csv_rows(spark, csv_file).where("n_fields = 2").select("spk", "utt", "pos")
 
 
 def select(spark: SparkSession, csv_file: str | None, data_dir: str, suffix: str = ".flac") -> DataFrame:

@@ -19,13 +19,22 @@ def as_table(spark: SparkSession, params: Params) -> DataFrame:
     return spark.createDataFrame(rows, "name string, shape array<int>, data array<double>")
 
 
-def save(spark: SparkSession, path: str, params: Params) -> str:
-    as_table(spark, params).coalesce(1).write.mode("overwrite").parquet(with_suffix(path))
+def save_table(table: DataFrame, path: str) -> str:
+    """Write (name, shape, data) rows."""
+    table.write.mode("overwrite").parquet(with_suffix(path))
     return with_suffix(path)
 
 
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(with_suffix(path))
+
+
+def save(spark: SparkSession, path: str, params: Params) -> str:
+    return save_table(as_table(spark, params).coalesce(1), path)
+
+
 def load(spark: SparkSession, path: str) -> Params:
-    rows = spark.read.parquet(with_suffix(path)).collect()  # one row a parameter
+    rows = load_table(spark, path).collect()  # one row a parameter
     return {r["name"]: np.array(r["data"]).reshape(r["shape"]) for r in rows}
 
 
