@@ -192,7 +192,8 @@ def top_k(embeddings: DataFrame, k: int = 20, modulus: int = 20, scale: int = SC
     is_query = F.col("vec_id") % modulus == 0
     n, n_queries, width = vectors.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("vector"))).first()
     asking = max(1, -(-n_queries // QUERIES))
-    asked = max(-(-n // TASK_ROWS), min(embeddings.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    # Groups are dealt by hash, so there are more of them than cores, or some cores would have none.
+    asked = max(-(-n // TASK_ROWS), min(3 * embeddings.sparkSession.sparkContext.defaultParallelism, -(-n // 2048)), 1)
 
     def dealt(rows: DataFrame, mine: Column, others: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
         """Rows once for each group of the other side."""
