@@ -2,19 +2,24 @@
 
 Words are runs of letters and digits of the lower-cased text, so marks between
 or behind them don't matter. Features of a document, each present or absent:
-its words, their stems (first four to seven bytes, of words that are longer), its
-word pairs and triples, and its skip-grams (words with one or two words between
-them), as 64-bit hashes.
-
-A bounded sample of labelled documents is dealt to shards of a bounded number;
-each shard runs the follow-the-regularised-leader update with per-coordinate
-rates over its documents in the order of their keys, several times. L1 leaves
-all but some thousand weights at exactly zero. The shards' weights are averaged
-(features that one shard alone has found shrink with that), and the non-zero
-ones are broadcast: their number depends on the sample, not on the corpus.
+its words, their stems (first four to seven bytes, of words that are longer), stems
+that begin two, three or five words of it, its word pairs and triples, and its
+skip-grams (words with one or two words between them), as 44-bit hashes.
+
+The follow-the-regularised-leader update with per-coordinate rates runs over a
+sample of labelled documents, bounded in rows and in bytes (``SAMPLE``,
+``SAMPLE_BYTES``), in the order of their keys, ``EPOCHS`` times. One task does that: its
+updates follow one another, and models fitted apart on shards lose what each shard
+alone has seen. It reads the sample twice, a slice at a time: first it counts
+features in a table of bounded size, then it keeps those of two documents or more,
+since a feature of one can't tell classes apart. L1 leaves all but some thousand
+weights at exactly zero; the others are broadcast: their number depends on the
+sample, not on the corpus.
 
 Null and empty texts have no feature and score the model's bias. Without any
-toxic label all documents score 0. Repeated rows score alike.
+toxic label all documents score 0. Repeated rows and ties score alike; very long
+texts are scored whole; an empty table gives an empty result. Other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -27,31 +32,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import SAMPLE, held_out, labelled_sample
+from .labelled import held_out, labelled_sample
 from .store import materialize
 from .text import ALNUM, seeded, slices, words_of
 
 CUT = 0.7
-#: Documents of the sample in a shard, about.
-SHARD = 2048
-#: Features of more documents than so many times the toxic ones are left out, so that L1 needn't cover their chance gradients.
-COMMON = 1.5
-#: Step size, its smoothing, and L2. L1 is in standard deviations of what chance adds up in the most common features.
-ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 1.2, 8
+#: Labelled documents in the sample, and bytes of their texts, about; rows beyond are thinned out by hash.
+SAMPLE, SAMPLE_BYTES = 8192, 32 << 20
+#: Step size, its smoothing, L2, passes. L1 is so many square roots of the toxic documents, as what chance adds up grows like that.
+ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 0.35, 8
 STEMS = (4, 5, 6, 7)
+#: Words that a stem begins in a document, from which on it is one feature more.
+OFTEN = (1, 2, 3, 5)
+#: Bits of a feature's hash.
+HASH_BITS = 44
 _FILTER_BITS = 20
+#: Slots that features are counted in; features that share one are told apart later.
+_SLOT_BITS = 25
+
+
+def _keys(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Row and ``HASH_BITS`` of a hash in one number."""
+    return rows.astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> np.uint64(64 - HASH_BITS)
+
+
+def _unkeyed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys & np.uint64((1 << HASH_BITS) - 1), (keys >> np.uint64(HASH_BITS)).astype(np.int64)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """(feature hashes, document rows, documents); a feature occurs as often as in the text."""
     words = words_of(texts, lower=True, keep=ALNUM)
     whole, *stems = words.hashes(*STEMS)
-    found = [(seeded(whole, 11), words.row)]
+    found = [_keys(seeded(whole, 11), words.row)]
     for size, stem in zip(STEMS, stems, strict=True):
         longer = words.end - words.start > size
-        found.append((seeded(stem[longer], 12 + size), words.row[longer]))
-    found += [words.ngram(whole, gaps, seed) for seed, gaps in ((21, (1,)), (22, (1, 2)), (23, (2,)), (24, (3,)))]
-    return np.concatenate([h for h, _ in found]), np.concatenate([r for _, r in found]), words.n_docs
+        keys = np.sort(_keys(stem[longer], words.row[longer]))
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(fresh)
+        n = np.diff(np.append(first, len(keys)))
+        stem, row = _unkeyed(keys[first])
+        found += [_keys(seeded(stem[n >= often], 100 * often + size), row[n >= often]) for often in OFTEN]
+    found += [_keys(*words.ngram(whole, gaps, seed)) for seed, gaps in ((21, (1,)), (22, (1, 2)), (23, (2,)), (24, (3,)))]
+    return *_unkeyed(np.concatenate(found)), words.n_docs
 
 
 @dataclass(frozen=True)
@@ -66,7 +90,7 @@ class ToxicityModel:
         hashes, rows, n = features(texts)
         raw = np.full(n, self.bias)
         if len(self.hashes):
-            shift = np.uint64(64 - _FILTER_BITS)
+            shift = np.uint64(HASH_BITS - _FILTER_BITS)
             coarse = np.zeros(1 << _FILTER_BITS, bool)
             coarse[self.hashes >> shift] = True
             near = np.flatnonzero(coarse[hashes >> shift])
@@ -84,7 +108,7 @@ def ftrl(documents: list[np.ndarray], labels: np.ndarray, n_coordinates: int) ->
     nothing gathers gradients that cancel out but for chance, which L1 covers.
     """
     share = min(max(labels.mean(), 0.5 / len(labels)), 1 - 0.5 / len(labels))
-    l1 = NOISE * share * np.sqrt(COMMON * len(labels) * (1 - share))
+    l1 = NOISE * np.sqrt(share * len(labels))
     z, n, bias, bias_n = np.zeros(n_coordinates), np.zeros(n_coordinates), float(np.log(share / (1 - share))), 1.0
 
     def weights(za: np.ndarray, na: np.ndarray) -> np.ndarray:
@@ -103,57 +127,67 @@ def ftrl(documents: list[np.ndarray], labels: np.ndarray, n_coordinates: int) ->
     return weights(z, n), bias
 
 
-def _train_shard(table: pa.Table) -> pa.Table:
-    """key, text, label rows of a shard to its non-zero weights; hash 0 is the bias."""
+def _distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the features of each text, once, by row."""
+    hashes, rows, _ = features(part.column("text"))
+    keys = np.sort(rows.astype(np.uint64) << np.uint64(HASH_BITS) | hashes)
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    return _unkeyed(keys[fresh])
+
+
+def _in_two(hashes: np.ndarray) -> np.ndarray:
+    """The different ones of ``hashes`` that are there twice or more, ascending."""
+    ascending = np.sort(hashes)
+    again = ascending[1:][ascending[1:] == ascending[:-1]]
+    return again[np.append(True, again[1:] != again[:-1])] if len(again) else again
+
+
+def _trained(table: pa.Table) -> pa.Table:
+    """(key, text, label) rows to the non-zero weights; hash 0 is the bias."""
     table = table.sort_by("key").combine_chunks()
     label = table.column("label").to_numpy()
-    parts, first = [], 0
+    seen, shift = np.zeros(1 << _SLOT_BITS, np.uint8), np.uint64(HASH_BITS - _SLOT_BITS)
     for part in slices(iter(table.to_batches()), "text"):
-        hashes, rows, n = features(part.column("text"))
-        order = np.lexsort((hashes, rows))
-        hashes, rows = hashes[order], rows[order]
-        fresh = np.ones(len(hashes), bool)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-        parts.append((hashes[fresh], rows[fresh] + first))
-        first += n
-    hashes, rows = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    # A feature of one document alone can't tell classes apart; L1 would drop it.
-    ascending = np.sort(hashes)
-    known = np.unique(ascending[1:][ascending[1:] == ascending[:-1]])
-    if len(known):
-        seen = np.searchsorted(ascending, known, "right") - np.searchsorted(ascending, known, "left")
-        known = known[seen <= max(2, COMMON * label.sum())]
-    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-    hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-    at, rows = at[hit], rows[hit]
-    documents = np.split(at, np.searchsorted(rows, np.arange(1, len(label))))
-    w, bias = ftrl(documents, label, len(known))
-    kept = np.flatnonzero(w)
-    return pa.table({"hash": pa.array(np.append(known[kept], np.uint64(0)).view(np.int64)), "weight": pa.array(np.append(w[kept], bias))})
-
-
-def fit(sample: DataFrame) -> ToxicityModel:
+        slots = np.sort(_distinct(part)[0] >> shift)
+        seen[slots[1:][slots[1:] == slots[:-1]]] = 2
+        slots = slots[np.append(True, slots[1:] != slots[:-1])] if len(slots) else slots
+        seen[slots] = np.minimum(seen[slots] + 1, 2)
+    kept = []
+    for part in slices(iter(table.to_batches()), "text"):
+        hashes, rows = _distinct(part)
+        many = seen[hashes >> shift] > 1
+        kept.append((hashes[many], np.bincount(rows[many], minlength=part.num_rows)))
+    del seen
+    known = _in_two(np.concatenate([h for h, _ in kept]))
+    documents = []
+    while kept:
+        hashes, counts = kept.pop()
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(counts)), counts)[hit], minlength=len(counts)))
+        documents += np.split(at[hit].astype(np.int32), ends[:-1])[::-1]
+    w, bias = ftrl(documents[::-1], label, len(known))
+    some = np.flatnonzero(w)
+    return pa.table({"hash": pa.array(np.append(known[some], np.uint64(0)).view(np.int64)), "weight": pa.array(np.append(w[some], bias))})
+
+
+def fit(sample: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     """Model of (key, text, label) rows of a bounded number."""
     sample = materialize(sample, "toxic-sample")
-    n, toxic = sample.agg(F.count("*"), F.sum("label")).first()
-    if not toxic:
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, sample_bytes / max(1, size))
+    chosen = sample.where(F.pmod(F.xxhash64("key", F.lit("bytes")), F.lit(1 << 31)) < int(share * (1 << 31)))
+    if chosen.where("label = 1").isEmpty():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -35.0)
-    shards = -(-n // SHARD)
-    dealt = sample.withColumn("shard", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInArrow(_train_shard_of, "hash long, weight double")
-    merged = found.groupBy("hash").agg(F.round(F.sum("weight") / shards, 9).alias("weight")).where("abs(weight) > 1e-4 or hash = 0").collect()
-    # A shard without toxic documents says nothing against the others' weights beyond its zeros.
-    bias = sum(r["weight"] for r in merged if r["hash"] == 0)
-    hashes = np.array([r["hash"] for r in merged if r["hash"] != 0], np.int64).view(np.uint64)
-    weights = np.array([r["weight"] for r in merged if r["hash"] != 0])
+    found = materialize(chosen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _trained(t.select(["key", "text", "label"])), "hash long, weight double"), "toxic-weights").collect()
+    bias = next(r["weight"] for r in found if r["hash"] == 0)
+    hashes = np.array([r["hash"] for r in found if r["hash"] != 0], np.int64).view(np.uint64)
+    weights = np.array([r["weight"] for r in found if r["hash"] != 0])
     order = np.argsort(hashes)
     return ToxicityModel(hashes[order], weights[order], bias)
 
 
-def _train_shard_of(table: pa.Table) -> pa.Table:
-    return _train_shard(table.select(["key", "text", "label"]))
-
-
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, value: int = 1, sample: int = SAMPLE) -> ToxicityModel:
     """Fit on about ``sample`` labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     return fit(labelled_sample(docs, labels, "toxic", modulus, value, sample))
