@@ -71,6 +71,48 @@ def test_index_finds_what_all_rules_find():
         url_filter.RuleIndex(rules[:1] * (url_filter.MAX_RULES + 1), {}, "allow")
 
 
+WILD = [
+    ("||ads.*/banner^", "ads.example.com/banner", True),
+    ("||ads.*/banner^", "x.ads.net/a/banner?x", True),
+    ("||ads.*/banner^", "bads.net/banner/", False),
+    ("||ads.*/banner^", "ads.net/banners", False),
+    ("/tag/*/feed|", "a.b/tag/x/feed", True),
+    ("/tag/*/feed|", "a.b/tag/x/feed/", False),
+    ("?sessionid=", "a.b/c?sessionid=12", True),
+    ("&sort=", "a.b/c?x=1&sort=up", True),
+    ("&sort=", "a.b/c?resort=1", False),
+]
+
+
+@pytest.mark.parametrize("line, place, fits", WILD)
+def test_wildcard_rules(line, place, fits):
+    rule = url_filter.wildcard_rule(line, "block")
+    assert bool(re.search(rule.pattern, place, re.DOTALL)) == fits
+    assert (url_filter.RuleIndex((rule,), {}, "allow").fits(place) is not None) == fits
+
+
+def test_thousands_of_rules_of_a_table(spark):
+    """As trying every rule on every URL, over whole pages and made-up ones."""
+    rng = random.Random(6)
+    words = [f"{rng.choice('bcdfgh')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{k % 97}" for k in range(400)]
+    lines = {}
+    for k in range(4000):
+        a, b = rng.choice(words), rng.choice(words)
+        kind, line = rng.choice([("prefix", f"{a}.com/{b}"), ("word", a), ("wildcard", f"||{a}.*/{b}^"), ("wildcard", f"/{a}/*.{b}|"), ("wildcard", f"?{a}={b}"), ("wildcard", f"*{a}{b}*")])
+        lines[kind, line] = (k, kind, line, rng.choice(["allow", "block"]))
+    rules = url_filter.rules_of(spark.createDataFrame(list(lines.values())[::-1], "position int, kind string, rule string, verdict string"))
+    assert len(rules) == len(lines) > 2500 and rules[0].name == list(lines.values())[0][2]
+    places = [f"{rng.choice(['', 'www.', 'x-'])}{rng.choice(words)}.{rng.choice(['com', 'net'])}/{rng.choice(words)}/{rng.choice(words)}.{rng.choice(words)}{rng.choice(['', '?' + rng.choice(words) + '=' + rng.choice(words)])}" for _ in range(300)]
+    pages = spark.createDataFrame([(k, f"http://{p}") for k, p in enumerate(places)], "page_id long, url string")
+    compiled = [(r, re.compile(r.pattern, re.DOTALL)) for r in sorted(rules, key=lambda r: -r.length)]
+    for r in url_filter.judge(pages, rules).collect():
+        first = next((rule for rule, pattern in compiled if pattern.search(places[r["page_id"]])), None)
+        assert (r["rule"] or r["pattern"], r["verdict"]) == ((first.name, first.verdict) if first else (None, "allow"))
+    few = url_filter.RuleIndex(rules, url_filter.literal_counts(pages.withColumnRenamed("url", "place"), rules), "allow")
+    fetched = [len({k for t in set(re.findall("[A-Za-z0-9]+", p)) for k in few.filed.get(t, ())}) for p in places]
+    assert max(fetched) < len(rules) / 10
+
+
 # Mixing
 
 
@@ -251,6 +293,53 @@ def test_lexicon_is_the_band(documents, prose):
     assert len(band) == sum(300 * np.exp(-4.0) <= n <= 300 * np.exp(-2.5) for n in counts.values())
 
 
+def plain_fingerprint(text, terms_in_band):
+    """Parts by a plain loop over the text's terms; hashes are those of the module."""
+    from voicegrid.llm.text import words_of, ALNUM, mix, seeded
+    import pyarrow as pa
+
+    (hashes,) = words_of(pa.array([text]), True, ALNUM).hashes()
+    mine = sorted({int(h) for h in hashes} & terms_in_band)
+    if not mine:
+        return "=" + hashlib.md5(text.encode()).hexdigest()
+    level, parts = len(mine).bit_length() - 1, []
+    for j in range(fingerprints.LEVELS):
+        for s in range(fingerprints.SUBSETS):
+            total, some = 0, False
+            for h in mine:
+                draw = int(seeded(np.array([h], np.uint64), 100 + s)[0])
+                if draw >> (64 - level - j) == 0 if level + j else True:
+                    total = (total + int(mix(np.array([(h + s) % 2**64], np.uint64))[0])) % 2**64
+                    some = True
+            parts.append(max(int(mix(np.array([total], np.uint64))[0]) >> 48, 1) if some else 0)
+    return f"{level:02d}:" + "".join(f"{p:04x}" for p in parts)
+
+
+def test_fingerprints_equal_a_plain_loop(prose, odd):
+    import pyarrow as pa
+
+    texts = prose(30, 60) + prose(10, 5, 3) + prose(10, 2, 4) + [t for t in odd if t and len(t) < 1000] + ["", "zzz"]
+    terms, _, _ = fingerprints.distinct_terms(pa.array(texts))
+    band = np.unique(terms)[::2]
+    found, known = fingerprints.fingerprints(pa.array(texts), band), set(map(int, band))
+    assert found == [plain_fingerprint(t, known) for t in texts]
+
+    def plain_likeness(a, b):
+        if a == b:
+            return 1.0
+        if "=" in a[0] + b[0]:
+            return 0.0
+        split = lambda f: {(int(f[:2]) + k // 16, k % 16): f[3 + 4 * k : 7 + 4 * k] for k in range(48)}
+        x, y = split(a), split(b)
+        pairs = [(x[k], y[k]) for k in x.keys() & y.keys() if x[k] != "0000" or y[k] != "0000"]
+        return sum(p == q for p, q in pairs) / len(pairs) if pairs else 0.0
+
+    for a in found[:20]:
+        for b in found[10:50]:
+            assert fingerprints.likeness(a, b) == plain_likeness(a, b)
+    assert fingerprints.likeness(found[-1], found[-2]) == 0.0
+
+
 # BPE
 
 
