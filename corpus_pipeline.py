@@ -4,8 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 Parquet and read again as the next one's docs. All but the last return the columns
 of documents.
 
-Rows with a null text count as empty texts. Extra columns of documents pass through
-all stages but the last. An empty table passes through all of them.
+Rows with a null text count as empty texts; a null doc_id or source is a value like
+others. Very long texts go through all stages whole. Rows that repeat, and rows whose
+texts are near copies, are reduced to the one with the smallest doc_id by the second
+stage, of ties one. Extra columns of documents, whatever their names, pass through
+all stages but the last. An empty table passes through all of them. What a stage
+writes in between is deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from voicegrid.llm import bpe, mixing, neardup, pii, quality
+from voicegrid.llm.store import scratch
 from voicegrid.session import shared_dir
 
 
@@ -59,8 +64,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{shared_dir(spark)}/stage-{number}-{uuid.uuid4().hex}"
-        out.write.option("compression", "zstd").parquet(path)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -118,3 +118,20 @@ def test_no_link_of_a_hot_group_is_lost(documents, prose):
 
 def test_members_unlike_their_centre_meet_others(documents, prose):
     _assert_hot_classes(documents, prose, 4, 6, 3)
+
+
+def test_tables_in_between_are_deleted(spark, documents, prose):
+    import os
+
+    from voicegrid.llm.store import materialize, scratch
+    from voicegrid.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    found = neardup.near_duplicates(documents(list(enumerate(prose(20, 60)))))
+    assert found.count() == 20
+    left = {p.split("-")[0] for p in set(os.listdir(shared_dir(spark))) - before}
+    assert {"signed", "unique"} < left and len(left) == 3  # and the labels
+    with scratch(spark) as held:
+        gone, kept = (materialize(spark.range(3), name) for name in ("gone", "kept"))
+        held.remove(kept.stored_at)
+    assert kept.count() == 3 and not os.path.exists(gone.stored_at)

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize, renamed
+from .store import materialize, renamed, scratch
 from .text import NOT_SPACE, Words, mix, seeded, slices, text_bytes
 
 SHINGLE = 5
@@ -474,7 +474,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     signed = materialize(keyed.select("doc_id", "hash", "text").mapInArrow(lambda it: _signed(it, bands, rows), schema), "signed")
     unique = signed.groupBy("hash").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("size", "sig", "bands")))
     unique = materialize(unique.withColumn("vid", F.monotonically_increasing_id()), "unique")
-    labels = _labels(unique, keyed, similarity, rows)
+    with scratch(docs.sparkSession) as held:
+        labels = _labels(unique, keyed, similarity, rows)
+        held.remove(labels.stored_at)
     labelled = unique.select("hash", "vid", "first_id").join(labels, "vid", "left").withColumn("label", F.coalesce("label", "vid"))
     class_ids = labelled.groupBy("label").agg(F.min("first_id").alias("class_id"))
     return signed.select("doc_id", "hash"), labelled.join(class_ids, "label").select("hash", "vid", "first_id", "label", "class_id")

@@ -7,17 +7,45 @@ executor then costs only the tasks it was running, never finished stages.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if (held := _scratch.get()) is not None:
+        held.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Within, the paths that ``materialize`` writes are listed; those still listed at the end are deleted.
+
+    What is read later has to be taken off the list (its ``stored_at``). After a
+    failure nothing is deleted.
+    """
+    held: list[str] = []
+    token = _scratch.set(held)
+    try:
+        yield held
+    finally:
+        _scratch.reset(token)
+    for path in held:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def renamed(docs: DataFrame, *known: str) -> DataFrame:
