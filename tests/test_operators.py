@@ -237,3 +237,147 @@ def test_streaming_windows(spark, tmp_path):
     query.stop()
     batch = windowed_means(events.select("user_id", "ts", "value"))
     assert spark.table("windows").count() == batch.count() > 0
+
+
+def _plain_sigmoid(x):
+    return 1 / (1 + np.exp(-x))
+
+
+def _plain_lstm(p, x, hidden, layers, mean):
+    """One frame, one gate, one unit at a time."""
+    seq = [list(map(float, f)) for f in x]
+    for k in range(layers):
+        wx, wh, b = p[f"{k}.x"], p[f"{k}.h"], p[f"{k}.b"]
+        h, c, out = [0.0] * hidden, [0.0] * hidden, []
+        for f in seq:
+            z = [b[j] + sum(f[i] * wx[i, j] for i in range(len(f))) + sum(h[i] * wh[i, j] for i in range(hidden)) for j in range(4 * hidden)]
+            gate = lambda n: z[n * hidden : (n + 1) * hidden]  # noqa: E731, B023
+            c = [_plain_sigmoid(fg) * old + _plain_sigmoid(i) * np.tanh(g) for i, fg, g, old in zip(gate(0), gate(1), gate(2), c)]
+            h = [_plain_sigmoid(o) * np.tanh(v) for o, v in zip(gate(3), c)]
+            out.append(h)
+        seq = out
+    return np.mean(seq, 0) if mean else np.array(seq[-1])
+
+
+@pytest.mark.parametrize("mean", [True, False])
+def test_lstm_forward_is_the_plain_loop(mean):
+    encoder = Lstm(3, 2, mean)
+    params = encoder.init(4, 5)
+    x = np.random.default_rng(0).standard_normal((2, 6, 4))
+    found, _ = encoder.forward(params, x)
+    for n in range(2):
+        assert np.allclose(found[n], _plain_lstm(params, x[n], 3, 2, mean))
+
+
+def test_attention_forward_is_the_plain_loop():
+    encoder = Attention(4, 2, 2)
+    p = encoder.init(3, 7)
+    x = np.random.default_rng(1).standard_normal((5, 3))
+    found, _ = encoder.forward(p, x[None])
+    y = [[_plain_sigmoid(sum(f[i] * p["in.w"][i, j] for i in range(3)) + p["in.b"][j]) for j in range(4)] for f in x]
+    for k in range(2):
+        q, key, v = ([[sum(f[i] * p[f"{k}.{n}.w"][i, j] for i in range(4)) + p[f"{k}.{n}.b"][j] for j in range(4)] for f in y] for n in "qkv")
+        mixed = []
+        for t in range(5):
+            row = []
+            for head in (0, 2):
+                scores = [np.exp(sum(q[t][head + d] * key[s][head + d] for d in range(2)) / np.sqrt(2)) for s in range(5)]
+                row += [sum(scores[s] * v[s][head + d] for s in range(5)) / sum(scores) for d in range(2)]
+            mixed.append(row)
+        y = [[sum(f[i] * p[f"{k}.o.w"][i, j] for i in range(4)) + p[f"{k}.o.b"][j] for j in range(4)] for f in mixed]
+    pooled = []
+    for f in y:
+        w = sum(f[i] * p["pool.w"][i, 0] for i in range(4)) + p["pool.b"][0]
+        e = [np.exp(w * c) for c in f]
+        pooled.append([c / sum(e) for c in e])
+    assert np.allclose(found[0], np.mean(pooled, 0))
+
+
+def test_mfcc_is_the_plain_transform():
+    """Frame by frame: a direct Fourier sum, triangles drawn point by point, a direct cosine sum."""
+    rng = np.random.default_rng(2)
+    x = np.sin(np.arange(1500) * 0.2) + 0.1 * rng.standard_normal(1500)
+    found = audio.mfcc(x, 5)
+    assert found.shape == (1 + 1500 // 512, 5)
+    mel = lambda hz: hz * 3 / 200 if hz < 1000 else 15 + 27 * np.log(hz / 1000) / np.log(6.4)
+    back = lambda m: m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)
+    edges = [back(mel(8000) * k / 129) for k in range(130)]
+    padded = np.concatenate([np.zeros(1024), x, np.zeros(1024)])
+    levels = []
+    for t in range(found.shape[0]):
+        frame = padded[512 * t : 512 * t + 2048] * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(2048) / 2048))
+        bins = np.arange(1025)
+        power = np.abs(np.exp(-2j * np.pi * np.outer(bins, np.arange(2048)) / 2048) @ frame) ** 2
+        row = []
+        for k in range(128):
+            low, mid, high = edges[k : k + 3]
+            weight = [max(0.0, min((f - low) / (mid - low), (high - f) / (high - mid))) * 2 / (high - low) for f in bins * 16_000 / 2048]
+            row.append(10 * np.log10(max(float(np.dot(weight, power)), 1e-10)))
+        levels.append(row)
+    levels = np.maximum(levels, np.max(levels) - 80)
+    for t in range(found.shape[0]):
+        for c in range(5):
+            direct = sum(levels[t][k] * np.cos(np.pi * c * (2 * k + 1) / 256) for k in range(128)) * np.sqrt((1 if c == 0 else 2) / 128)
+            assert abs(direct - found[t, c]) < 1e-6
+
+
+def test_softmax_and_masks_are_computed_once_a_row(spark):
+    import time
+
+    from voicegrid.functions.vectors import softmax
+
+    took = []
+    for width in (64, 512):
+        rows = spark.range(200).select(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda k: k / 100.0).alias("v")).persist()
+        rows.count()
+        began = time.perf_counter()
+        (total,) = rows.select(softmax(F.col("v")).alias("s")).agg(F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x))).first()
+        took.append(time.perf_counter() - began)
+        assert abs(total - 200) < 1e-9
+    assert took[1] < 3  # eight times the width; a quadratic form takes minutes
+    frames = spark.createDataFrame([(1, np.arange(12.0).reshape(4, 3).tolist())], "id long, m array<array<double>>")
+    plan = augment.masked(frames, "m", "id", augment.Masks(1.0, 1.0, 2, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in plan and "md5(" not in plan.split("lambdafunction(transform(m")[1]  # not within the transform of cells
+
+
+def test_training_reads_its_crops_once(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, role, rng.standard_normal((4, 3)).tolist()) for i in range(24) for role in range(3)]
+    prepared = spark.createDataFrame(rows, "i long, role int, features array<array<double>>")
+    jobs = []
+    for steps in (2, 12):
+        spark.sparkContext.setJobGroup(f"train-{steps}", "")
+        _, losses = train.train(prepared, Lstm(2, 1), steps, 2)
+        assert [r["step"] for r in losses.orderBy("step").collect()] == list(range(steps))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"train-{steps}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 4  # partitions are fetched, not steps
+    with pytest.raises(ValueError, match="no triplets for step 12"):
+        train.train(prepared, Lstm(2, 1), 13, 2)
+
+
+def test_windows_as_rows_give_the_same_embeddings(spark):
+    rng = np.random.default_rng(3)
+    values = {f"u{k}": rng.standard_normal(n) for k, n in enumerate((5, 12, 23, 40))}
+    encoder = Lstm(3, 1)
+    params = encoder.init(1, 2)
+    features = spark.createDataFrame([(u, [[float(x)] for x in v]) for u, v in values.items()], "utt string, features array<array<double>>")
+    whole = {r["utt"]: r["embedding"] for r in train.infer(features, encoder, params, 10, 5).collect()}
+    frames = spark.createDataFrame([(u, k, float(x)) for u, v in values.items() for k, x in enumerate(v)], "u string, frame long, value double")
+    split = {r["utt"]: r["embedding"] for r in train.infer_windows(framing.window_rows(frames, "u", "value", 10, 5), encoder, params).collect()}
+    assert whole["u0"] is None and "u0" not in split
+    for u in ("u1", "u2", "u3"):
+        assert np.allclose(whole[u], split[u], atol=1e-6)
+
+
+def test_numbers_by_parts_and_ranges(spark):
+    from voicegrid.functions import numbers
+    from voicegrid.operators import sampling
+
+    rows = spark.createDataFrame([("a", k, k // 7) for k in range(50)] + [(None, k, 0) for k in range(5)], "key string, at int, part int")
+    found = numbers.numbered(rows.repartition(5), "key", ("at",), F.col("part"), "n").collect()
+    assert len(found) == 55 and all(r["n"] == r["at"] for r in found)
+    sums = numbers.running(rows.where("key = 'a'").repartition(6), ("at",), before=F.col("at")).collect()
+    assert all(r["before"] == sum(range(r["at"])) for r in sums)
+    drawn = spark.createDataFrame([(100 - 7 * k, f"a{k}", "p", "n") for k in range(9)], "i long, anchor string, pos string, neg string")
+    assert [(r["i"], r["anchor"]) for r in sampling.renumbered(drawn).orderBy("i").collect()] == [(k, f"a{8 - k}") for k in range(9)]
