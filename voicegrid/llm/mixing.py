@@ -15,11 +15,12 @@ group, and a source with most of the rows is as many groups as it needs. What a
 group takes is told by the hash of that one document and the words taken of it,
 so the texts are never shuffled: they meet a table of one row a group.
 
-Null and empty texts have size 0 and take 0. A null source is a source. A null
-doc_id takes part. Rows with equal doc_id and text are documents of their own;
-where a group's share ends among such, they share what is left alike. An empty
-table gives an empty result. Other columns don't matter to ``mix``; ``repeated``
-keeps them, and replaces none of their names.
+Null and empty texts have size 0 and take 0; very long texts are counted whole. A null
+source is a source. A null doc_id takes part. Rows with equal doc_id and text are
+documents of their own, counted together before anything is dealt by their key; where a
+group's share ends among such ties, they share what is left alike. An empty table gives
+an empty result. Other columns don't matter to ``mix``; ``repeated`` keeps them, whatever
+their names.
 """
 
 from __future__ import annotations
