@@ -20,7 +20,7 @@ class Encoder(Protocol):
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    return (1 + np.tanh(x / 2)) / 2  # the logistic function, without overflow
 
 
 def _lecun(rng: np.random.Generator, rows: int, columns: int) -> np.ndarray:

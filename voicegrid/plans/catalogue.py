@@ -113,7 +113,7 @@ def q_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = framing.framed(sequences(spark, sf_dir), "user_id", LENGTH, STEP)
     means = framed.groupBy("user_id", "window").agg(F.avg("value").alias("mean"))
-    return means.groupBy("user_id").agg(F.round(F.avg("mean"), 6).alias("mean"), F.count("*").alias("windows"))
+    return means.groupBy("user_id").agg(F.round(F.avg("mean"), 8).alias("mean"), F.count("*").alias("windows"))
 
 
 def q_random_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +161,8 @@ def q_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pool_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.pool_mean(sequences(spark, sf_dir), "user_id", "value").withColumn("pooled", F.round("pooled", 6))
+    # A mean needs no order of frames.
+    return framing.pool_mean(table(spark, sf_dir, "events"), "user_id", "value").withColumn("pooled", F.round("pooled", 8))
 
 
 def q_pool_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +300,7 @@ SELECT n_fields::INT AS n_fields, CASE WHEN n_fields = 2 THEN trim(source) END A
 long AS (SELECT user_id FROM users WHERE frames >= 60)
 SELECT i, anchor, pos, neg FROM triplets WHERE anchor IN (FROM long) AND pos IN (FROM long) AND neg IN (FROM long)""",
         "q_sliding_windows": f"WITH {_WINDOWS} SELECT user_id, w AS \"window\", count(*) AS n, min(frame) AS first_frame, round(sum(value), 4) AS total FROM framed GROUP BY user_id, w",
-        "q_window_mean": f"WITH {_WINDOWS}, means AS (SELECT user_id, w, avg(value) AS mean FROM framed GROUP BY user_id, w) SELECT user_id, round(avg(mean), 6) AS mean, count(*) AS windows FROM means GROUP BY user_id",
+        "q_window_mean": f"WITH {_WINDOWS}, means AS (SELECT user_id, w, avg(value) AS mean FROM framed GROUP BY user_id, w) SELECT user_id, round(avg(mean), 8) AS mean, count(*) AS windows FROM means GROUP BY user_id",
         "q_random_crop": f"""WITH {_FRAMES}, starts AS (SELECT *, {_u32('c', 'user_id')} % (n - {LENGTH} + 1) AS start FROM frames WHERE n >= {LENGTH})
 SELECT user_id, start, count(*) AS n, round(sum(value), 4) AS total FROM starts WHERE frame >= start AND frame < start + {LENGTH} GROUP BY user_id, start""",
         "q_specaug": f"""WITH {_CELLS}, means AS (SELECT vec_id, avg(x) AS mean FROM cells GROUP BY vec_id),
@@ -313,7 +314,7 @@ SELECT round(avg(greatest({_cosine('a', 'n')} - {_cosine('a', 'p')} + 0.1::DOUBL
         "q_scores": f"WITH {_SCORED} SELECT i, label::INT AS label, round(score, 6) AS score FROM trials",
         "q_far_frr": f"WITH RECURSIVE {_RATES} SELECT round(t, 6) AS threshold, fa AS false_accepts, fr AS false_rejects, round(far, 6) AS far, round(frr, 6) AS frr FROM shares",
         "q_eer": f"WITH RECURSIVE {_RATES} SELECT round((far + frr) / 2, 6) AS eer, round(t, 6) AS threshold FROM shares WHERE abs(far - frr) < 1 ORDER BY abs(far - frr), t LIMIT 1",
-        "q_pool_mean": "SELECT user_id, round(avg(value), 6) AS pooled FROM events GROUP BY user_id",
+        "q_pool_mean": "SELECT user_id, round(avg(value), 8) AS pooled FROM events GROUP BY user_id",
         "q_pool_last": f"WITH {_FRAMES} SELECT user_id, arg_max(value, frame) AS pooled FROM frames GROUP BY user_id",
         "q_dense_sigmoid": f"""WITH cells AS (SELECT vec_id, k, embedding[k + 1]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(64)) AS k FROM embeddings) e),
 w AS (SELECT i, j, ({_u32('w', 'i', 'j')} % 2001 - 1000) / 1000.0::DOUBLE AS w FROM range(64) a(i), range(4) b(j))
