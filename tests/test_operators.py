@@ -1,14 +1,13 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tones import synthetic_tones
 
 from voicegrid.functions.vectors import cosine, triplet_loss
 from voicegrid.operators import augment, eer, framing, scoring, train
 from voicegrid.operators.encoders import Attention, Lstm, cosine_triplet_loss
 from voicegrid.sources import audio, models
 
-from conftest import synthetic_tones
-
 ZERO = [0.0, 0.0, 0.0]
 
 
