@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from ..session import stored
 
 
-def numbered(rows: DataFrame, key: str, order: tuple[str, ...], part: Column, name: str) -> DataFrame:
-    """``rows`` with ``name``, 0, 1, ... within each key in that order.
+def numbered(rows: DataFrame, key: str, order: tuple[str, ...], part: Column, name: str, total: str | None = None) -> DataFrame:
+    """``rows`` with ``name``, 0, 1, ... within each key in that order, and, if asked for, ``total``, how many rows the key has.
 
     ``part`` never falls along the order. A key's rows are numbered part by part and
     shifted by the counts of its parts before, so a key with most of the rows is as
@@ -19,7 +19,8 @@ def numbered(rows: DataFrame, key: str, order: tuple[str, ...], part: Column, na
     parted = rows.withColumn("__part", part)
     counts = parted.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("__key", "__of", F.coalesce(before, F.lit(0)).alias("__before"))
+    every = [F.sum("__n").over(Window.partitionBy("__key")).alias(total)] if total else []
+    counts = counts.select("__key", "__of", F.coalesce(before, F.lit(0)).alias("__before"), *every)
     within = parted.withColumn("__within", F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order)) - 1)
     joined = within.join(counts, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__of")))
     return joined.withColumn(name, (F.col("__within") + F.col("__before")).cast("long")).drop("__part", "__key", "__of", "__within", "__before")

@@ -10,8 +10,8 @@ from ..functions.numbers import numbered
 
 
 def frames(events: DataFrame, key: str, order: tuple[str, ...], value: str, part: Column | None = None) -> DataFrame:
-    """(key, frame, value): rows of each key numbered from 0. ``part``, which never falls along the order, deals a key to several tasks."""
-    return numbered(events, key, order, F.lit(0) if part is None else part, "frame").select(key, "frame", value)
+    """(key, frame, value, n_frames): rows of each key numbered from 0, and their number. ``part``, which never falls along the order, deals a key to several tasks."""
+    return numbered(events, key, order, F.lit(0) if part is None else part, "frame", "n_frames").select(key, "frame", value, "n_frames")
 
 
 def pool_mean(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -41,12 +41,17 @@ def sliding_windows(matrix: Column, length: int, step: int) -> Column:
 
 
 def framed(rows: DataFrame, key: str, length: int, step: int) -> DataFrame:
-    """Rows (key, frame, ...) once for each window they lie in, with ``window``; a range join by arithmetic."""
-    n = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n")).where(F.col("n") >= length)
+    """Rows (key, frame, ...) once for each window they lie in, with ``window``; a range join by arithmetic.
+
+    Frames are counted where rows don't come with ``n_frames``, as those of ``frames`` do.
+    """
+    if "n_frames" not in rows.columns:
+        n = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n_frames"))
+        rows = rows.join(n, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     first = F.greatest(F.lit(0), F.floor((F.col("frame") - length) / step) + 1)
-    last = F.least(F.floor(F.col("frame") / step), F.floor((F.col("n") - length) / step))
-    inside = rows.join(n, F.col(key).eqNullSafe(F.col("__key"))).withColumn("lo", first.cast("long")).withColumn("hi", last.cast("long")).where("lo <= hi")
-    return inside.withColumn("window", F.explode(F.sequence("lo", "hi"))).drop("n", "lo", "hi", "__key")
+    last = F.least(F.floor(F.col("frame") / step), F.floor((F.col("n_frames") - length) / step))
+    inside = rows.where(F.col("n_frames") >= length).withColumn("lo", first.cast("long")).withColumn("hi", last.cast("long")).where("lo <= hi")
+    return inside.withColumn("window", F.explode(F.sequence("lo", "hi"))).drop("n_frames", "lo", "hi")
 
 
 def crop_start(n: Column, length: int, tag: str, *parts: Column | str) -> Column:

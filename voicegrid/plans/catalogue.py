@@ -117,10 +117,9 @@ def q_window_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_random_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sequences(spark, sf_dir)
-    starts = rows.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("start", framing.crop_start(F.col("n"), LENGTH, "c", "user_id"))
+    rows = sequences(spark, sf_dir).withColumn("start", framing.crop_start(F.col("n_frames"), LENGTH, "c", "user_id"))
     inside = (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + LENGTH)
-    return rows.join(starts.where("start is not null").select("user_id", "start"), "user_id").where(inside).groupBy("user_id", "start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return rows.where(inside).groupBy("user_id", "start").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def q_specaug(spark: SparkSession, sf_dir: str) -> DataFrame:
