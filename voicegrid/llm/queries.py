@@ -1,4 +1,4 @@
-"""The ten operators on their tables, as registered in ``__spark_entry__.py``."""
+"""The thirteen operators on their tables, as registered in ``__spark_entry__.py``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, neardup, pii, quality, secrets, topk, toxicity, url_filter
+from . import bpe, divergence, fingerprints, mixing, neardup, packing, pii, quality, search, secrets, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,10 +72,22 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_toxicity, op2_url_filter, op3_secrets, op4_fingerprints, op5_pii, op6_mixing, op7_bpe, op8_top_k, op9_quality, op10_near_duplicates)
+    every = (op1_toxicity, op2_url_filter, op3_secrets, op4_fingerprints, op5_pii, op6_mixing, op7_bpe, op8_top_k, op9_quality, op10_near_duplicates, op11_source_divergence, op12_ranked_search, op13_packing)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_top_k": topk.ORACLE_SQL}
+    return {"op2_url_filter": url_filter.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op8_top_k": topk.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_ranked_search": search.ORACLE_SQL}
