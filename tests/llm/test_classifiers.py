@@ -40,7 +40,7 @@ def test_toxicity_on_held_out_labels(spark, monkeypatch):
     rows = registered.op1_toxicity(spark, large).collect()
     monkeypatch.setitem(globals(), "SF", large)
     _, predicted, truth = _held_out(spark, rows, "toxic")
-    assert predicted[truth == 0].mean() < 0.01 and predicted[truth == 1].mean() >= 0.88  # one in twenty holds none of the words
+    assert predicted[truth == 0].mean() < 0.01 and predicted[truth == 1].mean() >= 0.9  # one in twenty holds none of the words
 
 
 def plain_features(text):
@@ -175,6 +175,20 @@ def test_sample_is_bounded_and_keeps_the_fold(spark, documents, prose):
     assert 20 <= labelled.labelled_sample(docs, labels, "quality", 5, 0, 50).count() <= 90
 
 
+def test_sample_is_bounded_where_a_doc_id_repeats(spark):
+    """One labelled doc_id with very many texts counts once; others keep their part of the sample, which is bounded in bytes, too."""
+    many = spark.range(50_000).selectExpr("7L as doc_id", "concat('text ', id % 40000, ' of many') as text")
+    docs = many.unionByName(spark.createDataFrame([(k, f"another {k} {'x' * (k % 9)}") for k in range(1000)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1000)], "doc_id long, quality int, toxic int")
+    got = labelled.labelled_sample(docs, labels, "quality", 5, 0, 10**6).collect()
+    learnt = [k for k in range(1000) if crc(k) % 5 != 0]
+    assert len(got) == len(learnt) and sum(r["text"].endswith("of many") for r in got) == (7 in learnt) and len({r["key"] for r in got}) == len(got)
+    few = labelled.labelled_sample(docs, labels, "quality", 5, 0, 10**6, 5_000).collect()
+    assert 3_500 <= sum(len(r["text"]) for r in few) <= 6_500
+    assert sorted(few) == sorted(labelled.labelled_sample(docs, labels, "quality", 5, 0, 10**6, 5_000).collect())
+    assert len(quality.fit(labelled.labelled_sample(docs, labels, "quality", 5, 0, 100)).weights) == 15
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_odd_rows_and_tables(spark, documents, prose, odd, module):
     rows = [(k, t) for k, t in enumerate(prose(60, 30))] + [(100 + k, t) for k, t in enumerate(odd)] + [(None, None), (1, "again")]

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -247,3 +249,49 @@ def test_odd_rows_and_tables(documents, odd):
     assert (None, "[EMAIL]", 7) in got and (1, "[PHONE]", 7) in got and (0, None, None) in got
     empty = documents([])
     assert pii.scan(empty, pii.train(empty)).count() == secrets.scan(empty).count() == 0
+
+
+FORMS = ["key=", "pwd=a/", "pass ", "auth 1 ", "password=", "secret: ", "user=", "host:", "a.", "1 ", "1-", "1", "1.", "(1", "+1(", "1[.]", "[at]", "a[at]b[.]", "((", "a@", "a:b@", "://", "x:a", '"', "AKIA", "f0", "F0"]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_long_texts_take_linear_time(form):
+    """A megabyte of a form, and with an end that no number goes on from, takes seconds; half of it half as long."""
+    potentials = pii.Potentials(pii.np.zeros((pii.DIMENSIONS, 5)), pii.np.zeros((2, 5, 5)))
+
+    def took(n, scan):
+        text = (form * n)[:n] + "1x x@y.zz (988-555-2485"
+        began = time.process_time()
+        scan(text)
+        return time.process_time() - began
+
+    for scan in (lambda t: secrets.linked(t, secrets.base_spans(t)), lambda t: pii.base_spans(t) if form in ("1 ", "1-", "a@", "a:b@", "1[.]", "(1", "+1(", "1.", "[at]", "a[at]b[.]", "auth 1 ") else pii.find_all([t], potentials)):
+        half, whole = took(250_000, scan), took(500_000, scan)
+        assert whole < 5 and whole < 4 * half + 0.5
+    nodes = lambda n: [m.end() for m in pii._NODES_AND_MAIL.finditer((form * n)[:n] + "1x")]
+    assert took(500_000, lambda t: nodes(len(t))) < 5
+
+
+def test_given_values_are_those_of_one_pattern():
+    """As a pattern that looks for a digit anywhere in the run finds them, which takes quadratic time."""
+    whole = re.compile(r"""(?ai:\b(?:pwd|pass|auth|bearer|key|private_?key|credential))["']?(?:\x20*[:=]\x20*|\x20)["']?([A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*)""")
+    rng = random.Random(0)
+    for _ in range(4000):
+        t = "".join(rng.choices(["key", "=", "pass", " ", "auth", "1", "abc", '"', ":", "pwd", "+/", "credential", "\n", "(", "7x", "private_key", "é"], k=rng.randint(1, 25)))
+        assert set(secrets._given(t, t.lower())) == {("secret", m.start(), m.end()) for m in whole.finditer(t) if len(m[1]) >= 6}
+
+
+def test_brackets_without_partner_are_trimmed():
+    for text in ("((((12)", "(12)", "12))).", "((1)(2", ".:(a).", "()", "((("):
+        start, end = pii._trimmed(text, 0, len(text))
+        inner = text[start:end]
+        assert inner == inner.strip(".:!?") and not (inner[:1] == "(" and inner.count("(") > inner.count(")")) and not (inner[-1:] == ")" and inner.count(")") > inner.count("("))
+
+
+def test_copies_leave_the_model_as_it_is(spark):
+    """However often one text is repeated, potentials are learnt from the same different texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one = docs.where("text rlike '[0-9@]'").orderBy("doc_id").limit(1)
+    copied = docs.unionByName(one.selectExpr("doc_id", "text", "explode(sequence(1, 20000)) as k").drop("k"))
+    a, b = pii.train(docs, 1 << 18), pii.train(copied, 1 << 18)
+    assert abs(a.own - b.own).max() < 1e-6 and abs(a.pair - b.pair).max() < 1e-6

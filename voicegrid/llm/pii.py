@@ -17,9 +17,9 @@ messages rest, so that every ``988-555-2485`` is a phone number in a document th
 has ``+1 (988) 555-2485`` anywhere. Nodes whose label has a marginal of ``SURE`` or more
 are added as spans where no base span is.
 
-The potentials are trained by pseudo-likelihood on a bounded sample of documents
-with such words, ``SAMPLE_BYTES`` about, chosen by hash of the text; labels are those
-of the base spans. Patterns alone never show one number in two forms, so spans are
+The potentials are trained by pseudo-likelihood on a bounded sample of the different
+texts with such words, ``SAMPLE_BYTES`` about, chosen by hash (a text that is larger by
+itself isn't learnt from, only labelled); labels are those of the base spans. Patterns alone never show one number in two forms, so spans are
 hidden: each node that has a key gets two copies in another form at another place
 of its document, one that shares a skip edge with it and has its label, and one
 without an edge and without a label. The copies' own features are the same, so what
@@ -73,7 +73,7 @@ _TOLD = re.compile(r"[0-9@]")
 #: An address with its marks spelt out; a number with what may stand between its digits; any other word.
 _SPELT = re.compile(r"[\[(]\x20?(?:at|@)\x20?[\])]")
 _MAIL = r"(?P<mail>[A-Za-z0-9._%+-]++\x20?[\[(]\x20?(?:at|@)\x20?[\])]\x20?[A-Za-z0-9-]++(?:\x20?[\[(]\x20?(?:dot|\.)\x20?[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+)"
-_NUMBER = r"\+?\(?[0-9](?:(?:[\x20().-]{1,2}|\[\.\]|)[0-9])++(?![\w@])"
+_NUMBER = r"\+?\(?[0-9](?:(?:[\x20().-]{1,2}|\[\.\]|)[0-9])+(?![\w@])"  # ends at the last digit that no word goes on from
 _PLAIN = r"[^\s\"'`,;<>\[\]{}|=\\/]+"
 _NODES = re.compile(f"{_NUMBER}|{_PLAIN}")
 _NODES_AND_MAIL = re.compile(f"{_MAIL}|{_NUMBER}|{_PLAIN}")
@@ -314,10 +314,12 @@ def fit_pseudo_likelihood(features: np.ndarray, labels: np.ndarray, edges: np.nd
 
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Potentials:
     """Fit on about ``sample_bytes`` of the texts of ``docs`` (text) that have a digit or ``@``."""
-    texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, sample_bytes / max(1, total))
-    chosen = texts.withColumn("key", F.xxhash64("text", F.lit("pii"))).where(F.pmod("key", F.lit(1 << 31)) < int(share * (1 << 31))).dropDuplicates(["key"])
+    size = F.octet_length("text")
+    texts = docs.select("text", F.xxhash64("text", F.lit("pii")).alias("key")).where(F.col("text").rlike("[0-9@]") & (size <= sample_bytes))
+    # Texts that repeat count once, so copies leave the share of the others as it is.
+    different = texts.groupBy("key").agg(F.max(size).alias("bytes"))
+    share = min(1.0, sample_bytes / max(1, different.agg(F.sum("bytes")).first()[0] or 0))
+    chosen = texts.where(F.pmod("key", F.lit(1 << 31)) < int(share * (1 << 31))).dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,6 +340,18 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Potentials:
     return fit_pseudo_likelihood(features, labels, np.concatenate(edges) if edges else np.zeros((0, 3), np.int64))
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without stops and without brackets that have no partner, at either end."""
+    open_ = text.count("(", start, end) - text.count(")", start, end)
+    while start < end and (text[start] in ".:!?" or text[start] == "(" and open_ > 0):
+        open_ -= text[start] == "("
+        start += 1
+    while end > start and (text[end - 1] in ".:!?" or text[end - 1] == ")" and open_ < 0):
+        open_ += text[end - 1] == ")"
+        end -= 1
+    return start, end
+
+
 def find_all(texts: list[str], potentials: Potentials) -> list[list[Span]]:
     """All spans of each text, by kind, then start."""
     graph, found = Graph(), []
@@ -349,12 +363,7 @@ def find_all(texts: list[str], potentials: Potentials) -> list[list[Span]]:
         chance = marginals(graph, potentials)
         best = chance.argmax(1)
         for node in np.flatnonzero((best > 0) & (chance.max(1) >= SURE) & (np.array(graph.label) == 0)):
-            start, end = graph.place[node]
-            text = texts[graph.doc[node]]
-            while start < end and (text[start] in ".:!?" or text[start] == "(" and text.count("(", start, end) > text.count(")", start, end)):
-                start += 1
-            while end > start and (text[end - 1] in ".:!?" or text[end - 1] == ")" and text.count(")", start, end) > text.count("(", start, end)):
-                end -= 1
+            start, end = _trimmed(texts[graph.doc[node]], *graph.place[node])
             if start < end:
                 found[graph.doc[node]].append((KINDS[best[node] - 1], start, end))
     return [sorted(x, key=lambda s: (KINDS.index(s[0]), s[1])) for x in found]

@@ -57,7 +57,8 @@ _ID = re.compile(r"""(?ai:\b(?:user(?:_?name)?|login|client_?id|account(?:_?id)?
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _QUOTED = re.compile(r"""(?:"([^\s"']{8,64})"|'([^\s"']{8,64})')""")
 _CAPITAL_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-F]{32,}(?![0-9A-Za-z])")
-_GIVEN = re.compile(r"""(?ai:\b(?:pwd|pass|auth|bearer|key|private_?key|credential))["']?(?:\x20*[:=]\x20*|\x20)["']?([A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*)""")
+_GIVEN = re.compile(r"""(?ai:\b(?:pwd|pass|auth|bearer|key|private_?key|credential))["']?(?:\x20*[:=]\x20*|\x20)["']?(?=[A-Za-z0-9+/_.=-])""")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]++")
 _USER = re.compile(r"://([^\s/?#@:\"'<>]+)(?::([^\s/?#@\"'<>]+))?@")
 _URL = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}:(?://|[a-z]+://)[^\s\"'<>]{3,}")
 _HOST = re.compile(r"(?<![A-Za-z0-9.@-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++(?::[0-9]{2,5}(?![0-9]))?")
@@ -101,6 +102,26 @@ def _hosts(text: str) -> Iterator[Span]:
             yield "endpoint", m.start(), m.end()
 
 
+def _given(text: str, lower: str) -> Iterator[Span]:
+    """What a keyword is given: a value of 6 characters or more with a digit, to the end of its run.
+
+    Runs are cut once and their last digits looked up, so keywords within one long run don't each read it.
+    """
+    values, end = _VALUE.finditer(text), 0
+    run = digit = -1  # end of the run at hand, and its last digit
+    for m in _matches(_GIVEN, text, lower):
+        if m.start() < end:
+            continue
+        while run <= m.end():
+            value = next(values)
+            run = value.end()
+            digit = next((k for k in range(run - 1, value.start() - 1, -1) if "0" <= text[k] <= "9"), -1) if run > m.end() else -1
+        if digit >= m.end():
+            end = run
+            if run - m.end() >= 6:
+                yield "secret", m.start(), run
+
+
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers, secrets and endpoints that say nothing on their own; none overlaps a base span."""
     lower = text.lower()
@@ -109,7 +130,7 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     found |= {("secret", m.start(), m.end()) for m in _CAPITAL_HEX.finditer(text)}
     if '"' in text or "'" in text:
         found |= {("secret", *m.span(m.lastindex)) for m in _QUOTED.finditer(text) if _mixed(m[m.lastindex])}
-    found |= {("secret", m.start(), m.end()) for m in _matches(_GIVEN, text, lower) if len(m[1]) >= 6}
+    found |= set(_given(text, lower))
     found |= {("secret", m.start(), m.end()) for m in _matches(ASSIGN, text, lower) if 4 <= len(m[2]) < 8}
     if "@" in text:
         found |= {("id", s, e) for _, s, e in emails(text)}

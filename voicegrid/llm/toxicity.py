@@ -38,7 +38,7 @@ from .text import ALNUM, seeded, slices, words_of
 
 CUT = 0.7
 #: Labelled documents in the sample, and bytes of their texts, about; rows beyond are thinned out by hash.
-SAMPLE, SAMPLE_BYTES = 8192, 32 << 20
+SAMPLE, SAMPLE_BYTES = 16_384, 48 << 20
 #: Step size, its smoothing, L2, passes. L1 is so many square roots of the toxic documents, as what chance adds up grows like that.
 ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 0.35, 16
 STEMS = (4, 5, 6, 7)
@@ -172,15 +172,12 @@ def _trained(table: pa.Table) -> pa.Table:
     return pa.table({"hash": pa.array(np.append(known[some], np.uint64(0)).view(np.int64)), "weight": pa.array(np.append(w[some], bias))})
 
 
-def fit(sample: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
-    """Model of (key, text, label) rows of a bounded number."""
+def fit(sample: DataFrame) -> ToxicityModel:
+    """Model of (key, text, label) rows of a bounded number and size."""
     sample = materialize(sample, "toxic-sample")
-    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, sample_bytes / max(1, size))
-    chosen = sample.where(F.pmod(F.xxhash64("key", F.lit("bytes")), F.lit(1 << 31)) < int(share * (1 << 31)))
-    if chosen.where("label = 1").isEmpty():
+    if sample.where("label = 1").isEmpty():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -35.0)
-    found = materialize(chosen.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _trained(t.select(["key", "text", "label"])), "hash long, weight double"), "toxic-weights").collect()
+    found = materialize(sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _trained(t.select(["key", "text", "label"])), "hash long, weight double"), "toxic-weights").collect()
     bias = next(r["weight"] for r in found if r["hash"] == 0)
     hashes = np.array([r["hash"] for r in found if r["hash"] != 0], np.int64).view(np.uint64)
     weights = np.array([r["weight"] for r in found if r["hash"] != 0])
@@ -188,9 +185,9 @@ def fit(sample: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     return ToxicityModel(hashes[order], weights[order], bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, value: int = 1, sample: int = SAMPLE) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, value: int = 1, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
     """Fit on about ``sample`` labelled rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
-    return fit(labelled_sample(docs, labels, "toxic", modulus, value, sample))
+    return fit(labelled_sample(docs, labels, "toxic", modulus, value, sample, sample_bytes))
 
 
 def judged(docs: DataFrame, model: ToxicityModel, modulus: int = 3, value: int = 1, cut: float = CUT) -> DataFrame:
