@@ -242,10 +242,28 @@ def test_pieces_without_a_doc_id_and_other_vocabularies(documents):
     assert sum(r["ids_crc32"] == zlib.crc32(np.array(first, "<u4").tobytes()) for r in got) == 2
 
 
-def test_stores_of_ids_stay_small(prose, monkeypatch):
+def test_ids_are_the_librarys(prose, odd, monkeypatch):
     monkeypatch.setattr(packing, "KEPT", 2000)
-    ids = packing.Ids(default_vocabulary())
-    for t in prose(20, 400, 9):
+    ids, rng = packing.Ids(default_vocabulary()), random.Random(8)
+    assert ids.quick
+    texts = prose(20, 400, 9) + [t or "" for t in odd] + ["", " ", "  ", " a", "a ", "a  b", "a \n b", "\n\na", "it's 1 ²³ ªº ÀÉ ǅ ɏ ɐ İ", "x<|endoftext|> y", "<|endof text|>", "\u0085 \u00a0a\u00a0 \x1c b"]
+    texts += ["".join(rng.choice("ab  \n\t'é😀1.<|>ßɐ\u00a0\x1f") for _ in range(500)) for _ in range(40)]
+    texts += ["".join(chr(rng.randrange(1, 0x250)) for _ in range(300)) for _ in range(60)]
+    for t in texts:
         (found,) = ids.of([t])
-        assert found == np.array(ids.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        assert ids.kept.held <= 2000 + len(t)
+        assert found == np.array(ids.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+        assert ids.held <= 2000 + 2 * len(t)
+    assert ids.of(texts) == [ids.of([t])[0] for t in texts]
+
+
+def test_other_orders_of_merges_are_left_to_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(default_vocabulary(), encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    merges[300], merges[301] = merges[301], merges[300]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    ids = packing.Ids(str(path))
+    assert ids.safe and ids.quick is None
+    assert ids.of(["the other order of merges"]) == [np.array(ids.library.encode("the other order of merges").ids, "<u4").tobytes()]

@@ -32,7 +32,10 @@ names, don't matter.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -43,21 +46,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import _PIECE, _has_safe_places, _Store, default_vocabulary
+from .bpe import _PIECE, _has_safe_places, default_vocabulary
 from .store import materialize
 from .text import slices
 
 #: Ids in a sequence at most, and the id behind each document.
 SEQUENCE, END = 2048, 0
-#: Characters that each generation of a worker's store of encoded pieces holds, about.
+#: Characters of the pieces that a worker keeps, about; beyond that it starts anew.
 KEPT = 16_000_000
+#: Fixed value: the pattern of byte-level pre-tokens.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The end of Unicode's Latin blocks, in which all places are taken.
+LATIN_END = "\u0250"
+#: A space beside other white space.
+_UNSAFE = re.compile(r"\s(?: |(?<= )\s)")
 
 #: Lengths of a sequence, longest first, and how many such sequences there are.
 Filled = tuple[tuple[int, ...], int]
 
 
 class Ids:
-    """Token ids of texts as little-endian 32-bit numbers; lives as long as its worker."""
+    """Token ids of texts as little-endian 32-bit numbers; lives as long as its worker.
+
+    Vocabularies with safe places (``bpe``) let a text be put together from its pieces
+    between single spaces, which are kept by what follows their space. New pieces are
+    encoded by the library, or, where that is known to give the same ids, by the
+    faster one of tiktoken: if merges ascend with the ids that they make, and each
+    id beyond the bytes is made by one merge, then both libraries merge the same
+    pairs in the same order; Latin letters are of the same kind in either's tables.
+    """
 
     def __init__(self, vocabulary: str):
         import os
@@ -68,23 +85,61 @@ class Ids:
         self.library = Tokenizer.from_file(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
-        # Single spaces where tokens always end let texts be put together from pieces that are kept.
         self.safe = _has_safe_places(self.library)
-        self.kept = _Store(KEPT)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.quick = self._ranked() if self.safe else None
+        self.known: dict[str, bytes] = {}  # ids of a space and the text
+        self.heads: dict[str, bytes] = {}  # ids of the text, which begins a document
+        self.held = 0
+
+    def _ranked(self):
+        """tiktoken's encoder of the same vocabulary, or None where it isn't known to be the same."""
+        spec = json.loads(self.library.to_str())["model"]
+        vocab = {k: n for k, n in spec["vocab"].items() if k not in self.special}
+        made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["merges"]]
+        if spec.get("ignore_merges") or any(x >= y for x, y in zip(made, made[1:])) or len(made) + 256 != len(vocab):
+            return None
+        import tiktoken
+
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        ranks = {bytes(byte[c] for c in k): n for k, n in vocab.items()}
+        return tiktoken.Encoding("same", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        plain = [k for k, t in enumerate(texts) if self.quick and max(t, default="") < LATIN_END and not any(s in t for s in self.special)]
+        out: list[bytes] = [b""] * len(texts)
+        for k in plain:
+            out[k] = array("I", self.quick(texts[k])).tobytes()
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for k, found in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, "<u4").tobytes()
+        return out
+
+    def _learn(self, into: dict[str, bytes], new: list[str], before: str) -> None:
+        into.update(zip(new, self._encoded([before + t for t in new]), strict=True))
+        self.held += sum(map(len, new))
 
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.safe:
             return self._encoded(texts)
-        self.kept.turn()
-        pieces = [_PIECE.findall(t) for t in texts]
-        new = list(self.kept.missing({p for mine in pieces for p in mine}))
-        self.kept.put(new, self._encoded(new))
-        known = self.kept.young.__getitem__
-        return [b"".join(map(known, mine)) for mine in pieces]
+        if self.held > KEPT:
+            self.known, self.heads, self.held = {}, {}, 0
+        cut = []
+        for t in texts:
+            if _UNSAFE.search(t):
+                first, *more = _PIECE.findall(t)
+                cut.append([first, *(p[1:] for p in more)])
+            else:
+                cut.append(t.split(" "))
+        self._learn(self.heads, list({c[0] for c in cut} - self.heads.keys()), "")
+        found = [list(map(self.known.get, c[1:])) for c in cut]
+        new = {p for c, f in zip(cut, found) if None in f for p, ids in zip(c[1:], f) if ids is None}
+        if new:
+            self._learn(self.known, list(new), " ")
+            found = [list(map(self.known.get, c[1:])) if None in f else f for c, f in zip(cut, found)]
+        return [self.heads[c[0]] + b"".join(f) for c, f in zip(cut, found)]
 
 
 _ids: dict[str, Ids] = {}
