@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,7 +165,7 @@ def test_training_two_steps(spark, tmp_path):
     prepared = train.crops(drawn, table, 8, augment.Masks(freq_max=2, time_max=2))
     assert prepared.count() == 12
     path = str(tmp_path / "m")
-    results = [train.train(prepared, Lstm(3, 1), 2, 2, save_to=path if d else None, save_every=1, distributed=d) for d in (False, True)]
+    results = [train.train(prepared, Lstm(3, 1), 2, 2, save_to=path if d > 1 else None, save_every=1, tasks=d) for d in (1, 2)]
     for (params, losses) in results:
         assert losses.count() == 2
     for k, v in results[0][0].items():
@@ -376,7 +378,185 @@ def test_numbers_by_parts_and_ranges(spark):
     rows = spark.createDataFrame([("a", k, k // 7) for k in range(50)] + [(None, k, 0) for k in range(5)], "key string, at int, part int")
     found = numbers.numbered(rows.repartition(5), "key", ("at",), F.col("part"), "n").collect()
     assert len(found) == 55 and all(r["n"] == r["at"] for r in found)
-    sums = numbers.running(rows.where("key = 'a'").repartition(6), ("at",), before=F.col("at")).collect()
-    assert all(r["before"] == sum(range(r["at"])) for r in sums)
+    sums = numbers.running(rows.where("key = 'a'").repartition(6), F.floor(F.col("at") / 9), ("at",), before=F.col("at"), n=F.lit(1)).collect()
+    assert len(sums) == 50 and all(r["before"] == sum(range(r["at"])) and r["n"] == r["at"] for r in sums)
     drawn = spark.createDataFrame([(100 - 7 * k, f"a{k}", "p", "n") for k in range(9)], "i long, anchor string, pos string, neg string")
     assert [(r["i"], r["anchor"]) for r in sampling.renumbered(drawn).orderBy("i").collect()] == [(k, f"a{8 - k}") for k in range(9)]
+
+
+def test_planning_runs_no_job(spark):
+    """Triplets, scores and windows are planned without a job or a table in between."""
+    from voicegrid.plans import catalogue
+
+    spark.sparkContext.setJobGroup("planning", "")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup("planning"))
+    plans = [getattr(catalogue, q)(spark, "/root/testdata/sf0.001") for q in ("q_triplets", "q_scores", "q_sliding_windows", "q_window_mean", "q_random_crop", "q_mfcc")]
+    ran = set(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(plans) == 6 and len(ran) <= 7  # one a table that is read, for its schema
+
+
+@pytest.mark.parametrize("join", ["merge", "broadcast"])
+def test_vectors_are_shuffled_once_to_meet_their_slots(spark, join):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1" if join == "merge" else "10m")
+    try:
+        triplets = spark.createDataFrame([(0, "a", "b", "c"), (1, "b", "b", "a"), (2, "a", "b", "gone"), (3, "a", "b", "null")], "i long, anchor string, pos string, neg string")
+        vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0]), ("c", [3.0, 4.0]), ("null", None)], "utt string, embedding array<float>")
+        found = scoring.with_embeddings(triplets, vectors)
+        rows = {r["i"]: r for r in found.collect()}
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows.keys() == {0, 1} and rows[0]["e_neg"] == [3.0, 4.0] and rows[0]["n_neg"] == 5.0 and rows[1]["e_anchor"] == rows[1]["e_pos"] == [0.0, 2.0]
+    assert plan.count("Join") == 1
+
+
+# Training in barrier tasks
+
+
+def _crops(spark, n, frames=5, features=3, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(i, role, rng.standard_normal((frames, features)).tolist()) for i in range(n) for role in range(3)]
+    return spark.createDataFrame(rows, "i long, role int, features array<array<double>>")
+
+
+@pytest.mark.parametrize("encoder", [Lstm(4, 2), Attention(6, 2, 3)])
+def test_barrier_tasks_train_as_one_loop(spark, tmp_path, monkeypatch, encoder):
+    prepared = _crops(spark, 55).repartition(7)
+    params, losses = train.train(prepared, encoder, 11, 5, rate=1e-2)
+    path = str(tmp_path / "together")
+    monkeypatch.setattr(type(prepared), "toLocalIterator", lambda *a, **k: pytest.fail("crops on the driver"))
+    for tasks in (2, 3):
+        mine, found = train.train(prepared, encoder, 11, 5, rate=1e-2, tasks=tasks, save_to=path, save_every=4)
+        a, b = ([r["loss"] for r in x.orderBy("step").collect()] for x in (losses, found))
+        assert len(a) == 11 and np.abs(np.subtract(a, b)).max() < 1e-9
+        assert all(np.abs(mine[k] - params[k]).max() < 1e-9 for k in params)
+    saved = [models.load(spark, models.checkpoint_path(path, k)) for k in (4, 8)]
+    assert any(np.abs(saved[0][k] - saved[1][k]).max() > 1e-6 for k in params)
+
+
+def test_barrier_tasks_need_triplets_for_each_step(spark):
+    with pytest.raises(Exception, match="no triplets for step 2"):
+        train.train(_crops(spark, 4), Lstm(2, 1), 3, 2, tasks=2)
+
+
+# Cepstra from blocks
+
+
+def test_blocks_give_the_cepstra_of_the_whole(spark):
+    """Recordings of any length, in one block or in many tasks, and one that ends where a block does."""
+    from voicegrid.operators import cepstra
+    from voicegrid.sources.audio import Frames, mfcc
+
+    rng, frames = np.random.default_rng(0), Frames(16_000, 128, 32, 24)
+    lengths = {"a": 20_000, "b": 1, "c": 512, "d": 511, "e": 4096, "f": 4096 + 33}
+    x = {k: rng.standard_normal(n) * np.linspace(0.001, 1, n) for k, n in lengths.items()}
+    rows = [(k, i, float(v), lengths[k]) for k, values in x.items() for i, v in enumerate(values)]
+    samples = spark.createDataFrame(rows, "spk string, frame long, v double, n_frames long").repartition(5)
+    for block in (512, 4096):
+        blocks = cepstra.sample_blocks(samples, "spk", "v", frames, block)
+        assert blocks.where("size(samples) > %d" % (block + 128)).count() == 0
+        found = cepstra.cepstra(cepstra.frame_decibels(blocks, frames, block), 13, 24).collect()
+        by = {k: np.array([r["mfcc"] for r in sorted((r for r in found if r["utt"] == k), key=lambda r: r["frame"])]) for k in x}
+        for k in x:
+            whole = mfcc(x[k], 13, frames=frames)
+            assert by[k].shape == whole.shape and np.abs(by[k] - whole).max() < 1e-9, (k, block)
+    with pytest.raises(ValueError, match="multiple"):
+        cepstra.sample_blocks(samples, "spk", "v", frames, 500)
+
+
+def test_matrices_from_arrow():
+    import pyarrow as pa
+
+    column = pa.array([[[9.0]], [[1.0, 2.0], [3.0, 4.0]], None, [], [[5.0]], [[6.0], [7.0], [8.0]]], pa.list_(pa.list_(pa.float64())))
+    got = train._matrices(column.slice(1))
+    assert [m.tolist() for m in got] == [[[1, 2], [3, 4]], [], [], [[5]], [[6], [7], [8]]]
+
+
+# Long sequences
+
+
+@pytest.mark.parametrize("mean", [True, False])
+def test_chunks_carry_the_state_on(spark, mean):
+    """Whole sequences in chunks of ten frames, as in one piece."""
+    rng, encoder = np.random.default_rng(5), Lstm(5, 3, mean)
+    params = encoder.init(4)
+    sequences = {f"u{k}": rng.standard_normal((n, 4)) for k, n in enumerate((1, 10, 37, 95))}
+    rows = [(u, c, x[c * 10 : c * 10 + 10].tolist()) for u, x in sequences.items() for c in range(-(-len(x) // 10))]
+    rng.shuffle(rows)
+    chunks = spark.createDataFrame([(u, int(c), x) for u, c, x in rows] + [("none", 0, [])], "utt string, chunk long, features array<array<double>>").repartition(6)
+    found = {r["utt"]: r["embedding"] for r in train.infer_chunks(chunks, encoder, params).collect()}
+    assert found.pop("none") is None
+    for u, x in sequences.items():
+        assert np.abs(np.array(found[u]) - encoder.forward(params, x[None])[0][0]).max() < 1e-12
+
+
+@pytest.mark.parametrize("encoder", [Lstm(5, 2), Lstm(4, 1, mean=False), Attention(6, 2, 3)])
+def test_embeddings_in_blocks_of_frames(encoder, monkeypatch):
+    from voicegrid.operators import encoders
+
+    rng = np.random.default_rng(6)
+    params = encoder.init(3)
+    for t in (1, 7, 8, 29):
+        x = rng.standard_normal((2, t, 3)) * 5
+        expected = encoder.forward(params, x)[0]
+        for block in (3, 8, 512):
+            monkeypatch.setattr(encoders, "BLOCK", block)
+            assert np.abs(encoder.embed(params, x) - expected).max() < 1e-12
+
+
+def test_attention_takes_memory_by_frames():
+    import tracemalloc
+
+    encoder = Attention(4, 1, 2)
+    params, peaks = encoder.init(2), []
+    for t in (2000, 8000):
+        x = np.ones((1, t, 2))
+        tracemalloc.start()
+        encoder.embed(params, x)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 4.5 * peaks[0]  # not sixteen times
+
+
+# Error rates that go on
+
+
+def test_counts_of_trials_add_up(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(rng.randrange(2), rng.random() if k % 9 else None) for k in range(900)]
+    trials = spark.createDataFrame(rows, "label int, score double")
+    halves = [spark.createDataFrame(rows[a:b], "label int, score double") for a, b in ((0, 300), (300, 900))]
+    for step in (0.1, 0.005):
+        whole = eer.far_frr(trials, step).orderBy("threshold").collect()
+        merged = eer.rates(eer.merged(*(eer.counted(h, step) for h in halves)), step).orderBy("threshold").collect()
+        assert merged == whole
+        path = str(tmp_path / f"counts-{step}")
+        for h in halves:
+            counts = eer.appended(h, path, step)
+        assert eer.nearest(eer.rates(counts, step)).collect() == eer.equal_error_rate(trials, step).collect()
+
+
+@pytest.mark.parametrize("length, step", [(5, 2), (4, 4), (3, 7)])
+def test_streamed_windows_are_the_batch_ones(spark, tmp_path, length, step):
+    """However frames are cut into micro-batches."""
+    from voicegrid.operators import framing
+    from voicegrid.streaming.windows import frame_windows
+
+    rows = [(u, k, float(k * 10 + u)) for u, n in enumerate((3, 17, 30)) for k in range(n)]
+    frames = spark.createDataFrame(rows, "u long, frame long, v double")
+    expected = sorted((r["utt"], r["window"], r["features"]) for r in framing.window_rows(frames, "u", "v", length, step).collect())
+    for cut, edges in enumerate(([0, 30], [0, 1, 2, 9, 10, 11, 30], [*range(0, 30, 4), 30])):
+        source = tmp_path / f"in-{cut}"
+        source.mkdir()
+        stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).json(str(source))
+        query = frame_windows(stream, "u", "frame", "v", length, step).writeStream.format("memory").queryName(f"windows_{length}_{step}_{cut}").option("checkpointLocation", str(tmp_path / f"at-{cut}")).start()
+        try:
+            for a, b in zip(edges, edges[1:]):
+                part = frames.where(f"frame >= {a} and frame < {b}").collect()
+                (source / f"{a:03d}.json").write_text("\n".join(f'{{"u": {r["u"]}, "frame": {r["frame"]}, "v": {r["v"]}}}' for r in reversed(part)))
+                query.processAllAvailable()
+            found = spark.table(f"windows_{length}_{step}_{cut}").collect()
+        finally:
+            query.stop()
+        assert sorted((r["utt"], r["window"], r["features"]) for r in found) == expected and all(r["first_frame"] == r["window"] * step for r in found)

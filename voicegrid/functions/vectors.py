@@ -55,3 +55,9 @@ def matrix_mean(m: Column) -> Column:
     """Mean of all cells of an array of rows."""
     cells = doubles(F.flatten(m))
     return total(cells) / F.size(cells)
+
+
+def channel_mean(v: Column, channels: int) -> Column:
+    """Mono samples of samples whose channels alternate; the rest of a division is left out."""
+    samples = F.sequence(F.lit(0), F.floor(F.size(v) / channels).cast("int") - 1)
+    return F.when(F.size(v) >= channels, F.transform(samples, lambda i: total(doubles(F.slice(v, i * channels + 1, channels))) / channels)).otherwise(F.array().cast("array<double>"))

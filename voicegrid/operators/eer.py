@@ -25,8 +25,12 @@ def _grid(spark: SparkSession, values: list[float]) -> DataFrame:
     return spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, threshold double")
 
 
-def far_frr(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
-    """(threshold, false_accepts, false_rejects, far, frr); rates are null without trials of their label."""
+def counted(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
+    """(k, neg, pos): trials of either label by the number k of thresholds that accept them.
+
+    This is all that the rates have to know of the trials, a row a threshold, and counts
+    of several runs or batches add up (``merged``), so trials are read once.
+    """
     values = thresholds(step, start, stop)
     grid = F.array(*map(F.lit, values)) if len(values) <= 64 else None
     spark = trials.sparkSession
@@ -38,11 +42,35 @@ def far_frr(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: fl
     at = F.greatest(F.lit(-1), F.least(F.lit(len(values)), near))
     around = F.sequence(F.greatest(F.lit(0), at - 2), F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), at + 2)))
     accepted = F.greatest(F.lit(0), at - 2) + F.size(F.filter(around, lambda k: F.element_at(grid, k + 1) <= F.col("score")))
-    binned = trials.where(F.col("score").isNotNull()).select("label", accepted.alias("k")).groupBy("k").agg(
+    return trials.where(F.col("score").isNotNull()).select("label", accepted.alias("k")).groupBy("k").agg(
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("neg"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos")
     )
+
+
+def merged(*counts: DataFrame) -> DataFrame:
+    """The counts of all trials of several ``counted`` with the same thresholds."""
+    every = counts[0]
+    for other in counts[1:]:
+        every = every.unionByName(other)
+    return every.groupBy("k").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+
+
+def appended(trials: DataFrame, path: str, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
+    """Add the counts of new trials to those stored at ``path``, if any, and return the counts of all so far; only the new trials are read."""
+    counted(trials, step, start, stop).coalesce(1).write.mode("append").parquet(path)
+    return merged(trials.sparkSession.read.parquet(path))
+
+
+def far_frr(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
+    """(threshold, false_accepts, false_rejects, far, frr); rates are null without trials of their label."""
+    return rates(counted(trials, step, start, stop), step, start, stop)
+
+
+def rates(counts: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
+    """The same of counts (k, neg, pos)."""
     # A trial with k accepting thresholds is accepted at indexes 0 .. k - 1.
-    every = _grid(spark, values).withColumn("k", F.col("k") + 1).join(binned, "k", "full").na.fill(0, ["neg", "pos"])
+    grid = _grid(counts.sparkSession, thresholds(step, start, stop))
+    every = grid.withColumn("k", F.col("k") + 1).join(counts, "k", "full").na.fill(0, ["neg", "pos"])
     below = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     summed = every.select(
@@ -55,9 +83,13 @@ def far_frr(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: fl
 
 def equal_error_rate(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
     """One row (eer, threshold): where the rates are nearest, the lowest threshold of ties; nulls if they nowhere come nearer than 1."""
-    rates = far_frr(trials, step, start, stop).where("far is not null and frr is not null")
+    return nearest(far_frr(trials, step, start, stop))
+
+
+def nearest(found: DataFrame) -> DataFrame:
+    """The same of the rates of all thresholds."""
     gap = F.abs(F.col("far") - F.col("frr"))
-    best = rates.where(gap < 1).agg(F.min_by(F.struct(((F.col("far") + F.col("frr")) / 2).alias("eer"), "threshold"), F.struct(gap, "threshold")).alias("b"))
+    best = found.where("far is not null and frr is not null").where(gap < 1).agg(F.min_by(F.struct(((F.col("far") + F.col("frr")) / 2).alias("eer"), "threshold"), F.struct(gap, "threshold")).alias("b"))
     return best.select("b.eer", "b.threshold")
 
 

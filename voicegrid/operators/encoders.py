@@ -11,11 +11,16 @@ from typing import Protocol
 import numpy as np
 
 Params = dict[str, np.ndarray]
+#: Frames that go through an encoder at once where nothing is kept for training.
+BLOCK = 512
 
 
 class Encoder(Protocol):
+    @property
+    def size(self) -> int: ...
     def init(self, n_features: int, seed: int = 0) -> Params: ...
     def forward(self, p: Params, x: np.ndarray) -> tuple[np.ndarray, list]: ...
+    def embed(self, p: Params, x: np.ndarray) -> np.ndarray: ...
     def backward(self, p: Params, saved: list, dy: np.ndarray) -> Params: ...
 
 
@@ -40,6 +45,10 @@ class Lstm:
     layers: int = 3
     mean: bool = True
 
+    @property
+    def size(self) -> int:
+        return self.hidden
+
     def init(self, n_features: int, seed: int = 0) -> Params:
         rng, p, width = np.random.default_rng(seed), {}, n_features
         for k in range(self.layers):
@@ -68,6 +77,29 @@ class Lstm:
             x = out
         return (x.mean(1) if self.mean else x[:, -1]), saved
 
+    def carried(self, p: Params, x: np.ndarray, state: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(last layer's outputs, hidden and cell state of each layer) of frames that follow those which ``state`` is of."""
+        after = []
+        for k in range(self.layers):
+            n, t, _ = x.shape
+            h, c = state[k] if state else np.zeros((2, n, self.hidden))
+            driven, out = x @ p[f"{k}.x"] + p[f"{k}.b"], np.empty((n, t, self.hidden))
+            for s in range(t):
+                i, f, g, o = np.split(driven[:, s] + h @ p[f"{k}.h"], 4, 1)
+                c = _sigmoid(f) * c + _sigmoid(i) * np.tanh(g)
+                out[:, s] = h = _sigmoid(o) * np.tanh(c)
+            after.append((h, c))
+            x = out
+        return x, after
+
+    def embed(self, p: Params, x: np.ndarray) -> np.ndarray:
+        """What ``forward`` gives, without what only training needs: frames go through in blocks that carry the state on."""
+        total, state = np.zeros((len(x), self.hidden)), None
+        for at in range(0, x.shape[1], BLOCK):
+            out, state = self.carried(p, x[:, at : at + BLOCK], state)
+            total += out.sum(1)
+        return total / x.shape[1] if self.mean else out[:, -1]
+
     def backward(self, p: Params, saved: list, dy: np.ndarray) -> Params:
         grads: Params = {}
         t = saved[0][0].shape[1]
@@ -107,6 +139,10 @@ class Attention:
         if self.layers < 1 or self.dim % self.heads:
             raise ValueError("one layer at least, and dim divisible by heads, are needed")
 
+    @property
+    def size(self) -> int:
+        return self.dim
+
     def init(self, n_features: int, seed: int = 0) -> Params:
         rng = np.random.default_rng(seed)
         p = {"in.w": _lecun(rng, n_features, self.dim), "in.b": np.zeros(self.dim), "pool.w": _lecun(rng, self.dim, 1), "pool.b": np.zeros(1)}
@@ -136,6 +172,32 @@ class Attention:
         saved.append((y, weight, s))
         return s.mean(1), saved
 
+    def _attended(self, q: np.ndarray, key: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Softmax-weighted values, query block by key block: maxima, sums and weighted values of the key blocks seen are put right as larger maxima come."""
+        out, t = np.empty(q.shape), q.shape[2]
+        for a in range(0, t, BLOCK):
+            mine = q[:, :, a : a + BLOCK] / np.sqrt(q.shape[-1])
+            most = np.full((*mine.shape[:3], 1), -np.inf)
+            total, values = np.zeros(most.shape), np.zeros(mine.shape)
+            for b in range(0, t, BLOCK):
+                x = mine @ key[:, :, b : b + BLOCK].transpose(0, 1, 3, 2)
+                more = np.maximum(most, x.max(-1, keepdims=True))
+                x, kept = np.exp(x - more), np.exp(most - more)
+                total = total * kept + x.sum(-1, keepdims=True)
+                values, most = values * kept + x @ v[:, :, b : b + BLOCK], more
+            out[:, :, a : a + BLOCK] = values / total
+        return out
+
+    def embed(self, p: Params, x: np.ndarray) -> np.ndarray:
+        """What ``forward`` gives, in memory that grows with the frames and not with their square."""
+        y = _sigmoid(x @ p["in.w"] + p["in.b"])
+        for k in range(self.layers):
+            mixed = self._attended(*(self._split(y @ p[f"{k}.{n}.w"] + p[f"{k}.{n}.b"]) for n in "qkv"))
+            y = mixed.transpose(0, 2, 1, 3).reshape(y.shape) @ p[f"{k}.o.w"] + p[f"{k}.o.b"]
+        z = (y @ p["pool.w"] + p["pool.b"]) * y
+        s = np.exp(z - z.max(-1, keepdims=True))
+        return (s / s.sum(-1, keepdims=True)).mean(1)
+
     def backward(self, p: Params, saved: list, dy: np.ndarray) -> Params:
         g: Params = {}
         y, weight, s = saved[-1]

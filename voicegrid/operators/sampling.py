@@ -31,9 +31,10 @@ def numbered(manifest: DataFrame, part: Column | None = None) -> DataFrame:
 
 
 def speakers(manifest: DataFrame) -> DataFrame:
-    """(spk, n, k, e): one row a speaker, numbered among all (k) and among the eligible (e, else null)."""
+    """(spk, n, k, e): one row a speaker, numbered by md5 of the name among all (k) and among the eligible (e, else null)."""
     counts = manifest.groupBy("spk").agg(F.count("*").alias("n"))
-    ranked = numbers.running(counts, ("spk",), k=F.lit(1), e=F.when(F.col("n") >= 2, 1).otherwise(0))
+    part, order = numbers.hash_order("spk")
+    ranked = numbers.running(counts, part, (order, "spk"), k=F.lit(1), e=F.when(F.col("n") >= 2, 1).otherwise(0))
     return ranked.select("spk", "n", "k", F.when(F.col("n") >= 2, F.col("e")).alias("e"))
 
 

@@ -9,21 +9,25 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from hashlib import md5
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform32
-from ..functions.vectors import cosine, dot, sigmoid, softmax
-from ..operators import augment, framing, sampling, scoring, train
+from ..functions.vectors import channel_mean, cosine, dot, sigmoid, softmax
+from ..operators import augment, cepstra, framing, sampling, scoring, train
 from ..operators.eer import equal_error_rate, far_frr
-from ..operators.encoders import Attention, Lstm
+from ..operators.encoders import Attention, Lstm, Params
 from ..session import shared_dir
 from ..sources import manifest, models
-from ..sources.audio import mfcc
+from ..sources.audio import TOP_DB, Frames
 
 LENGTH, STEP = 20, 10
+LSTM, ATTENTION = Lstm(8, 2), Attention(8, 2, 2)
+#: Frames of what the tables have as samples, and the cepstrum's size.
+FRAMES, CEPSTRA = Frames(16_000, 64, 16, 20), 13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +67,11 @@ def cells(df: DataFrame, digits: int) -> DataFrame:
     return rows.select("vec_id", "r", F.posexplode("row").alias("c", "x")).withColumn("x", F.round("x", digits))
 
 
-def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(utt, features): each user's values as frames of one feature."""
-    frames = F.transform(F.sort_array(F.collect_list(F.struct("frame", "value"))), lambda x: F.array(x["value"]))
-    return sequences(spark, sf_dir).groupBy(F.col("user_id").cast("string").alias("utt")).agg(frames.alias("features"))
+def hashed(encoder: Lstm | Attention, tag: str) -> Params:
+    """Parameters of an encoder of one feature, drawn from md5, so that SQL can draw them too."""
+    draw = lambda name, i, j: (int(md5(f"{tag}{name}|{i}|{j}".encode()).hexdigest()[:8], 16) % 2001 - 1000) / 1000
+    params = encoder.init(1)
+    return {name: np.array([[draw(name, i, j) for j in range(x.shape[-1])] for i in range(x.size // x.shape[-1])]).reshape(x.shape) for name, x in params.items()}
 
 
 # Queries.
@@ -200,29 +205,31 @@ def q_checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("name", F.element_at("shape", 1).alias("size"), F.round(F.aggregate("data", F.lit(0.0), lambda acc, x: acc + x), 6).alias("total"))
 
 
-def _embedded(spark: SparkSession, sf_dir: str, encoder: Lstm | Attention) -> DataFrame:
+def _embedded(spark: SparkSession, sf_dir: str, encoder: Lstm | Attention, tag: str) -> DataFrame:
     windows = framing.window_rows(sequences(spark, sf_dir), "user_id", "value", LENGTH, STEP)
-    found = train.infer_windows(windows, encoder, encoder.init(1))
+    found = train.infer_windows(windows, encoder, hashed(encoder, tag))
     return found.select("utt", F.posexplode("embedding").alias("k", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
 
 
 def q_lstm_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _embedded(spark, sf_dir, Lstm(8, 2))
+    return _embedded(spark, sf_dir, LSTM, "l")
 
 
 def q_attn_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _embedded(spark, sf_dir, Attention(8, 2, 2))
+    return _embedded(spark, sf_dir, ATTENTION, "t")
 
 
 def q_mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mel cepstra of each user's values taken as samples."""
+    """Mel cepstra of each user's values taken as samples, from blocks with a halo."""
+    blocks = cepstra.sample_blocks(sequences(spark, sf_dir), "user_id", "value", FRAMES, FRAMES.fft)
+    found = cepstra.cepstra(cepstra.frame_decibels(blocks, FRAMES, FRAMES.fft), CEPSTRA, FRAMES.mels)
+    return found.select("utt", "frame", F.posexplode("mfcc").alias("k", "x")).withColumn("x", F.round("x", 4))
 
-    def run(parts):
-        for part in parts:
-            found = [mfcc(pd.Series([r[0] for r in f]).to_numpy(float), 13) for f in part["features"]]
-            yield pd.DataFrame({"utt": part["utt"], "frames": [len(m) for m in found], "c0": [round(float(m[0, 0]), 4) for m in found]})
 
-    return feature_rows(spark, sf_dir).mapInPandas(run, "utt string, frames long, c0 double")
+def q_mono_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings taken as samples of two channels that alternate, mixed to one."""
+    mono = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(channel_mean(F.col("embedding"), 2)).alias("k", "x"))
+    return mono.withColumn("x", F.round("x", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -252,7 +259,7 @@ def _triplets(utterances: str, slots: str, seed: str) -> str:
     return f"""
 utt AS (SELECT spk, utt, row_number() OVER (PARTITION BY spk ORDER BY utt) - 1 AS at FROM ({utterances}) u),
 sized AS (SELECT spk, count(*) AS n FROM utt GROUP BY spk),
-spk AS (SELECT spk, n, row_number() OVER (ORDER BY spk) - 1 AS k, CASE WHEN n >= 2 THEN sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (ORDER BY spk) - 1 END AS e FROM sized),
+spk AS (SELECT spk, n, row_number() OVER (ORDER BY md5(spk), spk) - 1 AS k, CASE WHEN n >= 2 THEN sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (ORDER BY md5(spk), spk) - 1 END AS e FROM sized),
 sizes AS (SELECT count(*) AS s, count(e) AS m FROM spk),
 firsts AS (SELECT i, s, p.spk AS pos_spk, p.n AS pos_n, p.k AS pos_k FROM ({slots}) w, sizes, spk p WHERE p.e = {_u32(f"{seed}p", "i")} % m AND s >= 2),
 others AS (SELECT *, {_u32(f"{seed}n", "i")} % (s - 1) AS o, {_u32(f"{seed}a", "i")} % pos_n AS a_at, {_u32(f"{seed}b", "i")} % (pos_n - 1) AS b FROM firsts),
@@ -286,8 +293,88 @@ def _band(name: str, most: int) -> str:
     return f"CASE WHEN {here} THEN {start} ELSE -1 END AS {name}s, CASE WHEN {here} THEN {start} + {width} ELSE -1 END AS {name}e"
 
 
+_TABLES = f"""{_WINDOWS},
+seq AS (SELECT user_id, w, frame - w * {STEP} AS s, value::DOUBLE AS x FROM framed)"""
+
+
+def _weights(tag: str, name: str, rows: int, columns: int) -> str:
+    """A list of the columns of a matrix of hashed weights."""
+    weight = f"({_u32(tag + name, 'i', 'j')} % 2001 - 1000) / 1000.0::DOUBLE"
+    return f"(SELECT list(w ORDER BY j) FROM (SELECT j, list({weight} ORDER BY i) AS w FROM range({rows}) a(i), range({columns}) b(j) GROUP BY j))"
+
+
+_SIGMOID = "(1 / (1 + exp(-({0}))))"
+
+
+def _lstm_sql(hidden: int = LSTM.hidden, tag: str = "l") -> str:
+    """The recurrence over the steps of all windows at once: each state row has both layers' hidden and cell states as lists."""
+    gate = lambda z, n: f"{z}[{n * hidden} + u]"
+
+    def layer(k: int, before: str, driven: str) -> str:
+        """CTE-less nested selects: gates of layer k from z, then its new cell and hidden states."""
+        z = f"list_transform(range(1, {4 * hidden + 1}), lambda j: {driven} + list_inner_product(h{k}, p.ph{k}[j]) + p.pb{k}[j][1])"
+        cell = f"list_transform(range(1, {hidden + 1}), lambda u: {_SIGMOID.format(gate('z', 1))} * c{k}[u] + {_SIGMOID.format(gate('z', 0))} * tanh({gate('z', 2)}))"
+        new = f"list_transform(range(1, {hidden + 1}), lambda u: {_SIGMOID.format(gate('z', 3))} * tanh(d[u]))"
+        with_z = f"SELECT q.*, {z} AS z FROM ({before}) q, p"
+        with_d = f"SELECT *, {cell} AS d FROM ({with_z}) r"
+        return f"SELECT * EXCLUDE (z, d, h{k}, c{k}), d AS c{k}, {new} AS h{k} FROM ({with_d}) t"
+
+    step = layer(0, "SELECT state.user_id, state.w, state.s + 1 AS s, h0, c0, h1, c1, x FROM state JOIN seq ON seq.user_id = state.user_id AND seq.w = state.w AND seq.s = state.s + 1", "x * p.px0[j][1]")
+    step = layer(1, step, "list_inner_product(h0, p.px1[j])")
+    params = ", ".join(f"{_weights(tag, f'{k}.{n}', rows, 4 * hidden)} AS p{n}{k}" for k, rows0 in ((0, 1), (1, hidden)) for n, rows in (("x", rows0), ("h", hidden), ("b", 1)))
+    zero = f"[0.0::DOUBLE for i in range({hidden})]"
+    return f"""WITH RECURSIVE {_TABLES}, p AS MATERIALIZED (SELECT {params}),
+state AS (SELECT DISTINCT user_id, w, -1::BIGINT AS s, {zero} AS h0, {zero} AS c0, {zero} AS h1, {zero} AS c1 FROM seq
+  UNION ALL SELECT user_id, w, s, h0, c0, h1, c1 FROM ({step}) n),
+units AS (SELECT user_id, w, k, avg(h1[k + 1]) AS x FROM state, range({hidden}) u(k) WHERE s >= 0 GROUP BY ALL)
+SELECT user_id::VARCHAR AS utt, k::INT AS k, round(avg(x)::FLOAT::DOUBLE, 4) AS x FROM units GROUP BY user_id, k"""
+
+
+def _attention_sql(dim: int = ATTENTION.dim, layers: int = ATTENTION.layers, heads: int = ATTENTION.heads, tag: str = "t") -> str:
+    """Self-attention as joins of query and key rows of a window, with a grouped softmax."""
+    wide = dim // heads
+    dense = lambda v, n: f"list_transform(range(1, {dim + 1}), lambda j: list_inner_product({v}, p.w{n}[j]) + p.b{n}[j][1])"
+    names = [("in", 1, dim), ("pool", dim, 1), *((f"{k}.{n}", dim, dim) for k in range(layers) for n in "qkvo")]
+    params = ", ".join(f"{_weights(tag, f'{n}.w', rows, columns)} AS w{n.replace('.', '')}, {_weights(tag, f'{n}.b', 1, columns)} AS b{n.replace('.', '')}" for n, rows, columns in names)
+    out = [f"y0 AS MATERIALIZED (SELECT user_id, w, s, list_transform(range(1, {dim + 1}), lambda j: {_SIGMOID.format('x * p.win[j][1] + p.bin[j][1]')}) AS y FROM seq, p)"]
+    for k in range(layers):
+        out.append(f"qkv{k} AS MATERIALIZED (SELECT user_id, w, s, {dense('y', f'{k}q')} AS q, {dense('y', f'{k}k')} AS k, {dense('y', f'{k}v')} AS v FROM y{k}, p)")
+        out.append(f"""dots{k} AS (SELECT a.user_id, a.w, a.s, h, b.v, list_inner_product(a.q[h * {wide} + 1 : h * {wide} + {wide}], b.k[h * {wide} + 1 : h * {wide} + {wide}]) / sqrt({wide}::DOUBLE) AS d
+  FROM qkv{k} a JOIN qkv{k} b ON a.user_id = b.user_id AND a.w = b.w, range({heads}) g(h))""")
+        out.append(f"powers{k} AS (SELECT *, exp(d - max(d) OVER (PARTITION BY user_id, w, s, h)) AS e FROM dots{k})")
+        out.append(f"mixed{k} AS (SELECT user_id, w, s, list(m ORDER BY h, u) AS m FROM (SELECT user_id, w, s, h, u, sum(e * v[h * {wide} + u]) / sum(e) AS m FROM powers{k}, range(1, {wide + 1}) c(u) GROUP BY ALL) GROUP BY user_id, w, s)")
+        out.append(f"y{k + 1} AS MATERIALIZED (SELECT user_id, w, s, {dense('m', f'{k}o')} AS y FROM mixed{k}, p)")
+    out.append(f"weighed AS (SELECT user_id, w, s, k, (list_inner_product(y, p.wpool[1]) + p.bpool[1][1]) * y[k + 1] AS z FROM y{layers}, p, range({dim}) c(k))")
+    out.append("shared AS (SELECT *, exp(z - max(z) OVER (PARTITION BY user_id, w, s)) AS e FROM weighed)")
+    out.append("rows_ AS (SELECT user_id, w, k, e / sum(e) OVER (PARTITION BY user_id, w, s) AS x FROM shared)")
+    return f"""WITH {_TABLES}, p AS MATERIALIZED (SELECT {params}), {", ".join(out)},
+units AS (SELECT user_id, w, k, avg(x) AS x FROM rows_ GROUP BY ALL)
+SELECT user_id::VARCHAR AS utt, k::INT AS k, round(avg(x)::FLOAT::DOUBLE, 4) AS x FROM units GROUP BY user_id, k"""
+
+
+def _mfcc_sql(f: Frames = FRAMES, n_mfcc: int = CEPSTRA) -> str:
+    """The transform as joins with tables of cosines and sines, of mel bands, and of the cosines of the cepstrum."""
+    mel = "CASE WHEN {0} < 1000 THEN {0} * 3 / 200 ELSE 15 + ln({0} / 1000) / (ln(6.4::DOUBLE) / 27) END".format(f"({f.rate / 2}::DOUBLE)")
+    return f"""WITH {_FRAMES},
+waves AS (SELECT j, k, (0.5 - 0.5 * cos(2 * pi() * j / {f.fft})) * cos(2 * pi() * j * k / {f.fft}) AS re, (0.5 - 0.5 * cos(2 * pi() * j / {f.fft})) * sin(2 * pi() * j * k / {f.fft}) AS im FROM range({f.fft}) a(j), range({f.fft // 2 + 1}) b(k)),
+mels AS (SELECT i, i * ({mel}) / {f.mels + 1} AS m FROM range({f.mels + 2}) a(i)),
+edges AS (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp((m - 15) * (ln(6.4::DOUBLE) / 27)) END AS hz FROM mels),
+bands AS (SELECT a.i AS band, k, greatest(0, least((k * {f.rate / f.fft}::DOUBLE - a.hz) / (b.hz - a.hz), (c.hz - k * {f.rate / f.fft}::DOUBLE) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS weight
+  FROM edges a JOIN edges b ON b.i = a.i + 1 JOIN edges c ON c.i = a.i + 2, range({f.fft // 2 + 1}) d(k)),
+centred AS (SELECT user_id, g, frame - (g * {f.hop} - {f.fft // 2}) AS j, value FROM frames, range(100000) r(g) WHERE g <= n // {f.hop} AND frame >= g * {f.hop} - {f.fft // 2} AND frame < g * {f.hop} + {f.fft // 2}),
+power AS (SELECT user_id, g, k, sum(value * re) ** 2 + sum(value * im) ** 2 AS p FROM centred JOIN waves USING (j) GROUP BY ALL),
+db AS (SELECT user_id, g, band, 10 * log10(greatest(sum(p * weight), 1e-10)) AS db FROM power JOIN bands USING (k) GROUP BY ALL),
+floored AS (SELECT user_id, g, band, greatest(db, max(db) OVER (PARTITION BY user_id) - {TOP_DB}) AS db FROM db)
+SELECT user_id::VARCHAR AS utt, g AS frame, k::INT AS k, round(sum(db * cos(pi() * k * (2 * band + 1) / {2 * f.mels})) * sqrt(2.0::DOUBLE / {f.mels}) / CASE WHEN k = 0 THEN sqrt(2::DOUBLE) ELSE 1 END, 4) AS x
+FROM floored, range({n_mfcc}) c(k) GROUP BY user_id, g, k"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "q_lstm_infer": _lstm_sql(),
+        "q_attn_infer": _attention_sql(),
+        "q_mfcc": _mfcc_sql(),
+        "q_mono_mix": "SELECT vec_id, k::INT AS k, round((embedding[2 * k + 1]::DOUBLE + embedding[2 * k + 2]::DOUBLE) / 2, 6) AS x FROM embeddings, range(32) r(k)",
         "q_manifest_group": "SELECT source, doc_id // 1024 AS part, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS utts, count(*) AS n FROM documents GROUP BY ALL",
         "q_path_speaker": "SELECT page_id, string_split(url, '/')[-2] AS spk, split_part(string_split(url, '/')[-1], '-', 1) AS name_spk, ends_with(url, '.html') AS is_format FROM pages",
         "q_csv_arity": """WITH lines AS (SELECT CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN source IS NULL THEN 1 ELSE 2 END AS n_fields, source, doc_id FROM documents)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..operators import sampling, scoring, train
+from ..operators import cepstra, sampling, scoring, train
 from ..operators.augment import Masks
 from ..operators.eer import equal_error_rate
 from ..operators.encoders import Attention, Encoder, Lstm, Params
@@ -32,31 +32,25 @@ def speaker_encoder(spark: SparkSession, cfg: Config, load_from: str = "") -> tu
 
 
 def features(utterances: DataFrame, cfg: Config) -> DataFrame:
-    """(utt, features) of each distinct file of a manifest; the files are read on the executors.
+    """(utt, features) of each distinct file of a manifest; the files are found and read on the executors, and no name comes to the driver.
 
-    Names are joined first; files that the manifest doesn't have are never read. Only
-    names pass through the driver, as the file source needs them.
+    Files that can't be read are left out and warned about.
     """
-    spark = utterances.sparkSession
-    wanted = utterances.select("utt").distinct()
-    folders = [r["f"] for r in wanted.select(F.regexp_replace("utt", "/[^/]*$", "").alias("f")).distinct().collect()]
-    if not folders:
+    heads = stored(audio.heads(utterances), "heads")
+    counts = heads.agg(F.count("*").alias("all"), F.count("error").alias("bad"), F.min_by(F.struct("utt", "error"), F.col("error").isNull()).alias("one")).first()
+    if not counts["all"]:
         raise ValueError("the manifest is empty")
-    there = audio.names(spark, folders)
-    known = stored(there.join(wanted, "utt", "left_semi"), "files")
-    if known.count() < there.count():
-        files = audio.read(spark, [r["utt"] for r in known.collect()])
-    else:
-        files = audio.read(spark, folders)
-    return audio.feature_table(files, cfg.model.n_mfcc).persist()
+    if counts["bad"]:
+        log.warning("%d of %d files can't be read, such as %s: %s", counts["bad"], counts["all"], *counts["one"])
+    return cepstra.of_files(heads, cfg.model.n_mfcc).persist()
 
 
 def lengths(table: DataFrame) -> DataFrame:
     return table.select("utt", F.size("features").alias("frames"))
 
 
-def run_training(spark: SparkSession, cfg: Config, distributed: bool = False) -> tuple[Params, DataFrame]:
-    log.info("train.num_processes (%s) has no effect: Spark's partitions do that work", cfg.train.num_processes)
+def run_training(spark: SparkSession, cfg: Config) -> tuple[Params, DataFrame]:
+    """Trains in ``train.num_processes`` barrier tasks, or fewer if there are fewer cores or triplets in a batch."""
     utterances = manifest.select(spark, cfg.data.train_csv, cfg.data.train_librispeech_dir)
     table = features(utterances, cfg)
     aug = cfg.train.specaug
@@ -66,7 +60,7 @@ def run_training(spark: SparkSession, cfg: Config, distributed: bool = False) ->
     kept = sampling.renumbered(drawn).select("i", "anchor", "pos", "neg")
     prepared = train.crops(kept, table, cfg.model.seq_len, masks)
     t = cfg.train
-    params, losses = train.train(prepared, encoder_of(cfg), t.num_steps, t.batch_size, t.triplet_alpha, t.learning_rate, cfg.model.saved_model_path or None, t.save_model_frequency, encoder_of(cfg).init(cfg.model.n_mfcc, 0), distributed)
+    params, losses = train.train(prepared, encoder_of(cfg), t.num_steps, t.batch_size, t.triplet_alpha, t.learning_rate, cfg.model.saved_model_path or None, t.save_model_frequency, encoder_of(cfg).init(cfg.model.n_mfcc, 0), t.num_processes)
     table.unpersist()
     if cfg.model.saved_model_path:
         plot = f"{cfg.model.saved_model_path.removesuffix(models.SUFFIX)}.losses.svg"

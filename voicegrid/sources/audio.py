@@ -9,33 +9,45 @@ orthonormal DCT-II. An utterance of N samples has 1 + N // 512 frames.
 from __future__ import annotations
 
 import io
-import wave
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import files, wav
 from .flac import decode_flac
 
 RATE, FFT, HOP, MELS, TOP_DB = 16_000, 2048, 512, 128, 80.0
 
 
+@dataclass(frozen=True)
+class Frames:
+    """How samples are framed and frames summed up to mel bands. Frame f is centred at sample f * hop."""
+
+    rate: int = RATE
+    fft: int = FFT
+    hop: int = HOP
+    mels: int = MELS
+
+    def count(self, samples: int) -> int:
+        return 1 + samples // self.hop
+
+
+#: The definition above.
+DEFAULT = Frames()
+
+
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     """(samples from -1 to 1, rate); two-dimensional if there are several channels."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, rate, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        x = np.concatenate([np.zeros((len(b), 1), np.uint8), b], 1).copy().view("<i4").ravel() / 2.0**31
-    else:
-        x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
-    return (x.reshape(-1, channels) if channels > 1 else x), rate
+    f = io.BytesIO(content)
+    found = wav.header(f)
+    return wav.samples(f, found, 0, found.count), found.rate
 
 
 def decode(content: bytes) -> tuple[np.ndarray, int]:
@@ -50,22 +62,47 @@ def mono(x: np.ndarray) -> np.ndarray:
     return x.mean(1) if x.ndim == 2 else x
 
 
-def resample(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 32) -> np.ndarray:
-    """Band-limited interpolation by a Hann-windowed sinc with ``zeros`` zero crossings a side."""
-    if rate == to or not len(x):
-        return x
-    n = int(np.ceil(len(x) * Fraction(to, rate)))
+def resampled_count(n: int, rate: int, to: int = RATE) -> int:
+    return int(np.ceil(n * Fraction(to, rate)))
+
+
+def _reach(rate: int, to: int, zeros: int) -> tuple[float, int]:
     cut = min(1.0, to / rate)
-    reach = int(np.ceil(zeros / cut))
-    padded = np.concatenate([np.zeros(reach), x, np.zeros(reach + 1)])
-    out = np.empty(n)
-    for at in range(0, n, 1 << 14):
-        place = np.arange(at, min(n, at + (1 << 14))) * (rate / to)
+    return cut, int(np.ceil(zeros / cut))
+
+
+def needed(begin: int, end: int, rate: int, to: int = RATE, zeros: int = 32) -> tuple[int, int]:
+    """The samples that those from ``begin`` to ``end`` of the new rate are made of; may reach beyond the utterance."""
+    if rate == to:
+        return begin, end
+    reach = _reach(rate, to, zeros)[1]
+    return int(np.floor(begin * (rate / to))) - reach, int(np.floor(max(begin, end - 1) * (rate / to))) + reach + 2
+
+
+def resample(x: np.ndarray, rate: int, to: int = RATE, zeros: int = 32, first: int = 0, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Band-limited interpolation by a Hann-windowed sinc with ``zeros`` zero crossings a side.
+
+    ``x`` has the samples from ``first`` on, of which nothing but zeros lies beyond; the
+    result those from ``begin`` to ``end`` of the new rate, all if not told.
+    """
+    end = resampled_count(len(x), rate, to) if end is None else end
+    if rate == to:
+        return x[begin - first : end - first]
+    if not len(x):
+        return np.zeros(end - begin)
+    cut, reach = _reach(rate, to, zeros)
+    lo, hi = needed(begin, end, rate, to, zeros)
+    padded = np.zeros(hi - lo)
+    a, b = max(lo, first), min(hi, first + len(x))
+    padded[a - lo : b - lo] = x[a - first : b - first]
+    out = np.empty(end - begin)
+    for at in range(begin, end, 1 << 14):
+        place = np.arange(at, min(end, at + (1 << 14))) * (rate / to)
         whole = np.floor(place).astype(int)
         k = np.arange(-reach + 1, reach + 1)
         away = place[:, None] - (whole[:, None] + k)
         weight = cut * np.sinc(cut * away) * (0.5 + 0.5 * np.cos(np.pi * np.clip(away / reach, -1, 1)))
-        out[at : at + len(place)] = (padded[whole[:, None] + k + reach] * weight).sum(1)
+        out[at - begin : at - begin + len(place)] = (padded[whole[:, None] + k - lo] * weight).sum(1)
     return out
 
 
@@ -97,15 +134,24 @@ def dct_matrix(n: int, k: int) -> np.ndarray:
     return m
 
 
-def mfcc(x: np.ndarray, n_mfcc: int = 128, pad: str = "constant") -> np.ndarray:
-    """(frames, n_mfcc) of mono samples at ``RATE``."""
-    padded = np.pad(x, FFT // 2, mode=pad if len(x) > FFT // 2 or pad == "constant" else "constant")
-    n = 1 + (len(padded) - FFT) // HOP
-    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FFT) / FFT)
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FFT)[::HOP][:n]
-    power = np.abs(np.fft.rfft(frames * window, axis=1)) ** 2
-    db = 10 * np.log10(np.maximum(power @ mel_bands().T, 1e-10))
-    return np.maximum(db, db.max() - TOP_DB) @ dct_matrix(MELS, n_mfcc).T
+def decibels(samples: np.ndarray, frames: Frames = DEFAULT) -> np.ndarray:
+    """(n, mels) of samples that are cut into n frames ``hop`` apart, the first at their start."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frames.fft) / frames.fft)
+    cut = np.lib.stride_tricks.sliding_window_view(samples, frames.fft)[:: frames.hop]
+    power = np.abs(np.fft.rfft(cut * window, axis=1)) ** 2
+    return 10 * np.log10(np.maximum(power @ mel_bands(frames.rate, frames.fft, frames.mels).T, 1e-10))
+
+
+def cepstra_of(db: np.ndarray, loudest: float, n_mfcc: int) -> np.ndarray:
+    """(n, n_mfcc) of the frames of an utterance whose loudest band is ``loudest``."""
+    return np.maximum(db, loudest - TOP_DB) @ dct_matrix(db.shape[1], n_mfcc).T
+
+
+def mfcc(x: np.ndarray, n_mfcc: int = 128, pad: str = "constant", frames: Frames = DEFAULT) -> np.ndarray:
+    """(frames, n_mfcc) of mono samples at the frames' rate."""
+    half = frames.fft // 2
+    db = decibels(np.pad(x, half, mode=pad if len(x) > half or pad == "constant" else "constant"), frames)
+    return cepstra_of(db, float(db.max()), n_mfcc)
 
 
 def features_of(content: bytes, n_mfcc: int = 128) -> np.ndarray:
@@ -123,15 +169,74 @@ def feature_table(files: DataFrame, n_mfcc: int = 128) -> DataFrame:
     return files.select("utt", "content").mapInPandas(run, "utt string, features array<array<double>>")
 
 
-def _name():
-    return F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("utt")
-
-
-def names(spark: SparkSession, places: str | list[str]) -> DataFrame:
-    """(utt) of the files that match or lie in the folders; what they hold isn't read."""
-    return spark.read.format("binaryFile").load(places).select(_name())
-
-
-def read(spark: SparkSession, places: str | list[str]) -> DataFrame:
-    """(utt, content) of the files that match or lie in the folders."""
-    return spark.read.format("binaryFile").load(places).select(_name(), "content")
+#: Samples of a block of a long recording, without its halo: 16 seconds.
+BLOCK = 1 << 18
+
+
+def _head(path: str) -> tuple[str, int, str | None]:
+    """(kind, samples at ``RATE``, error) of a file, of which the beginning is read."""
+    try:
+        with files.opened(path) as f:
+            kind = f.read(4)
+            if kind == b"RIFF":
+                found = wav.header(f)
+                return "wav", resampled_count(found.count, found.rate), None
+            if kind == b"fLaC":
+                return "flac", 0, None
+            return "", 0, "neither a WAV nor a FLAC file"
+    except (OSError, ValueError) as e:
+        return "", 0, str(e)
+
+
+def heads(names: DataFrame) -> DataFrame:
+    """(utt, kind, n, error) of the distinct files named by ``names`` (utt), which are opened where their names are dealt to.
+
+    A file that isn't there, or can't be read, has an error and no kind.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_head(path) for path in batch.column("utt").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("utt"), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string())))], ["utt", "kind", "n", "error"])
+
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # names are small, so tasks aren't told by bytes
+    return names.where("utt is not null").select("utt").repartition(tasks, "utt").dropDuplicates(["utt"]).mapInArrow(run, "utt string, kind string, n long, error string")
+
+
+def sample_blocks(heads: DataFrame, frames: Frames = DEFAULT, block: int = BLOCK) -> DataFrame:
+    """(utt, block, n, first, samples) of files (utt, kind, n): mono blocks with half a frame on either side.
+
+    A WAV file is read in as many tasks as it has blocks, each of which seeks what it
+    needs; a FLAC file, whose frames follow one another, in one.
+    """
+    half = frames.fft // 2
+
+    def cut(x: np.ndarray, first: int, number: int, n: int) -> tuple:
+        begin, end = max(0, number * block - half), min(n, (number + 1) * block - frames.hop + half)
+        return number, n, begin, x[begin - first : end - first]
+
+    def of_wav(path: str, number: int, n: int) -> Iterator[tuple]:
+        with files.opened(path) as f:
+            found = wav.header(f)
+            begin, end = max(0, number * block - half), min(n, (number + 1) * block - frames.hop + half)
+            lo, hi = needed(begin, end, found.rate)
+            lo, hi = max(0, lo), min(found.count, hi)
+            yield number, n, begin, resample(mono(wav.samples(f, found, lo, hi)), found.rate, first=lo, begin=begin, end=end)
+
+    def of_flac(path: str) -> Iterator[tuple]:
+        with files.opened(path) as f:
+            x, rate = decode_flac(f.read())
+        x = resample(mono(x), rate)
+        for number in range(len(x) // block + 1):
+            yield cut(x, 0, number, len(x))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for utt, kind, n, number in zip(*(batch.column(c).to_pylist() for c in ("utt", "kind", "n", "block")), strict=True):
+                for b, n, first, x in of_wav(utt, number, n) if kind == "wav" else of_flac(utt):
+                    arrays = [pa.array([utt]), *(pa.array([v], pa.int64()) for v in (b, n, first)), pa.array([x], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["utt", "block", "n", "first", "samples"])
+
+    blocks = heads.where("kind <> ''").withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "wav", F.floor(F.col("n") / block)).otherwise(0))))
+    tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.select("utt", "kind", "n", "block").repartition(tasks, "utt", "block").mapInArrow(run, "utt string, block long, n long, first long, samples array<double>")

@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import numbers
+from . import files
+
 _BLANK = r"(?U)^\s+|\s+$"
 
 
@@ -28,51 +31,39 @@ def speaker_of_basename(path: Column) -> Column:
     return F.split_part(path_part(path, -1), F.lit("-"), F.lit(1))
 
 
-def _listing(spark: SparkSession, folder: str, recursive: bool) -> list[str]:
-    """Paths of files in the folder, of any file system that Spark reads; empty files and names with ``_`` too.
-
-    Names only pass through the driver, as they do in every file source.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = []
-    if recursive:
-        files = fs.listFiles(path, True)
-        while files.hasNext():
-            out.append(files.next().getPath())
-    else:
-        out = [f.getPath() for f in fs.globStatus(path) or [] if f.isFile()]
-    local = fs.getUri().getScheme() == "file"
-    return [p.toUri().getPath() if local else p.toString() for p in out]
+def from_directory(spark: SparkSession, data_dir: str, suffix: str = ".flac") -> DataFrame:
+    """(spk, utt, pos) of the files ``data_dir/*/*/*<suffix>``, by names only; folders are listed in tasks."""
+    found = files.listing(spark, data_dir, suffix, depth=3).select("utt", F.monotonically_increasing_id().alias("pos"))
+    return found.select(speaker_of_basename(F.col("utt")).alias("spk"), "utt", "pos")
 
 
-def from_directory(spark: SparkSession, data_dir: str, suffix: str = ".flac") -> DataFrame:
-    """(spk, utt, pos) of the files ``data_dir/*/*/*<suffix>``, by names only."""
-    names = [p for p in _listing(spark, f"{data_dir}/*/*/*{suffix}", False) if not any(x.startswith(".") for x in p.split("/")[-3:])]
-    files = spark.createDataFrame([(p, k) for k, p in enumerate(names)], "utt string, pos long")
-    return files.select(speaker_of_basename(F.col("utt")).alias("spk"), "utt", "pos")
+def _records(lines: DataFrame, quotes: Column) -> DataFrame:
+    """Lines put together to records: those that begin within quotes go on from the line before. Line feeds within become a mark."""
+    split = F.col("file_block_start")
+    opened = numbers.before(lines, ("file_path",), ("pos",), split, quotes=quotes)
+    begins = (F.col("quotes") % 2 == 0).cast("int")
+    counted = numbers.before(opened, ("file_path",), ("pos",), split, record=begins).withColumn("record", F.col("record") + begins)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("file_block_start", "pos", "value"))), lambda x: x["value"])
+    return counted.groupBy("file_path", "record").agg(F.min("pos").alias("pos"), F.array_join(parts, "\u0001").alias("value"))
 
 
 def csv_rows(spark: SparkSession, csv_file: str) -> DataFrame:
     """(pos, n_fields, spk, utt) of all records of CSV files, spk and utt stripped, null unless there are exactly two fields.
 
     Without header; quoted fields may hold commas, doubled quotes and line breaks.
-    Empty fields count; records of blanks only have one field. Files without a quoted
-    line break are read line by line, in as many tasks as they have splits; only
-    such a break makes a file one task, as its records can't be told apart otherwise.
+    Empty fields count; records of blanks only have one field. Files are read line by
+    line, in as many tasks as they have splits. Where a quoted field goes over several lines,
+    the quotes before each line of its file, summed up by splits, tell whether it begins within one.
     """
-    lines = spark.read.text(csv_file)
-    broken = not lines.where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
-    if broken:
-        # A quote opens where the quotes before are even; line feeds within become a mark, so that a record is one line.
-        whole = spark.read.text(csv_file, wholetext=True)
-        parts = F.split("value", '"')
-        outside = F.transform(parts, lambda x, k: F.when(k % 2 == 1, F.replace(x, F.lit("\n"), F.lit("\u0001"))).otherwise(x))
-        lines = whole.select(F.explode(F.split(F.array_join(outside, '"'), "\r?\n")).alias("value"))
+    lines = spark.read.text(csv_file, lineSep="\n").select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("pos"))
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    if not lines.where(quotes % 2 == 1).isEmpty():
+        lines = _records(lines, quotes)
+    lines = lines.select("pos", F.regexp_replace("value", "\r$", "").alias("value"))
     # A third field, be it empty, shows in the raw line only, so fields are counted there.
     parsed = F.from_csv("value", "c0 string, c1 string, c2 string", {"escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000"})
     fields = (1 + F.length(F.regexp_replace(F.regexp_replace("value", r'"(?:[^"]|"")*"', ""), "[^,]", ""))).cast("int")
-    rows = lines.withColumn("pos", F.monotonically_increasing_id()).withColumn("n_fields", fields).withColumn("f", parsed)
+    rows = lines.withColumn("n_fields", fields).withColumn("f", parsed)
     field = lambda c: F.when(F.col("n_fields") == 2, strip(F.replace(F.col(c), F.lit("\u0001"), F.lit("\n"))))
     return rows.select("pos", "n_fields", field("f.c0").alias("spk"), field("f.c1").alias("utt"))
 
@@ -89,9 +80,8 @@ def select(spark: SparkSession, csv_file: str | None, data_dir: str, suffix: str
 
 def listed(spark: SparkSession, path_to_dataset: str, audio_format: str, speaker_label_index: int = -2) -> DataFrame:
     """(spk, utt) of all files below a directory whose names end with ``audio_format``."""
-    names = [p for p in _listing(spark, path_to_dataset, True) if p.endswith(audio_format)]
-    files = spark.createDataFrame([(p,) for p in names], "utt string")
-    return files.select(path_part(F.col("utt"), speaker_label_index).alias("spk"), "utt")
+    found = files.listing(spark, path_to_dataset, audio_format, hidden=True)
+    return found.select(path_part(F.col("utt"), speaker_label_index).alias("spk"), "utt")
 
 
 def generate_csv(spark: SparkSession, path_to_dataset: str, audio_format: str, output_csv: str, speaker_label_index: int = -2) -> int:
