@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_dir
 
 
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+#: The lists of all scratches that are open, the innermost last.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if (held := _scratch.get()) is not None:
+    for held in _scratch.get():
         held.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -34,11 +35,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Within, the paths that ``materialize`` writes are listed; those still listed at the end are deleted.
 
-    What is read later has to be taken off the list (its ``stored_at``). After a
-    failure nothing is deleted.
+    What is read later has to be taken off the list (its ``stored_at``); a scratch around
+    this one still has it on its own. After a failure nothing is deleted.
     """
     held: list[str] = []
-    token = _scratch.set(held)
+    token = _scratch.set((*_scratch.get(), held))
     try:
         yield held
     finally:
