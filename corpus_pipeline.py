@@ -9,7 +9,8 @@ others. Very long texts go through all stages whole. Rows that repeat, and rows
 texts are near copies, are reduced to the one with the smallest doc_id by the second
 stage, of ties one. Extra columns of documents, whatever their names, pass through
 all stages but the last. An empty table passes through all of them. What a stage
-writes in between is deleted once its result is written.
+writes in between, and the table that it read, are deleted once its result is written,
+so that one copy of the corpus is left at the end.
 """
 
 from __future__ import annotations
@@ -62,11 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for number, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/stage-{number}-{uuid.uuid4().hex}"
-        with scratch(spark):
+        with scratch(spark) as written:
             out = stage(spark, docs, sf_dir)
             out.write.option("compression", "zstd").parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+            if before:
+                written.append(before)  # the stage before has been read for the last time
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
