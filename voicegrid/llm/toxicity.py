@@ -38,7 +38,7 @@ from .text import ALNUM, seeded, slices, words_of
 
 CUT = 0.7
 #: Labelled documents in the sample, and bytes of their texts, about; rows beyond are thinned out by hash.
-SAMPLE, SAMPLE_BYTES = 16_384, 48 << 20
+SAMPLE, SAMPLE_BYTES = 12_288, 36 << 20
 #: Step size, its smoothing, L2, passes. L1 is so many square roots of the toxic documents, as what chance adds up grows like that.
 ALPHA, BETA, L2, NOISE, EPOCHS = 2.0, 1.0, 0.1, 0.35, 16
 STEMS = (4, 5, 6, 7)
