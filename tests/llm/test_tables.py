@@ -182,17 +182,13 @@ def test_groups_of_a_large_source(documents, monkeypatch):
 
 def plain_top_k(vectors, k=20, modulus=20):
     out = []
-    whole = {}
-    for i, v in vectors:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            whole.setdefault(i, []).append([np.floor(64 * float(np.float32(x))) for x in v])
-    for q, rows in whole.items():
-        if q % modulus:
+    whole = [(i, [np.floor(64 * float(np.float32(x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for at, (q, mine) in enumerate(whole):
+        if q is None or q % modulus:
             continue
-        mine = min(rows)
-        scored = sorted((-sum(a * b for a, b in zip(mine, v)), i) for i, many in whole.items() if i != q for v in many)
-        out += [(q, rank, i, int(-s)) for rank, (s, i) in enumerate(scored[:k], 1)]
-    return sorted(out)
+        scored = sorted((-sum(a * b for a, b in zip(mine, v)), i is None, i or 0) for n, (i, v) in enumerate(whole) if n != at)
+        out += [(q, rank, None if null else i, int(-s)) for rank, (s, null, i) in enumerate(scored[:k], 1)]
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("kind", ["clusters", "alike", "odd"])
@@ -205,12 +201,45 @@ def test_top_k_equals_brute_force(spark, kind, monkeypatch):
     elif kind == "alike":
         vectors = [(k, [0.5] * 6 if k % 3 else rng.standard_normal(6).tolist()) for k in range(400)]
     else:
-        vectors = [(20 * k, [float(k), -1.0]) for k in range(6)] + [(1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf")]), (None, [1.0, 1.0]), (5, []), (6, [1.0]), (7, [1.0, 2.0, 3.0]), (7, [0.5, 0.5]), (40, [9.0, 9.0])]
+        vectors = [(20 * k, [float(k), -1.0]) for k in range(6)] + [(1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf")]), (None, [1.0, 1.0]), (None, [1.0, 1.0]), (None, [99.0, -1.0]), (5, []), (6, [1.0]), (7, [1.0, 2.0, 3.0]), (7, [0.5, 0.5]), (40, [9.0, 9.0])]
     table = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, score int")
-    got = sorted(tuple(r) for r in topk.top_k(table).collect())
+    got = sorted((tuple(r) for r in topk.top_k(table).collect()), key=str)
     assert got == plain_top_k(vectors)
 
 
+@pytest.mark.parametrize("cells, sample", [(5, 40), (1, 10), (64, 10**6)])
+def test_top_k_with_any_net(spark, monkeypatch, cells, sample):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(topk, "TASK_ROWS", 50)
+    monkeypatch.setattr(topk, "CELLS", cells)
+    monkeypatch.setattr(topk, "SAMPLE", sample)
+    vectors = [(k % 300, (rng.standard_normal(4) * 0.2 + 2 * np.eye(4)[k % 3]).tolist()) for k in range(600)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    assert sorted((tuple(r) for r in topk.top_k(table).collect()), key=str) == plain_top_k(vectors)
+
+
+def test_repeated_ids_equal_sql(spark, duck):
+    vectors = [(0, [1.0, 2.0]), (0, [3.0, -1.0]), (0, [3.0, -1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5]), (21, None)]
+    mine = sorted((tuple(r) for r in topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect()), key=str)
+    values = ", ".join(f"({'null' if i is None else i}, {'null' if v is None else v}::FLOAT[])" for i, v in vectors)
+    theirs = duck.sql(topk.ORACLE_SQL.replace("FROM embeddings", f"FROM (VALUES {values}) AS t(vec_id, embedding)")).fetchall()
+    assert mine == sorted(theirs, key=str) and len(mine) == 4 * 5
+
+
+def test_pairs_of_cells_are_left_out_before_the_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(topk, "TASK_ROWS", 250)
+    seen, plain = [], topk.surviving
+    monkeypatch.setattr(topk, "surviving", lambda cells, centres: seen.append((len(cells), plain(cells, centres))) or seen[-1][1])
+    ways = 10 * np.sign(rng.standard_normal((8, 16)))
+    vectors = [(k, (rng.standard_normal(16) * 0.05 + ways[k % 8]).tolist()) for k in range(2000)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = sorted((tuple(r) for r in topk.top_k(table).collect()), key=str)
+    assert got == plain_top_k(vectors)
+    ((cells, pairs),) = seen
+    assert cells == 8 and len(pairs) <= 8  # queries of ids divisible by 20 lie in two of eight clusters
+
+
 def test_jobs_do_not_grow_with_groups_of_queries(spark, monkeypatch):
     rng = np.random.default_rng(4)
     table = spark.createDataFrame([(k, rng.standard_normal(4).tolist()) for k in range(800)], "vec_id long, embedding array<float>")
@@ -254,8 +283,8 @@ def test_tree_prunes_what_cannot_win():
     tree, best = topk.CoverTree(queries), None
     best = topk.Best(tree, np.arange(50) + 10**6, 5)
     compared = []
-    best._compare, plain = (lambda q, data, d, ids: (compared.append(np.diff(data.range[d])[0]), plain(q, data, d, ids))), best._compare
-    best.search(topk.CoverTree(far), np.arange(len(far)))
+    best._compare, plain = (lambda q, data, d, *rest: (compared.append(np.diff(data.range[d])[0]), plain(q, data, d, *rest))), best._compare
+    best.search(topk.CoverTree(far), np.arange(len(far)), np.arange(len(far)))
     expected = np.sort(queries @ far.T, 1)[:, ::-1][:, :5]
     assert np.allclose(best.score, expected[tree.order])
     assert sum(compared) < len(far)
