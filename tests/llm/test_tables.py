@@ -322,6 +322,16 @@ def test_lexicon_is_the_band(documents, prose):
     assert len(band) == sum(300 * np.exp(-4.0) <= n <= 300 * np.exp(-2.5) for n in counts.values())
 
 
+def test_a_large_lexicon_is_thinned_by_hash(documents, prose, monkeypatch):
+    docs = documents([(k, t) for k, t in enumerate(prose(300, 40) * 2)])
+    whole = fingerprints.lexicon(docs, (1.0, 6.0))
+    some = fingerprints.lexicon(docs, (1.0, 6.0), 100)
+    assert len(whole) > 300 and 60 < len(some) < 140 and set(some.tolist()) < set(whole.tolist())
+    assert (fingerprints.lexicon(docs, (1.0, 6.0), 100) == some).all()
+    found = {r["doc_id"]: r["fingerprint"] for r in fingerprints.edited(docs, some).collect()}
+    assert len(found) == 600 and all(found[k] == found[k + 300] for k in range(300))
+
+
 def plain_fingerprint(text, terms_in_band):
     """Parts by a plain loop over the text's terms; hashes are those of the module."""
     from voicegrid.llm.text import words_of, ALNUM, mix, seeded
