@@ -28,7 +28,12 @@ def encoder_of(cfg: Config) -> Encoder:
 def speaker_encoder(spark: SparkSession, cfg: Config, load_from: str = "") -> tuple[Encoder, Params]:
     """The configured encoder with saved parameters, or with fixed initial ones."""
     encoder = encoder_of(cfg)
-    return encoder, models.load(spark, load_from) if load_from else encoder.init(cfg.model.n_mfcc, 0)
+    params = encoder.init(cfg.model.n_mfcc, 0)
+    if load_from:
+        expected, params = {name: x.shape for name, x in params.items()}, models.load(spark, load_from)
+        if (found := {name: x.shape for name, x in params.items()}) != expected:
+            raise ValueError(f"{load_from} is of another encoder than the configuration's: {found}, not {expected}")
+    return encoder, params
 
 
 def features(utterances: DataFrame, cfg: Config) -> DataFrame:

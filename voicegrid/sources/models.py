@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from . import msgpack
+
 SUFFIX = ".parquet"
 Params = dict[str, np.ndarray]
 
@@ -26,7 +29,13 @@ def save_table(table: DataFrame, path: str) -> str:
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(with_suffix(path))
+    """(name, shape, data) rows of a table; a name that ends in .msgpack may also be a file that another tool saved, if there is no table of it."""
+    try:
+        return spark.read.parquet(with_suffix(path))
+    except AnalysisException as e:
+        if not path.endswith(msgpack.SUFFIX) or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return msgpack.table(spark, path)
 
 
 def save(spark: SparkSession, path: str, params: Params) -> str:
