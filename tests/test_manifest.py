@@ -94,3 +94,34 @@ def test_whole_triplets_are_rejected(spark):
     assert found.count() == 20 and not any("a0" in (r["anchor"], r["pos"], r["neg"]) for r in found.collect())
     with pytest.raises(ValueError):
         sampling.accepted_triplets(m, lengths, 1000, 5, rounds=2)
+
+
+def test_triplets_as_rows_and_as_columns(spark):
+    m = _manifest(spark, {"a": 4, "b": 4, "c": 1, "d": 3})
+    rows = sampling.roles(m, sampling.slots(spark, 200))
+    assert rows.count() == 600
+    whole = sampling.together(rows)
+    assert sorted(whole.collect()) == sorted(sampling.together(sampling.apart(whole)).collect()) and whole.count() == 200
+    lengths = m.select("utt", F.when(F.col("utt").isin("a0", "c0"), 10).otherwise(200).alias("frames"))
+    kept = {tuple(r) for r in whole.collect() if not {"a0", "c0"} & {r["anchor"], r["pos"], r["neg"]}}
+    assert {tuple(r) for r in sampling.accepted(rows, lengths, 100).collect()} == {tuple(r) for r in sampling.accepted(whole, lengths, 100).collect()} == kept
+
+
+def test_slots_that_repeat_and_speakers_without_a_name(spark):
+    m = _manifest(spark, {"a": 3, "b": 2}).unionByName(spark.createDataFrame([(None, "x", 0), (None, "y", 1)], "spk string, utt string, pos long"))
+    slots = sampling.slots(spark, 60)
+    found = sampling.triplets(m, slots.unionByName(slots)).collect()
+    assert len({r["i"] for r in found}) == len(found) and 0 < len(found) < 60
+    assert all(r["pos_spk"] and r["neg_spk"] for r in found)
+    assert sorted(found) == sorted(sampling.triplets(m, slots).collect())
+
+
+def test_speakers_with_two_utterances_come_first(spark):
+    found = sampling.speakers(_manifest(spark, {"a": 3, "b": 1, "c": 2, "d": 1, "e": 5})).orderBy("k").collect()
+    assert [r["k"] for r in found] == list(range(5)) and {r["spk"] for r in found[:3]} == {"a", "c", "e"}
+
+
+def test_draws_take_two_joins_by_number(spark):
+    plan = sampling.roles(_manifest(spark, {"a": 3, "b": 2}), sampling.slots(spark, 5))._jdf.queryExecution().optimizedPlan().toString()
+    # Numbers of speakers and of utterances; sizes, and the sums of the parts of either numbering.
+    assert plan.count("Join ") == 2 + 3

@@ -560,3 +560,10 @@ def test_streamed_windows_are_the_batch_ones(spark, tmp_path, length, step):
         finally:
             query.stop()
         assert sorted((r["utt"], r["window"], r["features"]) for r in found) == expected and all(r["first_frame"] == r["window"] * step for r in found)
+
+
+def test_rates_of_no_trials_and_of_scores_outside_the_thresholds(spark):
+    none = spark.createDataFrame([], "label int, score double")
+    assert [tuple(r) for r in eer.far_frr(none, 0.5).orderBy("threshold").collect()] == [(0.0, 0, 0, None, None), (0.5, 0, 0, None, None)]
+    odd = spark.createDataFrame([(1, 9.0), (1, -9.0), (0, 0.5), (0, None)], "label int, score double")
+    assert [tuple(r) for r in eer.far_frr(odd, 0.25).orderBy("threshold").collect()] == [(0.0, 1, 1, 1.0, 0.5), (0.25, 1, 1, 1.0, 0.5), (0.5, 1, 1, 1.0, 0.5), (0.75, 0, 1, 0.0, 0.5)]

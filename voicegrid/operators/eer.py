@@ -8,7 +8,7 @@ and label whatever the number of trials; running sums over these give all rates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,8 +21,9 @@ def thresholds(step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> li
     return out
 
 
-def _grid(spark: SparkSession, values: list[float]) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, threshold double")
+def _grid(values: list[float]) -> Column:
+    """The thresholds as one literal."""
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in values)})" if values else "cast(array() as array<double>)")
 
 
 def counted(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
@@ -32,16 +33,11 @@ def counted(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: fl
     of several runs or batches add up (``merged``), so trials are read once.
     """
     values = thresholds(step, start, stop)
-    grid = F.array(*map(F.lit, values)) if len(values) <= 64 else None
-    spark = trials.sparkSession
     # The number of thresholds that accept a score: close by division, then put right by the thresholds around it.
     near = F.floor((F.col("score") - start) / step).cast("int")
-    if grid is None:
-        grid_row = F.broadcast(spark.createDataFrame([(values,)], "grid array<double>"))  # one row
-        trials, grid = trials.crossJoin(grid_row), F.col("grid")
     at = F.greatest(F.lit(-1), F.least(F.lit(len(values)), near))
     around = F.sequence(F.greatest(F.lit(0), at - 2), F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), at + 2)))
-    accepted = F.greatest(F.lit(0), at - 2) + F.size(F.filter(around, lambda k: F.element_at(grid, k + 1) <= F.col("score")))
+    accepted = F.greatest(F.lit(0), at - 2) + F.size(F.filter(around, lambda k: F.get(_grid(values), k) <= F.col("score")))
     return trials.where(F.col("score").isNotNull()).select("label", accepted.alias("k")).groupBy("k").agg(
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("neg"), F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos")
     )
@@ -67,16 +63,14 @@ def far_frr(trials: DataFrame, step: float = 0.001, start: float = 0.0, stop: fl
 
 
 def rates(counts: DataFrame, step: float = 0.001, start: float = 0.0, stop: float = 1.0) -> DataFrame:
-    """The same of counts (k, neg, pos)."""
-    # A trial with k accepting thresholds is accepted at indexes 0 .. k - 1.
-    grid = _grid(counts.sparkSession, thresholds(step, start, stop))
-    every = grid.withColumn("k", F.col("k") + 1).join(counts, "k", "full").na.fill(0, ["neg", "pos"])
-    below = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = every.select(
-        "threshold", F.sum("neg").over(whole).alias("n_neg"), F.sum("pos").over(whole).alias("n_pos"),
-        F.coalesce(F.sum("neg").over(below), F.lit(0)).alias("neg_below"), F.coalesce(F.sum("pos").over(below), F.lit(0)).alias("pos_below"),
-    ).where("threshold is not null")
+    """The same of counts (k, neg, pos), a row each k."""
+    # One row, of as many entries as there are thresholds, is all that is left of the trials.
+    every = counts.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("neg", "pos")))).alias("at"), *(F.coalesce(F.sum(c), F.lit(0)).alias(f"n_{c}") for c in ("neg", "pos")))
+    grid = every.select("*", F.posexplode(_grid(thresholds(step, start, stop))).alias("j", "threshold"))
+    # A trial with k accepting thresholds is accepted at indexes 0 .. k - 1, so threshold j rejects those with k <= j.
+    rejected = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.try_element_at("at", F.col("j"))
+    summed = grid.select("threshold", "n_neg", "n_pos", *(F.sum(F.coalesce(here[c], F.lit(0))).over(rejected).alias(f"{c}_below") for c in ("neg", "pos")))
     accepts = F.col("n_neg") - F.col("neg_below")
     return summed.select("threshold", accepts.alias("false_accepts"), F.col("pos_below").alias("false_rejects"), F.try_divide(accepts.cast("double"), "n_neg").alias("far"), F.try_divide(F.col("pos_below").cast("double"), "n_pos").alias("frr"))
 

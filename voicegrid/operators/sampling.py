@@ -1,9 +1,10 @@
 """Seeded sampling of (anchor, positive, negative) triplets from a manifest.
 
-Speakers, and the utterances of each, are numbered; a slot draws numbers by md5 and
-fetches what they stand for by equi-joins, so the cost is linear in slots and in
-utterances, slots are independent, reruns agree, and any engine with md5 draws
-the same. A slot's first speaker is one of those with two utterances at least, its
+Speakers, those with two utterances or more first, and the utterances of each are
+numbered; a slot draws the numbers of both its speakers by md5, and its three
+utterances are rows (i, role) that fetch what their numbers stand for by two
+equi-joins. So the cost is linear in slots and in utterances, slots are independent,
+reruns agree, and any engine with md5 draws the same. A slot's first speaker is one of those with two utterances at least, its
 second any other: the distribution of drawing pairs of speakers until the first is
 eligible. Anchor and positive differ in position; a repeated row may be both.
 """
@@ -30,17 +31,20 @@ def numbered(manifest: DataFrame, part: Column | None = None) -> DataFrame:
     return numbers.numbered(manifest, "spk", ("pos", "utt"), F.floor(F.col("pos") / PART) if part is None else part, "at")
 
 
+def _counts(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("spk").agg(F.count("*").alias("n"))
+
+
 def speakers(manifest: DataFrame) -> DataFrame:
-    """(spk, n, k, e): one row a speaker, numbered by md5 of the name among all (k) and among the eligible (e, else null)."""
-    counts = manifest.groupBy("spk").agg(F.count("*").alias("n"))
+    """(spk, n, k): one row a speaker, numbered by md5 of the name, those with two utterances at least before the others."""
     part, order = numbers.hash_order("spk")
-    ranked = numbers.running(counts, part, (order, "spk"), k=F.lit(1), e=F.when(F.col("n") >= 2, 1).otherwise(0))
-    return ranked.select("spk", "n", "k", F.when(F.col("n") >= 2, F.col("e")).alias("e"))
+    single = F.when(F.col("n") >= 2, 0).otherwise(1)
+    return numbers.running(_counts(manifest), single * numbers.PARTS + part, (single, order, "spk"), k=F.lit(1)).select("spk", "n", "k")
 
 
 def eligible(manifest: DataFrame) -> DataFrame:
     """(spk, n) of the speakers with two utterances at least."""
-    return manifest.groupBy("spk").agg(F.count("*").alias("n")).where("n >= 2")
+    return _counts(manifest).where("n >= 2")
 
 
 def renumbered(drawn: DataFrame) -> DataFrame:
@@ -49,40 +53,57 @@ def renumbered(drawn: DataFrame) -> DataFrame:
     return moved.select(F.col("__i").alias("i"), *(c for c in drawn.columns if c != "i"))
 
 
-def triplets(manifest: DataFrame, wanted: DataFrame, seed: str = "s") -> DataFrame:
-    """(i, pos_spk, neg_spk, anchor, pos, neg) for each slot i of ``wanted``; none if there aren't two speakers."""
-    known = speakers(manifest)
-    sizes = known.agg(F.count("*").alias("s"), F.count("e").alias("m"))
+#: What the rows of a triplet are, by ``role``.
+ROLES = ("anchor", "pos", "neg")
+
+
+def roles(manifest: DataFrame, wanted: DataFrame, seed: str = "s") -> DataFrame:
+    """(i, role, spk, utt): three rows for each slot i of ``wanted``; none if there aren't two speakers."""
+    n_at_least_2 = F.count(F.when(F.col("n") >= 2, 1))
+    sizes = _counts(manifest).agg(F.count("*").alias("s"), n_at_least_2.alias("m"))
     drawn = wanted.crossJoin(F.broadcast(sizes)).where("s >= 2 and m >= 1")  # one row
-    drawn = drawn.withColumn("e", uniform32(f"{seed}p", "i") % F.col("m")).join(known.select("e", F.col("spk").alias("pos_spk"), F.col("n").alias("pos_n"), F.col("k").alias("pos_k")), "e")
-    other = uniform32(f"{seed}n", "i") % (F.col("s") - 1)
-    drawn = drawn.withColumn("k", other + F.when(other >= F.col("pos_k"), 1).otherwise(0)).join(known.select("k", F.col("spk").alias("neg_spk"), F.col("n").alias("neg_n")), "k")
-    second = uniform32(f"{seed}b", "i") % (F.col("pos_n") - 1)
-    drawn = drawn.withColumn("a_at", uniform32(f"{seed}a", "i") % F.col("pos_n"))
-    drawn = drawn.withColumn("p_at", second + F.when(second >= F.col("a_at"), 1).otherwise(0)).withColumn("n_at", uniform32(f"{seed}m", "i") % F.col("neg_n"))
-    places = numbered(manifest).select("spk", "at", "utt")
-    for role, spk, at in (("anchor", "pos_spk", "a_at"), ("pos", "pos_spk", "p_at"), ("neg", "neg_spk", "n_at")):
-        drawn = drawn.join(places.select(F.col("spk").alias(spk), F.col("at").alias(at), F.col("utt").alias(role)), [spk, at])
-    return drawn.select("i", "pos_spk", "neg_spk", "anchor", "pos", "neg")
+    drawn = drawn.withColumn("first", uniform32(f"{seed}p", "i") % F.col("m")).withColumn("other", uniform32(f"{seed}n", "i") % (F.col("s") - 1))
+    second = F.col("other") + F.when(F.col("other") >= F.col("first"), 1).otherwise(0)
+    rows = drawn.select("i", F.posexplode(F.array("first", "first", second)).alias("role", "k")).join(speakers(manifest), "k")
+    anchor = uniform32(f"{seed}a", "i") % F.col("n")
+    another = uniform32(f"{seed}b", "i") % F.greatest(F.col("n") - 1, F.lit(1))
+    at = F.when(F.col("role") == 0, anchor).when(F.col("role") == 1, another + F.when(another >= anchor, 1).otherwise(0)).otherwise(uniform32(f"{seed}m", "i") % F.col("n"))
+    return rows.select("i", "role", "spk", at.alias("at")).join(numbered(manifest).select("spk", "at", "utt"), ["spk", "at"]).select("i", "role", "spk", "utt")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """(i, pos_spk, neg_spk, anchor, pos, neg) of rows (i, role, spk, utt); slots without all three go, rows that repeat count once."""
+    of = lambda c, k: F.first(F.when(F.col("role") == k, F.col(c)), ignorenulls=True)
+    found = rows.groupBy("i").agg(of("spk", 1).alias("pos_spk"), of("spk", 2).alias("neg_spk"), *(of("utt", k).alias(r) for k, r in enumerate(ROLES)), F.bit_or(F.expr("1 << role")).alias("__roles"))
+    return found.where("__roles = 7").drop("__roles")
+
+
+def apart(drawn: DataFrame) -> DataFrame:
+    """(i, role, spk, utt) of triplets."""
+    row = lambda spk, utt: F.struct(F.col(spk).alias("spk"), F.col(utt).alias("utt"))
+    return drawn.select("i", F.posexplode(F.array(row("pos_spk", "anchor"), row("pos_spk", "pos"), row("neg_spk", "neg"))).alias("role", "r")).select("i", "role", "r.spk", "r.utt")
+
+
+def triplets(manifest: DataFrame, wanted: DataFrame, seed: str = "s") -> DataFrame:
+    """(i, pos_spk, neg_spk, anchor, pos, neg) for each slot i of ``wanted``; none if there aren't two speakers. A slot that is named twice is one."""
+    return together(roles(manifest, wanted, seed))
 
 
 def accepted(drawn: DataFrame, lengths: DataFrame, least: int) -> DataFrame:
-    """The triplets of which all three utterances have ``least`` frames; lengths: utt, frames.
+    """The triplets, given as such or by ``roles``, of which all three utterances have ``least`` frames; lengths: utt, frames.
 
     The whole triplet is rejected, so speakers with short utterances keep less
     than their share, as in drawing anew; filtering utterances first would not.
     """
-    long_enough = lengths.where(F.col("frames") >= least).select("utt")
-    for role in ("anchor", "pos", "neg"):
-        drawn = drawn.join(long_enough.withColumnRenamed("utt", role), role, "left_semi")
-    return drawn
+    rows = drawn if "role" in drawn.columns else apart(drawn)
+    return together(rows.join(lengths.where(F.col("frames") >= least).select("utt"), "utt", "left_semi"))
 
 
 def accepted_triplets(manifest: DataFrame, lengths: DataFrame, least: int, wanted: int, seed: str = "s", oversample: int = 4, rounds: int = 6) -> DataFrame:
     """The first ``wanted`` slots whose triplets are accepted; draws twice as many slots at each of ``rounds`` tries, then fails."""
     n = wanted * oversample
     for _ in range(rounds):
-        found = stored(accepted(triplets(manifest, slots(manifest.sparkSession, n), seed), lengths, least).orderBy("i").limit(wanted), "triplets")
+        found = stored(accepted(roles(manifest, slots(manifest.sparkSession, n), seed), lengths, least).orderBy("i").limit(wanted), "triplets")
         if found.count() == wanted:
             return found
         n *= 2

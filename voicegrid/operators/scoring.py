@@ -6,22 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, triplet_loss
-
-ROLES = ("anchor", "pos", "neg")
+from .sampling import ROLES
 
 
 def with_embeddings(triplets: DataFrame, embeddings: DataFrame, norms: bool = True) -> DataFrame:
-    """i with e_<role> and n_<role>; embeddings: utt, embedding. Triplets without all three go.
+    """i with e_<role> and n_<role> of triplets, given as such or by ``sampling.roles``; embeddings: utt, embedding. Triplets without all three go.
 
     Roles are rows when they meet the embeddings, which hence are shuffled once, and
     columns again when a slot's three vectors come together. Several embeddings
     of an utterance, or several triplets of a slot i, aren't expected.
     """
     known = embeddings.where("embedding is not null").select("utt", "embedding", *([norm(F.col("embedding")).alias("norm")] if norms else []))
-    roles = triplets.select("i", F.posexplode(F.array(*ROLES)).alias("role", "utt")).join(known, "utt")
+    rows = triplets if "role" in triplets.columns else triplets.select("i", F.posexplode(F.array(*ROLES)).alias("role", "utt"))
+    roles = rows.select("i", "role", "utt").join(known, "utt")
     column = lambda c, k: F.first(F.when(F.col("role") == k, F.col(c)), ignorenulls=True)
     found = [column("embedding", k).alias(f"e_{role}") for k, role in enumerate(ROLES)] + [column("norm", k).alias(f"n_{role}") for k, role in enumerate(ROLES) if norms]
-    return roles.groupBy("i").agg(F.count("*").alias("roles"), *found).where("roles = 3").drop("roles")
+    return roles.groupBy("i").agg(F.bit_or(F.expr("1 << role")).alias("roles"), *found).where("roles = 7").drop("roles")
 
 
 def trials(triplets: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A triplet for each row of embeddings."""
+    """A triplet for each row of embeddings, as rows (i, role, spk, utt)."""
     utterances = speakers(spark, sf_dir)
-    return sampling.triplets(utterances, utterances.select(F.col("utt").alias("i")), "s")
+    return sampling.roles(utterances, utterances.select(F.col("utt").alias("i")), "s")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +100,14 @@ def q_eligible_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawn(spark, sf_dir)
+    return sampling.together(drawn(spark, sf_dir))
 
 
 def q_triplets_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("frames"))
     utterances = users.select((F.col("user_id") % 5).cast("string").alias("spk"), F.col("user_id").alias("utt"), F.col("user_id").alias("pos"))
     slots = users.select(F.col("user_id").alias("i"))
-    return sampling.accepted(sampling.triplets(utterances, slots, "r"), users.select(F.col("user_id").alias("utt"), "frames"), 60).select("i", "anchor", "pos", "neg")
+    return sampling.accepted(sampling.roles(utterances, slots, "r"), users.select(F.col("user_id").alias("utt"), "frames"), 60).select("i", "anchor", "pos", "neg")
 
 
 def q_sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +259,9 @@ def _triplets(utterances: str, slots: str, seed: str) -> str:
     return f"""
 utt AS (SELECT spk, utt, row_number() OVER (PARTITION BY spk ORDER BY utt) - 1 AS at FROM ({utterances}) u),
 sized AS (SELECT spk, count(*) AS n FROM utt GROUP BY spk),
-spk AS (SELECT spk, n, row_number() OVER (ORDER BY md5(spk), spk) - 1 AS k, CASE WHEN n >= 2 THEN sum(CASE WHEN n >= 2 THEN 1 ELSE 0 END) OVER (ORDER BY md5(spk), spk) - 1 END AS e FROM sized),
-sizes AS (SELECT count(*) AS s, count(e) AS m FROM spk),
-firsts AS (SELECT i, s, p.spk AS pos_spk, p.n AS pos_n, p.k AS pos_k FROM ({slots}) w, sizes, spk p WHERE p.e = {_u32(f"{seed}p", "i")} % m AND s >= 2),
+spk AS (SELECT spk, n, row_number() OVER (ORDER BY n < 2, md5(spk), spk) - 1 AS k FROM sized),
+sizes AS (SELECT count(*) AS s, count(*) FILTER (n >= 2) AS m FROM spk),
+firsts AS (SELECT i, s, p.spk AS pos_spk, p.n AS pos_n, p.k AS pos_k FROM ({slots}) w, sizes, spk p WHERE p.k = {_u32(f"{seed}p", "i")} % m AND s >= 2),
 others AS (SELECT *, {_u32(f"{seed}n", "i")} % (s - 1) AS o, {_u32(f"{seed}a", "i")} % pos_n AS a_at, {_u32(f"{seed}b", "i")} % (pos_n - 1) AS b FROM firsts),
 places AS (SELECT i, pos_spk, q.spk AS neg_spk, a_at, b + CASE WHEN b >= a_at THEN 1 ELSE 0 END AS p_at, {_u32(f"{seed}m", "i")} % q.n AS n_at
   FROM others JOIN spk q ON q.k = o + CASE WHEN o >= pos_k THEN 1 ELSE 0 END),
