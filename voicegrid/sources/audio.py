@@ -1,4 +1,4 @@
-"""Audio files to MFCC frame matrices: WAV and FLAC decoding, mono mix, resampling, mel cepstra.
+"""Audio files to MFCC frame matrices: WAV, AIFF and FLAC decoding, mono mix, resampling, mel cepstra.
 
 Definition: frames of 2048 samples, hop 512, Hann window, centred with zero padding
 (or ``reflect``), power spectrum, 128 Slaney-scaled and area-normalised mel bands from
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import files, wav
+from . import aiff, files, wav
 from .flac import decode_flac
 
 RATE, FFT, HOP, MELS, TOP_DB = 16_000, 2048, 512, 128, 80.0
@@ -43,19 +43,24 @@ class Frames:
 DEFAULT = Frames()
 
 
-def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """(samples from -1 to 1, rate); two-dimensional if there are several channels."""
+#: Readers of headers, by how a file begins, of the formats of which any stretch can be read on its own.
+_HEADERS = {b"RIFF": wav.header, b"FORM": aiff.header}
+_UNKNOWN = "neither a WAV, an AIFF nor a FLAC file"
+
+
+def decode_raw(content: bytes) -> tuple[np.ndarray, int]:
+    """(samples from -1 to 1, rate) of a WAV or AIFF file; two-dimensional if there are several channels."""
     f = io.BytesIO(content)
-    found = wav.header(f)
+    found = _HEADERS[content[:4]](f)
     return wav.samples(f, found, 0, found.count), found.rate
 
 
 def decode(content: bytes) -> tuple[np.ndarray, int]:
-    if content[:4] == b"RIFF":
-        return decode_wav(content)
+    if content[:4] in _HEADERS:
+        return decode_raw(content)
     if content[:4] == b"fLaC":
         return decode_flac(content)
-    raise ValueError("neither a WAV nor a FLAC file")
+    raise ValueError(_UNKNOWN)
 
 
 def mono(x: np.ndarray) -> np.ndarray:
@@ -178,12 +183,12 @@ def _head(path: str) -> tuple[str, int, str | None]:
     try:
         with files.opened(path) as f:
             kind = f.read(4)
-            if kind == b"RIFF":
-                found = wav.header(f)
-                return "wav", resampled_count(found.count, found.rate), None
+            if kind in _HEADERS:
+                found = _HEADERS[kind](f)
+                return "raw", resampled_count(found.count, found.rate), None
             if kind == b"fLaC":
                 return "flac", 0, None
-            return "", 0, "neither a WAV nor a FLAC file"
+            return "", 0, _UNKNOWN
     except (OSError, ValueError) as e:
         return "", 0, str(e)
 
@@ -206,7 +211,7 @@ def heads(names: DataFrame) -> DataFrame:
 def sample_blocks(heads: DataFrame, frames: Frames = DEFAULT, block: int = BLOCK) -> DataFrame:
     """(utt, block, n, first, samples) of files (utt, kind, n): mono blocks with half a frame on either side.
 
-    A WAV file is read in as many tasks as it has blocks, each of which seeks what it
+    A WAV or AIFF file is read in as many tasks as it has blocks, each of which seeks what it
     needs; a FLAC file, whose frames follow one another, in one.
     """
     half = frames.fft // 2
@@ -215,9 +220,9 @@ def sample_blocks(heads: DataFrame, frames: Frames = DEFAULT, block: int = BLOCK
         begin, end = max(0, number * block - half), min(n, (number + 1) * block - frames.hop + half)
         return number, n, begin, x[begin - first : end - first]
 
-    def of_wav(path: str, number: int, n: int) -> Iterator[tuple]:
+    def of_raw(path: str, number: int, n: int) -> Iterator[tuple]:
         with files.opened(path) as f:
-            found = wav.header(f)
+            found = _HEADERS[f.read(4)](f)
             begin, end = max(0, number * block - half), min(n, (number + 1) * block - frames.hop + half)
             lo, hi = needed(begin, end, found.rate)
             lo, hi = max(0, lo), min(found.count, hi)
@@ -233,10 +238,10 @@ def sample_blocks(heads: DataFrame, frames: Frames = DEFAULT, block: int = BLOCK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for utt, kind, n, number in zip(*(batch.column(c).to_pylist() for c in ("utt", "kind", "n", "block")), strict=True):
-                for b, n, first, x in of_wav(utt, number, n) if kind == "wav" else of_flac(utt):
+                for b, n, first, x in of_raw(utt, number, n) if kind == "raw" else of_flac(utt):
                     arrays = [pa.array([utt]), *(pa.array([v], pa.int64()) for v in (b, n, first)), pa.array([x], pa.list_(pa.float64()))]
                     yield pa.RecordBatch.from_arrays(arrays, ["utt", "block", "n", "first", "samples"])
 
-    blocks = heads.where("kind <> ''").withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "wav", F.floor(F.col("n") / block)).otherwise(0))))
+    blocks = heads.where("kind <> ''").withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == "raw", F.floor(F.col("n") / block)).otherwise(0))))
     tasks = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return blocks.select("utt", "kind", "n", "block").repartition(tasks, "utt", "block").mapInArrow(run, "utt string, block long, n long, first long, samples array<double>")

@@ -11,8 +11,8 @@ _PCM, _FLOAT, _EXTENSIBLE = 1, 3, 0xFFFE
 
 
 @dataclass(frozen=True)
-class Wav:
-    """What the header says: samples of ``width`` bytes from ``offset`` on, ``count`` of each channel."""
+class Samples:
+    """What a header says: samples of ``width`` bytes from ``offset`` on, ``count`` of each channel."""
 
     rate: int
     channels: int
@@ -20,9 +20,11 @@ class Wav:
     floating: bool
     offset: int
     count: int
+    big: bool = False
+    signed_bytes: bool = False
 
 
-def header(f: BinaryIO) -> Wav:
+def header(f: BinaryIO) -> Samples:
     """Of a file of whole numbers of 1 to 4 bytes or of floats of 4 or 8, plain or extensible."""
     f.seek(0, 2)
     size = f.tell()
@@ -47,22 +49,24 @@ def header(f: BinaryIO) -> Wav:
         elif name == b"data" and found:
             # A length of a stream that was cut off, or was never known, ends with the file.
             length = min(length, size - at - 8)
-            return Wav(*found, at + 8, length // (found[1] * found[2]))
+            return Samples(*found, at + 8, length // (found[1] * found[2]))
         at += 8 + length + length % 2
     raise ValueError("a WAV file without samples")
 
 
-def samples(f: BinaryIO, wav: Wav, begin: int, end: int) -> np.ndarray:
+def samples(f: BinaryIO, told: Samples, begin: int, end: int) -> np.ndarray:
     """Those from ``begin`` to ``end``, from -1 to 1; two-dimensional if there are several channels."""
-    f.seek(wav.offset + begin * wav.channels * wav.width)
-    raw = f.read((end - begin) * wav.channels * wav.width)
-    if wav.floating:
-        x = np.frombuffer(raw, f"<f{wav.width}").astype(float)
-    elif wav.width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-    elif wav.width == 3:
+    f.seek(told.offset + begin * told.channels * told.width)
+    raw = f.read((end - begin) * told.channels * told.width)
+    order = ">" if told.big else "<"
+    if told.floating:
+        x = np.frombuffer(raw, f"{order}f{told.width}").astype(float)
+    elif told.width == 1:
+        x = np.frombuffer(raw, np.int8) / 128 if told.signed_bytes else (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    elif told.width == 3:
         b = np.frombuffer(raw, np.uint8).reshape(-1, 3)
-        x = np.concatenate([np.zeros((len(b), 1), np.uint8), b], 1).copy().view("<i4").ravel() / 2.0**31
+        zero = np.zeros((len(b), 1), np.uint8)
+        x = np.concatenate([b, zero] if told.big else [zero, b], 1).view(f"{order}i4").ravel() / 2.0**31
     else:
-        x = np.frombuffer(raw, f"<i{wav.width}") / 2.0 ** (8 * wav.width - 1)
-    return x.reshape(-1, wav.channels) if wav.channels > 1 else x
+        x = np.frombuffer(raw, f"{order}i{told.width}") / 2.0 ** (8 * told.width - 1)
+    return x.reshape(-1, told.channels) if told.channels > 1 else x
