@@ -332,6 +332,33 @@ def test_a_large_lexicon_is_thinned_by_hash(documents, prose, monkeypatch):
     assert len(found) == 600 and all(found[k] == found[k + 300] for k in range(300))
 
 
+def test_a_joined_lexicon_gives_what_a_broadcast_one_gives(documents, prose, odd):
+    texts = prose(200, 60) + odd + prose(60, 3, 5) + ["", "zzz", "ab cd"]
+    rows = [(3 * k, t) for k, t in enumerate(texts)] + [(10**6, texts[0]), (10**6, texts[0]), (None, "first of all"), (9, texts[1])]
+    for some in (rows, rows[:1], [(1, None), (2, "")], []):
+        docs = documents(some)
+        broadcast = sorted(map(tuple, fingerprints.compare(docs).collect()), key=repr)
+        joined = sorted(map(tuple, fingerprints.compare(docs, -1).collect()), key=repr)
+        assert len(joined) == len(some) and joined == broadcast
+    found = fingerprints.compare(documents(rows), -1)
+    assert found.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert found.where("fingerprint not like '=%'").count() > 200
+
+
+def test_the_lexicon_is_whole_beyond_the_bound_of_its_broadcast(spark):
+    from pyspark.sql import functions as F
+    import pyarrow as pa
+
+    # Eight documents of 600,000 terms of their own, 4.8 million in the band.
+    words = F.transform(F.sequence(F.lit(0), F.lit(599_999)), lambda x: F.lower(F.hex(x + F.col("id") * 600_000)))
+    docs = spark.range(0, 8, 1, 4).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    band = fingerprints.lexicon(docs)
+    assert len(band) == 4_800_000 > fingerprints.MOST_TERMS
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    found = [r["fingerprint"] for r in fingerprints.compare(docs).orderBy("doc_id").collect()]
+    assert found == fingerprints.fingerprints(pa.array(texts), band)
+
+
 def plain_fingerprint(text, terms_in_band):
     """Parts by a plain loop over the text's terms; hashes are those of the module."""
     from voicegrid.llm.text import words_of, ALNUM, mix, seeded
